@@ -116,7 +116,8 @@ class RuleModel:
 def fit(examples: DataFrame, trees: int = TREES, depth: int = DEPTH, lasso: float = LASSO) -> RuleModel:
     """examples: stats array<double>, label 0/1.  All of them are used.
 
-    Classes weigh the same.  Without examples every score is 0.5; with one class it is near that class.
+    Classes weigh the same in the trees; the logistic weights follow the examples as they are, so that
+    a score is a probability.  Without examples every score is 0.5; with one class it is near that class.
     """
     counts = {int(r["label"]): r["count"] for r in examples.groupBy("label").count().collect()}
     if len(counts) < 2:
@@ -127,8 +128,8 @@ def fit(examples: DataFrame, trees: int = TREES, depth: int = DEPTH, lasso: floa
     rules = tree_rules(forest.toDebugString)
     if not rules:
         return RuleModel([], float(np.log(counts[1] / counts[0])))
-    held = train.select("label", "w", array_to_vector(F.array(*[rule_column(r, F.col("stats")).cast("double") for r in rules])).alias("features"))
-    lr = LogisticRegression(elasticNetParam=1.0, regParam=lasso, weightCol="w", standardization=False, maxIter=60).fit(held)
+    held = train.select("label", array_to_vector(F.array(*[rule_column(r, F.col("stats")).cast("double") for r in rules])).alias("features"))
+    lr = LogisticRegression(elasticNetParam=1.0, regParam=lasso, standardization=False, maxIter=60).fit(held)
     return RuleModel([(r, float(w)) for r, w in zip(rules, lr.coefficients) if abs(w) > 1e-6], float(lr.intercept))
 
 
