@@ -1,10 +1,16 @@
 """Queries and SQL of this subpackage."""
 
-from docgrid.llm import language, mixing, quality, secrets
+from docgrid.llm import context_tree, language, minhash, mixing, near_vectors, nearest, packing, quality, secrets, tokens
 
 QUERIES = {
+    "op1_near_vectors": near_vectors.op1_near_vectors,
     "op2_secrets": secrets.op2_secrets,
+    "op3_minhash": minhash.op3_minhash,
+    "op4_tokens": tokens.op4_tokens,
+    "op5_nearest": nearest.op5_nearest,
+    "op6_packing": packing.op6_packing,
     "op7_mixing": mixing.op7_mixing,
+    "op8_context_tree": context_tree.op8_context_tree,
     "op9_language": language.op9_language,
     "op10_quality": quality.op10_quality,
 }
