@@ -249,8 +249,8 @@ def gram_table(grams: DataFrame) -> DataFrame:
         cols = [np.bincount(inverse, v, len(one)) for v in (two.n0, two.n1, two.log)]
         yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), *map(pa.array, cols)], ["node", "n0", "n1", "below"])
 
-    rows = dealt.mapInArrow(sums, "node long, n0 double, n1 double, below double").groupBy("node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("below").alias("below")).orderBy("node").toPandas()
-    top = grams.sparkSession.sparkContext.broadcast(Top(rows["node"].to_numpy(np.int64).view(_U), *(rows[c].to_numpy(float) for c in ("n0", "n1", "below"))))
+    rows = dealt.mapInArrow(sums, "node long, n0 double, n1 double, below double").groupBy("node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("below").alias("below")).orderBy("node").toArrow()
+    top = grams.sparkSession.sparkContext.broadcast(Top(rows["node"].to_numpy().view(_U), *(rows[c].to_numpy() for c in ("n0", "n1", "below"))))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, n = _whole(batches)
@@ -329,11 +329,11 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     size = words.agg(F.sum("n"), F.count("*")).first()
     total, distinct = int(size[0] or 0), int(size[1])
     word_from, gram_from = head_count(words, head), head_count(grams, head)
-    top_words, top_grams = words.filter(F.col("n") >= word_from).toPandas(), grams.filter(F.col("n") >= gram_from).select("key", "logp").toPandas()
-    word_head = (top_words["key"].to_numpy(np.int64).view(_U), np.log10(top_words["n"].to_numpy(float) + 1))
-    gram_head = (top_grams["key"].to_numpy(np.int64).view(_U), top_grams["logp"].to_numpy(float))
+    top_words, top_grams = words.filter(F.col("n") >= word_from).toArrow(), grams.filter(F.col("n") >= gram_from).select("key", "logp").toArrow()
+    word_head = (top_words["key"].to_numpy().view(_U), np.log10(top_words["n"].to_numpy() + 1.0))
+    gram_head = (top_grams["key"].to_numpy().view(_U), top_grams["logp"].to_numpy())
     heads = spark.sparkContext.broadcast((word_head, gram_head))  # at most ``head`` entries each
-    del top_words, top_grams
+    del top_words, top_grams, word_head, gram_head
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = _lookups(heads)
