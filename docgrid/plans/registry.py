@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgrid.plans import selection_queries, table_queries, text_queries  # noqa: F401  they fill the tables below
+from docgrid.plans import io_queries, profile_queries, selection_queries, table_queries, text_queries  # noqa: F401  they fill the tables below
 from docgrid.plans.text_queries import ORACLES, QUERIES, parsed
 
 

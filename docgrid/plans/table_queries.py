@@ -269,12 +269,12 @@ def j13(spark, d):
 _V = "(bbox_x1 + bbox_x2) / 1280 as xc, (bbox_y1 + bbox_y2) / 960 as yc"
 
 
-@query("J14_augment_labels", f"select id, angle, source_key || '__rot' || angle as new_key, case angle when 180 then 640 else 480 end as new_width, 'images/' || id || '__rot' || angle || '.jpg' as new_image, round(case angle when 90 then yc when 180 then 1 - xc else 1 - yc end, 5) as xc from (select *, {_V} from {{label_items}} where {_FULL} and image_file_name is not null) t, (values (90), (180), (270)) a(angle)")
+@query("J14_augment_labels", f"select id, angle, source_key || '__rot' || angle as new_key, case angle when 180 then 640 else 480 end as new_width, 'images/' || id || '__rot' || angle || '.jpg' as new_image, cast(floor(case angle when 90 then yc when 180 then 1 - xc else 1 - yc end * 1000 + 123e-4) as bigint) as xc from (select *, {_V} from {{label_items}} where {_FULL} and image_file_name is not null) t, (values (90), (180), (270)) a(angle)")
 def j14(spark, d):
     b = geometry.box("bbox_x1", "bbox_y1", "bbox_x2", "bbox_y2")
     plan = _items(spark, d).filter("bbox_x1 is not null and image_file_name is not null").withColumn("yolo_label", geometry.bbox_to_label(b, "image_width", "image_height")).withColumn("angle", F.explode(F.array(F.lit(90), F.lit(180), F.lit(270))))
     out = datasets.augment_labels(plan)
-    return out.select("id", "angle", "new_key", "new_width", "new_image", F.round(geometry.parse_label("new_label")["xc"], 5).alias("xc"))
+    return out.select("id", "angle", "new_key", "new_width", "new_image", F.floor(geometry.parse_label("new_label")["xc"] * 1000 + 0.0123).alias("xc"))
 
 
 @query("J15_delete_fields", "select id, field from {image_items} where field <> 'FaceImage'")
