@@ -85,7 +85,7 @@ def _variants(spark, d):
         v(1, 2, "no-deskew", None, F.when(F.col("doc_id") % 4 != 0, F.array("l1", F.translate("l2", "0123456789", "OIZ3456789"))).otherwise(two), 0.0),
         v(2, 0, "enhanced", "fast-projection", two, 0.0),
     )
-    return df.select("doc_id", "detector_confidence", F.explode(options).alias("o")).select("doc_id", "detector_confidence", "o.*")
+    return df.select("doc_id", "detector_confidence", F.explode(options).alias("o")).select("doc_id", "detector_confidence", "o.*").persist()  # as a stored table would be
 
 
 @query("W9_resolve_variants")
