@@ -6,7 +6,7 @@ matches) by bit counts; pairs that may pass are confirmed on their full sets.
 
 Round one compares each member of a bucket with the bucket's least member, so a group of any size
 costs one pair a member.  Round two looks only at buckets whose members are not in one component
-yet, and compares all members of different components, in blocks.
+yet, and compares members of different components, in blocks, handing on only links that join them.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ BANDS = HASHES // ROWS_PER_BAND
 #: Standard deviations below the threshold at which an estimate still goes to the exact check.
 SLACK = 4.5
 #: Members of a bucket compared in one block; members of one centre checked in one task.
-BLOCK, STAR = 1024, 512
+BLOCK, STAR = 512, 512
 _PER_LONG = 64 // BITS
 _LOW = 0x5555555555555555
 _rng = np.random.default_rng(20240101)
@@ -144,13 +144,31 @@ def confirmed(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, wor
     return rows.mapInArrow(check, f"a {kind}, b {kind}")
 
 
-def _cross_pairs(mixed: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of one bucket but different components whose estimate may pass.
+def _alike(sig: np.ndarray, bands: np.ndarray, comp: np.ndarray, place: int, i: int, s: int, e: int, least: float) -> np.ndarray:
+    """Rows of s..e in another component than row i whose estimate may pass and which meet it in this band first."""
+    chance = 2.0**-BITS
+    x = sig[i] ^ sig[s:e]
+    wrong = np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(_LOW)).sum(1)
+    good = s + np.flatnonzero((((1 - wrong / HASHES) - chance) / (1 - chance) >= least) & (comp[s:e] != comp[i]))
+    return good[(bands[good] == bands[i]).argmax(1) == place] if len(good) else good
+
+
+def _columns(t: pa.Table) -> tuple[np.ndarray, ...]:
+    """key, id, comp, other, sig, bands of a table of cells."""
+    wide = [t.column(k).combine_chunks().values.to_numpy().reshape(len(t), -1) for k in (6, 7)]
+    return *(t.column(k).to_numpy() for k in (0, 3, 4, 5)), wide[0].view(np.uint64), wide[1]
+
 
-    mixed: key, id, comp, main (the component of the bucket's centre), sig.  Members of the main
-    component are compared with the others only.  Blocks of BLOCK members make the cells, so a
-    bucket of any size is many bounded tasks.
+def _cross_links(docs: DataFrame, mixed: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between different components that share a bucket, confirmed on the full sets.
+
+    mixed: key, id, comp, main (the component of the bucket's centre), sig, bands.  Members of the main
+    component are compared with the others only.  Blocks of BLOCK members make the cells, so a bucket
+    of any size is many bounded tasks.  A first pass keeps the rows of each cell that are in a pair
+    whose estimate may pass; the second adds their texts and tells the links that join components, so
+    neither makes a list of pairs.  A pair is looked at in the first band that it shares.
     """
+    least = least_estimate(percent / 100)
     other = (F.col("comp") != F.col("main")).cast("int")
     sizes = mixed.groupBy("key").agg(F.ceil(F.sum(other) / BLOCK).alias("no"), F.ceil(F.sum(1 - other) / BLOCK).alias("nm"))
     rows = mixed.join(sizes.hint("merge"), "key").withColumn("other", other).withColumn("h", F.xxhash64("id"))
@@ -164,28 +182,49 @@ def _cross_pairs(mixed: DataFrame, least: float) -> DataFrame:
             F.when(F.col("nm") > 0, F.transform(span(F.col("nm")), lambda j: F.struct(own.alias("i"), (-1 - j).alias("j")))).otherwise(F.array().cast("array<struct<i:bigint,j:bigint>>")),
         ),
     ).otherwise(F.transform(span(F.col("no")), lambda i: F.struct(i.alias("i"), (-1 - F.pmod("h", F.col("nm"))).alias("j"))))
-    rows = rows.select("key", F.explode(cells).alias("cell"), "other", "id", "comp", "sig").select("key", "cell.i", "cell.j", "id", "comp", "other", "sig")
-    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    chance = 2.0**-BITS
+    names = ["key", "i", "j", "id", "comp", "other", "sig", "bands"]
+    rows = rows.select("key", F.explode(cells).alias("cell"), "other", "id", "comp", "sig", "bands").select("key", "cell.i", "cell.j", *names[3:])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, edges in sorted_groups(batches, 3, 2):
-            ids, comp, other = (t.column(k).to_numpy() for k in (3, 4, 5))
-            sig = t.column(6).combine_chunks().values.to_numpy().view(np.uint64).reshape(len(t), -1)
-            out: list[np.ndarray] = []
+            key, _, comp, other, sig, bands = _columns(t)
+            use = np.zeros(len(t), bool)
             for s, e in edges.tolist():
+                for i in range(s, e):
+                    if other[i] and len(j := _alike(sig, bands, comp, int((bands[i] == key[i]).argmax()), i, s, e, least)):
+                        use[i] = use[j] = True
+            yield from t.filter(pa.array(use)).to_batches()
+
+    kind = "key long, i long, j long, id long, comp long, other int, sig array<long>, bands array<long>"
+    rows = written(rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(promising, kind), "promising")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = rows.join(texts.hint("merge"), "id").select(*names, "text").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, edges in sorted_groups(batches, 3, 2):
+            key, ids, comp, other, sig, bands = _columns(t)
+            text, a, b = t.column(8), [], []
+            for s, e in edges.tolist():
+                sets: dict[int, np.ndarray] = {}
+                now = comp[s:e].copy()  # components as the links found here join them
                 for i in range(s, e):
                     if not other[i]:
                         continue
-                    x = sig[i] ^ sig[s:e]
-                    wrong = np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(_LOW)).sum(1)
-                    good = ((1 - wrong / HASHES) - chance) / (1 - chance) >= least
-                    good &= comp[s:e] != comp[i]
-                    out += [np.stack([np.minimum(ids[i], ids[s:e][good]), np.maximum(ids[i], ids[s:e][good])])] if good.any() else []
-            both = np.concatenate(out, 1) if out else np.zeros((2, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
-
-    return rows.mapInArrow(compare, "a long, b long").distinct()
+                    for j in _alike(sig, bands, comp, int((bands[i] == key[i]).argmax()), i, s, e, least).tolist():
+                        if now[i - s] == now[j - s]:
+                            continue
+                        for k in (i, j):
+                            if k not in sets:
+                                sets[k] = shingle_set(text[k].as_py(), words)
+                        x, y = sets[i], sets[j]
+                        c = len(np.intersect1d(x, y, assume_unique=True))
+                        if c and 100 * c >= percent * (len(x) + len(y) - c):
+                            a.append(ids[i])
+                            b.append(ids[j])
+                            now[now == now[j - s]] = now[i - s]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b)], ["a", "b"])
+
+    return rows.mapInArrow(check, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -204,7 +243,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = reps.select("id", F.explode("bands").alias("key"))
     centres = members.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("n")).filter("n > 1").select("key", "centre")
     shared = written(members.join(centres.hint("merge"), "key"), "buckets")
-    bits = reps.select("id", "sig")
+    bits = reps.select("id", "sig", "bands")
     pairs = shared.filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
     pairs = pairs.join(bits.select(F.col("id").alias("a"), F.col("sig").alias("sa")).hint("merge"), "a").join(bits.select(F.col("id").alias("b"), F.col("sig").alias("sb")).hint("merge"), "b")
     pairs = written(pairs.filter(estimate(F.col("sa"), F.col("sb")) >= least).select("a", "b"), "pairs")
@@ -215,9 +254,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = written(placed, "placed")
     main = placed.filter("id = centre").select("key", F.col("comp").alias("main"))
     split = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    mixed = written(placed.join(split.join(main.hint("merge"), "key").hint("merge"), "key").join(bits.hint("merge"), "id").select("key", "id", "comp", "main", "sig"), "mixed")
+    mixed = written(placed.join(split.join(main.hint("merge"), "key").hint("merge"), "key").join(bits.hint("merge"), "id").select("key", "id", "comp", "main", "sig", "bands"), "mixed")
     if not mixed.isEmpty():
-        more = written(confirmed(known, written(_cross_pairs(mixed, least), "cross"), id_col, text_col, words, percent), "confirmed")
+        more = written(_cross_links(known, mixed, id_col, text_col, words, percent), "confirmed")
         if not more.isEmpty():
             comps = written(components(links.union(more)), "components")
 
