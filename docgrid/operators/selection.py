@@ -146,17 +146,18 @@ def resolve_variants(df: DataFrame, key: str, as_of_year: int, max_candidates: i
     """
     width = Window.partitionBy(key, "stage").orderBy("position")
     df = df.filter((F.col("stage") != 1) | (F.size("lines") >= 2)).withColumn("__r", F.row_number().over(width)).filter((F.col("stage") != 1) | (F.col("__r") <= max_candidates)).drop("__r")
-    scored = parse_mrz(df, "lines", as_of_year)
-    scored = scored.withColumns({"score": candidate_score(scored), "trigger": fallback_trigger(F.size("lines"), "found", "checksum_pass")})
-    scored = scored.select(key, "stage", "position", "name", "enhanced_of", "lines", "ocr_confidence", "detector_confidence", "found", "document_type", "checksum_pass", "score", "trigger").persist()
-    fixed = repair_lines(scored).filter((F.col("corrections") > 0) & F.col("trigger").isNotNull())
-    fixed = parse_mrz(fixed.select(key, "stage", "position", "name", "enhanced_of", F.col("repaired").alias("lines"), "ocr_confidence", "detector_confidence", "corrections", F.col("score").alias("old")), "lines", as_of_year)
-    fixed = fixed.withColumn("score", candidate_score(fixed)).filter(F.col("checksum_pass") & (F.col("score") > F.col("old")))
+    options = F.array(F.struct(F.lit(0).alias("fix"), F.col("lines").alias("t")), F.struct(F.lit(1).alias("fix"), F.col("repaired").alias("t")))
+    both = repair_lines(df).select(key, "stage", "position", "name", "enhanced_of", "ocr_confidence", "corrections", F.explode(options).alias("o"))
+    both = both.select(key, "stage", "position", "name", "enhanced_of", "ocr_confidence", "corrections", "o.fix", F.col("o.t").alias("lines")).filter("fix = 0 or corrections > 0")
+    # kept: parsed once for the uses below, whose filters would else be pushed into the parsing
+    both = parse_mrz(both.repartition(key), "lines", as_of_year).select(key, "stage", "position", "name", "enhanced_of", "ocr_confidence", "corrections", "fix", "lines", "found", "document_type", "checksum_pass", "checks_passed").persist()
+    cols = [key, "stage", "position", "name", "enhanced_of", "lines", "found", "document_type", "checksum_pass", "score", "corrections", "trigger", "fix"]
+    both = both.withColumns({"score": candidate_score(both), "trigger": fallback_trigger(F.size("lines"), "found", "checksum_pass")}).select(*cols)
+    same = [key, "stage", "position"]
+    raw = both.filter("fix = 0").withColumn("corrections", F.lit(0))
+    old = raw.select(*same, F.col("score").alias("old"), F.col("trigger").alias("was"))
     suffix = F.when(F.col("stage") == 0, "checksum-text-correction").otherwise(F.concat("name", F.lit("-text-correction")))
-    cols = [key, "stage", "position", "name", "enhanced_of", "lines", "found", "document_type", "checksum_pass", "score", "corrections", "trigger"]
-    # both are used twice; kept, they are parsed once, and later filters are not pushed into the parsing
-    raw = scored.withColumn("corrections", F.lit(0)).select(*cols, F.lit(0).alias("fix")).persist()
-    fixed = fixed.withColumns({"name": suffix, "trigger": F.lit(None).cast("string")}).select(*cols, F.lit(1).alias("fix")).persist()
+    fixed = both.filter("fix = 1 and checksum_pass").join(old, same).filter("was is not null and score > old").withColumns({"name": suffix, "trigger": F.lit(None).cast("string")}).select(*cols)
     best = raw.unionByName(fixed).withColumn("__r", F.row_number().over(Window.partitionBy(key, "stage", "position").orderBy(F.desc("fix")))).filter("__r = 1").drop("__r")
     own = Window.partitionBy(key)
     first_trigger = F.max(F.when((F.col("stage") == 0) & (F.col("fix") == 0), F.coalesce("trigger", F.lit(""))))

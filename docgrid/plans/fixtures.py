@@ -7,6 +7,8 @@ oracle; what the operators compute is written separately on each side.
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 import zlib
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,6 +66,13 @@ FIXTURES: dict[str, str] = {
           union all
           select doc_id, 0, 'REPUBLIC OF EXAMPLE ' || cast(doc_id as string) from {mrz_two} where defect = 6
         ) x""",
+    # lines of one document read from several cuts of the image
+    "variants": """
+        select doc_id, 0 as stage, 0 as position, 'fast-projection' as name, cast(null as string) as enhanced_of, l1, case doc_id % 4 when 0 then l2 when 1 then translate(l2, '0158', 'OISB') when 2 then substr(l2, 1, 9) || 'X' || substr(l2, 11) else '' end as l2, cast(doc_id % 40 + 60 as double) / 100 as ocr_confidence from {mrz_two}
+        union all select doc_id, 1, 1, 'fixed-split', null, substr(l1, 1, 34), l2, cast(5e-1 as double) from {mrz_two} where doc_id % 3 = 0
+        union all select doc_id, 1, 2, 'no-deskew', null, l1, substr(l2, 1, 9) || '?' || substr(l2, 11), cast(6e-1 as double) from {mrz_two} where doc_id % 5 <> 0
+        union all select doc_id, 2, 0, 'fast-projection-enhanced', 'fast-projection', l1, l2, cast(7e-1 as double) from {mrz_two}
+        union all select doc_id, 2, 1, 'no-deskew-enhanced', 'no-deskew', l1, l2, cast(7e-1 as double) from {mrz_two}""",
     # text boxes of an image: lines of the document and other text above
     "ocr_boxes": """
         select doc_id as image_id, line_index as row_id, ocr_text as text, ocr_confidence as ocr_score, cast(40 + doc_id % 9 as double) as x1, cast(600 + 40 * line_index - doc_id % 5 as double) as y1,
@@ -140,22 +149,37 @@ FIXTURES: dict[str, str] = {
         select l_orderkey as img_id, l_linenumber as comp_id, cast(10 as int) as width, cast(20 as int) as height, cast(l_partkey % 10 as double) as local_x, cast(l_suppkey % 20 as int) as local_y from {lineitem}""",
 }
 
-#: Fixtures with long expressions are kept, dealt by their key, as stored tables would be: else Spark pushes a
-#: query's filters down into them and inlines those expressions over and over.
-DEALT = {"mrz_parts": "doc_id", "mrz_codes": "doc_id", "mrz_clean": "doc_id", "mrz_two": "doc_id", "mrz_lines": "doc_id", "ocr_boxes": "image_id"}
+#: Fixtures with long expressions are written once a session and read back, as the stored tables they stand for:
+#: else each query analyses them anew, and Spark pushes its filters into them and inlines those expressions.
+DEALT = {"mrz_parts": "doc_id", "mrz_codes": "doc_id", "mrz_clean": "doc_id", "mrz_two": "doc_id", "mrz_lines": "doc_id", "variants": "doc_id", "ocr_boxes": "image_id"}
+_STORED: dict[tuple[str, str, str], str] = {}
 _NAME = re.compile(r"\{([A-Za-z_]\w*)\}")
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new place below the shared folder of the session; a temporary one where none is set."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-docgrid-")
+    return f"{root.rstrip('/')}/docgrid/{name}-{uuid.uuid4().hex}"
+
+
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table, or a fixture built from them."""
     if name not in FIXTURES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    stored = _STORED.get((spark.sparkContext.applicationId, sf_dir, name))
+    if stored:
+        return spark.read.parquet(stored)
     text = FIXTURES[name]
     views = {n: f"fixture_{n}_{zlib.crc32(sf_dir.encode()):08x}" for n in set(_NAME.findall(text))}
     for n, view in views.items():  # dropping a view would also drop what is kept, so they stay
         frame(spark, sf_dir, n).createOrReplaceTempView(view)
     df = spark.sql(_NAME.sub(lambda m: views[m[1]], text))
-    return df.repartition(DEALT[name]).persist() if name in DEALT else df
+    if name not in DEALT:
+        return df
+    path = folder(spark, name)
+    df.repartition(DEALT[name]).write.parquet(path)
+    _STORED[spark.sparkContext.applicationId, sf_dir, name] = path
+    return spark.read.parquet(path)
 
 
 def oracle(sql: str) -> str:

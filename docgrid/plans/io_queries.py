@@ -2,27 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from docgrid.functions import geometry
 from docgrid.operators import parse
-from docgrid.plans.fixtures import frame
+from docgrid.plans.fixtures import folder, frame
 from docgrid.plans.table_queries import _LAST
 from docgrid.plans.text_queries import AS_OF, CONF, PARSE, PASS, RAW, dnorm, query
 from docgrid.sources import files
 from docgrid.streaming.streams import DecisionStore, decision_stream, parse_stream
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new place below the shared folder of the session; a temporary one where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-docgrid-")
-    return f"{root.rstrip('/')}/docgrid/{name}-{uuid.uuid4().hex}"
-
-
 @query("S1_image_catalog", "select count(*) as files, true as sized from (select distinct doc_id % 7 as k from {documents}) t where k <> 3")
 def s1(spark, d):
     root = folder(spark, "catalog")

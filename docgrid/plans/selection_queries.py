@@ -71,21 +71,8 @@ def w8(spark, d):
 
 
 def _variants(spark, d):
-    """Base lines as read; other variants: the second line with its defects in part undone, and an enhanced first one."""
-    own = parse.collect_lines(frame(spark, d, "mrz_lines"), "doc_id").withColumn("detector_confidence", F.lit(0.8))
-    own = own.withColumn("lines", F.transform("lines", lambda x: parse.mrz_normalize_lines(F.array(x), 0)[0]))
-    truth = frame(spark, d, "mrz_two").select("doc_id", "l1", "l2", "l3")
-    df = own.join(truth, "doc_id")
-    two = F.array("l1", "l2")
-    v = lambda stage, position, name, of, lines, more: F.struct(F.lit(stage).alias("stage"), F.lit(position).alias("position"), F.lit(name).alias("name"), F.lit(of).cast("string").alias("enhanced_of"), lines.alias("lines"), (F.col("ocr_confidence") + more).alias("ocr_confidence"))
-    missing = F.array().cast("array<string>")
-    options = F.array(
-        v(0, 0, "fast-projection", None, F.col("lines"), 0.0),
-        v(1, 1, "fixed-split", None, F.when(F.col("doc_id") % 3 == 0, F.array(F.substring("l1", 1, 34), "l2")).otherwise(missing), 0.0),
-        v(1, 2, "no-deskew", None, F.when(F.col("doc_id") % 4 != 0, F.array("l1", F.translate("l2", "0123456789", "OIZ3456789"))).otherwise(two), 0.0),
-        v(2, 0, "enhanced", "fast-projection", two, 0.0),
-    )
-    return df.select("doc_id", "detector_confidence", F.explode(options).alias("o")).select("doc_id", "detector_confidence", "o.*").persist()  # as a stored table would be
+    lines = F.filter(F.array("l1", "l2"), lambda x: x != "")
+    return frame(spark, d, "variants").select("doc_id", "stage", "position", "name", "enhanced_of", lines.alias("lines"), "ocr_confidence", F.lit(0.8).alias("detector_confidence"))
 
 
 @query("W9_resolve_variants")
