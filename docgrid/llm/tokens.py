@@ -7,7 +7,9 @@ there and the ids of a word are looked up; words not met yet go through the toke
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,10 +25,19 @@ from docgrid.llm.common import new_path, read_table, written
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
 #: Words and pre-tokens that a worker keeps; beyond that it starts afresh.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 500_000
 #: A blank is a safe cut before a non-blank; where blanks meet, only the last one is.
 _RUN_OF_BLANKS = re.compile(r" (?!\S)")
 _CUT = re.compile(r" (?=\S)")
+#: A word of letters and then signs; an apostrophe may begin a pre-token of letters, so it is left out.
+_PLAIN = re.compile(r"([^\W\d_]*)([!-&(-/:-@\[-`{-~]*)")
+
+
+def _byte_names() -> dict[int, str]:
+    """The visible character that stands for each byte: itself where printable, else the next from U+0100."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 class _Pieces(dict):
@@ -39,7 +50,7 @@ class _Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= KEPT_WORDS:
             self.clear()
-        out = self[piece] = np.array([t.id for t in self.model.tokenize(piece)], "<u4").tobytes()
+        out = self[piece] = array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
         return out
 
 
@@ -49,11 +60,20 @@ class _Words(dict):
     def __init__(self, tokenizer: Tokenizer, pieces: _Pieces, lead: str):
         super().__init__()
         self.split, self.pieces, self.lead = tokenizer.pre_tokenizer.pre_tokenize_str, pieces, lead
+        self.names = _byte_names()
+        self.named_lead = lead.translate(self.names)
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= KEPT_WORDS:
             self.clear()
-        out = b"".join([self.pieces[p] for p, _ in self.split(self.lead + word)])
+        plain = _PLAIN.fullmatch(word)
+        if plain and plain[1] and plain[1].isalpha():
+            letters = plain[1] if plain[1].isascii() else plain[1].encode().decode("latin-1").translate(self.names)
+            out = self.pieces[self.named_lead + letters]
+            if plain[2]:
+                out += self.pieces[plain[2]]
+        else:
+            out = b"".join([self.pieces[p] for p, _ in self.split(self.lead + word)])
         if len(word) <= 64:
             self[word] = out
         return out
@@ -63,6 +83,7 @@ class Encoder:
     """Whole text -> ids as bytes, equal to encode(text, add_special_tokens=False) with special strings as ordinary text."""
 
     def __init__(self, path: str):
+        assert array("I").itemsize == 4 and sys.byteorder == "little", "ids are kept as little-endian 32-bit integers"
         tokenizer = Tokenizer.from_file(path)
         if tokenizer.normalizer is not None or "ByteLevel" not in str(tokenizer.pre_tokenizer) or "add_prefix_space=False" not in str(tokenizer.pre_tokenizer):
             raise ValueError("a byte-level tokenizer without normalizer and prefix space is needed")
