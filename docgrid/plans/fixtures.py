@@ -54,7 +54,7 @@ FIXTURES: dict[str, str] = {
         from {mrz_clean}""",
     # what a reader saw, with defects by doc_id % 10
     "mrz_lines": """
-        select doc_id, line_index, ocr_text, cast(doc_id * 7 % 40 + 60 as double) / 100 as ocr_confidence, doc_id % 29 <> 0 or line_index <> 2 as ocr_accepted, cast(doc_id % 50 + 50 as double) / 100 as detector_confidence
+        select doc_id, line_index, ocr_text, cast(doc_id * 7 % 40 + 60 as double) / 101 as ocr_confidence, doc_id % 29 <> 0 or line_index <> 2 as ocr_accepted, cast(doc_id % 50 + 50 as double) / 100 as detector_confidence
         from (
           select doc_id, 1 as line_index, case defect when 2 then lower(replace(l1, '<<', '«‹')) when 5 then l1 || '<<' else l1 end as ocr_text from {mrz_two}
           union all
