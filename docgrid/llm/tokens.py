@@ -25,7 +25,7 @@ from docgrid.llm.common import new_path, read_table, written
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
 #: Words and pre-tokens that a worker keeps; beyond that it starts afresh.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 700_000
 #: A blank is a safe cut before a non-blank; where blanks meet, only the last one is.
 _RUN_OF_BLANKS = re.compile(r" (?!\S)")
 _CUT = re.compile(r" (?=\S)")
@@ -125,7 +125,7 @@ def write_token_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
                 seq += len(ids)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    options = {"orc.compress": "ZSTD", "orc.stripe.size": str(stripe_mb << 20), "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.bloom.filter.columns": id_col, "orc.bloom.filter.fpp": "0.01"}
+    options = {"orc.compress": "LZ4", "orc.stripe.size": str(stripe_mb << 20), "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.bloom.filter.columns": id_col, "orc.bloom.filter.fpp": "0.01"}
     ordered.mapInArrow(encode, f"`{id_col}` {kind}, seq long, ids array<int>").write.options(**options).orc(path)
 
 
