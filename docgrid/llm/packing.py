@@ -68,7 +68,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     kind = docs.schema[id_col].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = encoder(tokenizer)
+        ids_of = encoder(tokenizer).with_added
         for b in batches:
             rows: list[tuple[int, int, int, int, int]] = []
             for i, t in enumerate(b.column(1).to_pylist()):

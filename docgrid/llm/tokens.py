@@ -80,7 +80,7 @@ class _Words(dict):
 
 
 class Encoder:
-    """Whole text -> ids as bytes, equal to encode(text, add_special_tokens=False) with special strings as ordinary text."""
+    """Whole text -> ids as bytes: a call takes special strings as ordinary text; ``with_added`` equals encode(text, add_special_tokens=False)."""
 
     def __init__(self, path: str):
         assert array("I").itemsize == 4 and sys.byteorder == "little", "ids are kept as little-endian 32-bit integers"
@@ -89,6 +89,11 @@ class Encoder:
             raise ValueError("a byte-level tokenizer without normalizer and prefix space is needed")
         pieces = _Pieces(tokenizer)
         self.first, self.later = _Words(tokenizer, pieces, ""), _Words(tokenizer, pieces, " ")
+        added = tokenizer.get_added_tokens_decoder()
+        if any(t.single_word or t.lstrip or t.rstrip for t in added.values()):
+            raise ValueError("added tokens must not look at what stands around them")
+        self.added = {t.content: array("I", [i]).tobytes() for i, t in added.items()}
+        self.split_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split  # the longest of those that begin at one place
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
@@ -96,6 +101,12 @@ class Encoder:
         words = _CUT.split(text) if _RUN_OF_BLANKS.search(text) else text.split(" ")
         return self.first[words[0]] + b"".join(map(self.later.__getitem__, words[1:]))
 
+    def with_added(self, text: str | None) -> bytes:
+        """The same with the tokenizer's added tokens, such as <|endoftext|>, told from the text around them."""
+        if not text or not any(t in text for t in self.added):
+            return self(text)
+        return b"".join([self.added[p] if i % 2 else self(p) for i, p in enumerate(self.split_added(text))])
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str = TOKENIZER) -> Encoder:
@@ -106,7 +117,7 @@ def write_token_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
     """Write ORC files with rows (id_col, seq, ids): all documents in ascending id order.
 
     File part-N holds the N-th range of ids, seq is the row's place in its file, ids the integer
-    run-length coded tokens with the end id.  Row indexes and a Bloom filter on the id let a reader
+    run-length coded tokens, as the tokenizer's encode gives them, with the end id.  Row indexes and a Bloom filter on the id let a reader
     skip stripes; stripes are read in parallel.  Null and empty texts have the end id only; null ids
     come first; rows repeated under one id stand together, by text.
     """
@@ -114,7 +125,7 @@ def write_token_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
     end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, seq = encoder(tokenizer), 0
+        ids_of, seq = encoder(tokenizer).with_added, 0
         for b in batches:
             for at in range(0, b.num_rows, 2000):
                 c = b.slice(at, 2000)

@@ -152,6 +152,22 @@ def test_encoder_equals_library(tokenizer, texts):
         assert np.frombuffer(e(t), "<u4").tolist() == encoded(tokenizer, t)
 
 
+END = "<|endoftext|>"
+WITH_ADDED = [f"a {END} b", END, f"{END}{END}", f" {END} ", f"x  {END}  y", f"it{END}'s", f"<|{END}|>", "<|endoftext|", f"long words {END}\n\n{END} 漢字😀{END}end", "plain", ""]
+
+
+def test_added_tokens_equal_the_tokenizer_as_loaded(spark, tmp_path):
+    as_loaded, e = Tokenizer.from_file(tokens.TOKENIZER), tokens.encoder()
+    want = [encoded(as_loaded, t) for t in WITH_ADDED]
+    assert want[0] == [64, 220, 50256, 275]
+    assert [np.frombuffer(e.with_added(t), "<u4").tolist() for t in WITH_ADDED] == want
+    df = spark.createDataFrame(list(enumerate(WITH_ADDED)), "doc_id long, text string")
+    tokens.write_token_table(df, f"{tmp_path}/a")
+    assert {r.doc_id: r.ids for r in tokens.read_token_table(spark, f"{tmp_path}/a").collect()} == {i: ids + [2] for i, ids in enumerate(want)}
+    cut = {r.doc_id: (r.length, r.ids_crc32) for r in packing.pieces(df).collect()}
+    assert cut == {i: (len(ids) + 1, zlib.crc32(np.array(ids + [0], "<u4").tobytes())) for i, ids in enumerate(want)}
+
+
 def test_token_table_round_trip(spark, sf_dir, texts, tokenizer):
     start = 0
     got = {r.doc_id: r for r in tokens.op4_tokens(spark, sf_dir).collect()}
