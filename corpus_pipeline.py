@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from docgrid.llm.common import read_table, remainder, written
 from docgrid.llm.minhash import near_duplicates
 from docgrid.llm.mixing import curriculum, training_order
-from docgrid.llm.packing import pack_documents
+from docgrid.llm.packing import pack_in_order
 from docgrid.llm.quality import THRESHOLD, fit, stats_column, training_rows
 from docgrid.llm.secrets import redact
 
@@ -45,13 +45,13 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them (0 to 3 times), in the order of their training positions."""
-    return training_order(docs, curriculum(docs)).select(*COLUMNS)
+    """Documents as often as the mix takes them (0 to 3 times), with the training position of each take."""
+    return training_order(docs, curriculum(docs), keep_position=True).select(*COLUMNS, "position")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the mixed documents in sequences of 2048 tokens."""
-    return pack_documents(docs)
+    """Pieces of the mixed documents in sequences of 2048 tokens, whose ids rise with the training position."""
+    return pack_in_order(docs, "position")
 
 
 STAGES = [

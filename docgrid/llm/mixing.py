@@ -129,9 +129,35 @@ def training_order(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", ke
     return out.withColumnRenamed("__at", "position") if keep_position else out.drop("__at")
 
 
+def ordered_takes(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(row, id_col, take, position, place): the takes of a mix with a row number, range-sorted by position and written.
+
+    ``place`` counts the takes from 0 along the whole order.
+    """
+    takes = mixed.select("row", F.col(id_col), F.posexplode("positions").alias("take", "position"))
+    takes = takes.repartitionByRange("position", "row", "take").sortWithinPartitions("position", "row", "take")
+    # ids of one partition count its rows in order, and later ranges have higher partitions
+    takes = written(takes.withColumn("n", F.monotonically_increasing_id()), "training-order").withColumn("part", F.shiftright("n", 33))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    parts = takes.groupBy("part").agg(F.count("*").alias("in_part")).select("part", F.coalesce(F.sum("in_part").over(before), F.lit(0)).alias("base"))
+    place = F.col("n") - F.shiftleft("part", 33) + F.col("base")
+    return takes.join(F.broadcast(parts), "part").select("row", id_col, "take", "position", place.alias("place"))
+
+
+def _numbered(spark, sf_dir: str) -> DataFrame:
+    return written(curriculum(read_table(spark, sf_dir, "documents")).withColumn("row", F.monotonically_increasing_id()), "mix")
+
+
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
-    """Contract: words taken of every document."""
-    return curriculum(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("n_takes")).cast("long").alias("taken"))
+    """Contract: words taken of every document, counted in the written training order."""
+    mixed = _numbered(spark, sf_dir)
+    taken = ordered_takes(mixed).groupBy("row").agg(F.count("position").alias("n"))
+    return mixed.join(taken.hint("merge"), "row", "left").select("doc_id", "size", "source_size", "target", (F.col("size") * F.coalesce("n", F.lit(0))).cast("long").alias("taken"))
+
+
+def op7_training_order(spark, sf_dir: str) -> DataFrame:
+    """Every take with its training position; ``place`` is its rank in the range-sorted order."""
+    return ordered_takes(_numbered(spark, sf_dir)).select("doc_id", "take", "position", "place")
 
 
 OP7_SQL = r"""
@@ -158,3 +184,22 @@ select doc_id, size, source_size, target,
   cast(size * case when size > 0 then passes + (case when cum * 2 + size <= (target - passes * source_size) * 2 then 1 else 0 end) else 0 end as bigint) as taken
 from c
 """
+
+#: Every take with its position; the place is compared by brute force, as the last bit of a position may differ between engines.
+OP7_ORDER_SQL = (
+    OP7_SQL.split("), c as (")[0]
+    + r"""), p as (
+  select d.doc_id, d.size, t.source_size, t.target, (s.place - 1) % 3 as slot,
+    coalesce(cast(sum(d.size) over (partition by d.source order by d.h, d.doc_id, d.size rows between unbounded preceding and 1 preceding) as bigint), 0) as cum,
+    case when t.source_size > 0 then cast(floor(t.target / t.source_size) as bigint) else 0 end as passes
+  from d join t on d.source is not distinct from t.source join s on d.source is not distinct from s.source
+), k as (
+  select *, case when size > 0 then passes + (case when cum * 2 + size <= (target - passes * source_size) * 2 then 1 else 0 end) else 0 end as n_takes from p
+), x as (
+  select doc_id, slot, r.take, least(1.0::double, (cum + size / 2.0::double + r.take * source_size) / target) as share from k join range(4) r(take) on r.take < n_takes
+)
+select doc_id, cast(take as int) as take, least(1.0::double, case slot when 0 then share
+  when 1 then 4 * share / (1 + sqrt(1 + 8 * share)) else 2 * share / (1.5::double + sqrt(greatest(0.0::double, 2.25::double - 2 * share))) end) as position
+from x
+"""
+)

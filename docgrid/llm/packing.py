@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,8 +63,8 @@ def pack(lengths: np.ndarray, tokens: int = SEQUENCE, docs: int = MAX_DOCS, cost
     return where, offset
 
 
-def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, end_id: int = END_ID, size: int = SEQUENCE) -> DataFrame:
-    """(id_col, piece, start, length, ids_crc32): documents with their end id, longer ones cut into full pieces after a first rest."""
+def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, end_id: int = END_ID, size: int = SEQUENCE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id_col, piece, start, length, ids_crc32, the columns named in keep): documents with their end id, longer ones cut into full pieces after a first rest."""
     end = np.array([end_id], "<u4").tobytes()
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -77,9 +78,11 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
                 edges = [0, *range((n - 1) % size + 1, n + 1, size)]
                 rows += [(i, k, s, e - s, zlib.crc32(ids[4 * s : 4 * e])) for k, (s, e) in enumerate(zip(edges, edges[1:]))]
             at, k, s, n, crc = np.array(rows, np.int64).reshape(-1, 5).T
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(k.astype(np.int32)), *map(pa.array, (s, n, crc))], [id_col, "piece", "start", "length", "ids_crc32"])
+            kept = [c.take(pa.array(at)) for c in b.columns[2:]]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(k.astype(np.int32)), *map(pa.array, (s, n, crc)), *kept], [id_col, "piece", "start", "length", "ids_crc32", *keep])
 
-    return docs.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(cut, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long")
+    kept = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select(F.col(id_col), F.col(text_col).alias("text"), *keep).mapInArrow(cut, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long{kept}")
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, end_id: int = END_ID, size: int = SEQUENCE, max_docs: int = MAX_DOCS, max_cost: int | None = None, group: int = GROUP, weights: tuple[float, float, float] = WEIGHTS, rule: str = "norm") -> DataFrame:
@@ -108,6 +111,51 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return packed.unionByName(alone)
 
 
+def pack_in_order(docs: DataFrame, order_col: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, end_id: int = END_ID, size: int = SEQUENCE, max_docs: int = MAX_DOCS, max_cost: int | None = None, group: int = GROUP, weights: tuple[float, float, float] = WEIGHTS, rule: str = "norm") -> DataFrame:
+    """pack_documents with the order of order_col kept: the same columns, and sequence ids that rise with it.
+
+    Pieces stand by order_col (nulls first), then id and place in the document; stretches of ``group``
+    of them are packed together, so a sequence never holds pieces of two stretches, and every sequence
+    of a stretch has a lower id than those of the next.  In a stretch sequences follow their first piece.
+    """
+    max_cost = max_cost or size * size
+    if max_cost < size * size:
+        raise ValueError("max_cost must let a full piece in")
+    rows = written(pieces(docs, id_col, text_col, tokenizer, end_id, size, (order_col,)), "pieces")
+    parts = max(1, min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // group)))
+    order = [order_col, id_col, "piece", "ids_crc32"]
+    columns = [id_col, "piece", "start", "length", "ids_crc32"]
+
+    def stretch(t: pa.Table, first: int) -> tuple[pa.Table, int]:
+        lengths = t["length"].to_numpy()
+        open_ = np.flatnonzero(lengths < size)
+        where, offset = np.arange(len(lengths)), np.zeros(len(lengths), np.int64)
+        if len(open_):
+            bins, offset[open_] = pack(lengths[open_], size, max_docs, max_cost, weights, rule)
+            start = np.full(bins.max() + 1, len(lengths))
+            np.minimum.at(start, bins, open_)
+            where[open_] = start[bins]  # a sequence goes by the place of its first piece
+        names, where = np.unique(where, return_inverse=True)
+        return t.select(columns).append_column("sequence_id", pa.array(first + where.astype(np.int64))).append_column("offset", pa.array(offset)), first + len(names)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, held, n = TaskContext.get().partitionId() << 40, [], 0
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            while n >= group:
+                t = pa.Table.from_batches(held)
+                out, first = stretch(t.slice(0, group), first)
+                yield from out.combine_chunks().to_batches()
+                held, n = t.slice(group).to_batches(), n - group
+        if n:
+            yield from stretch(pa.Table.from_batches(held), first)[0].combine_chunks().to_batches()
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return ranged.mapInArrow(fill, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+
+
 def op6_packing(spark, sf_dir: str) -> DataFrame:
     """Contract: all documents in sequences of 2048 tokens."""
     return pack_documents(read_table(spark, sf_dir, "documents"))

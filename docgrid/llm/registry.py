@@ -10,6 +10,7 @@ QUERIES = {
     "op5_nearest": nearest.op5_nearest,
     "op6_packing": packing.op6_packing,
     "op7_mixing": mixing.op7_mixing,
+    "op7_training_order": mixing.op7_training_order,
     "op8_context_tree": context_tree.op8_context_tree,
     "op9_language": language.op9_language,
     "op10_quality": quality.op10_quality,

@@ -240,9 +240,35 @@ def test_pack_keeps_every_capacity(rule):
         assert sorted(offset[where == b]) == sorted(offset[where == b].tolist())
 
 
+def test_packing_keeps_the_order(spark, docs):
+    df = spark.createDataFrame([(i, "word " * (i * 37 % 900 + (5000 if i % 50 == 0 else 0)), (i * 7919 % 2000) / 2000) for i in range(2000)], "doc_id long, text string, at double").repartition(5)
+    rows = packing.pack_in_order(df, "at", group=256).collect()
+    check_packing(rows)
+    want = {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in packing.pieces(df).collect()}
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in rows} == want and len(rows) == len(want)
+    place = {k: n for n, k in enumerate(sorted(want, key=lambda k: (k[0] * 7919 % 2000, k[1])))}
+    first, last = {}, {}
+    for r in rows:
+        n = place[r.doc_id, r.piece]
+        first[r.sequence_id] = min(n, first.get(r.sequence_id, n))
+        last[r.sequence_id] = max(n, last.get(r.sequence_id, n))
+    ids = sorted(first)
+    assert all(first[a] < first[b] for a, b in zip(ids, ids[1:]))
+    assert all(last[i] - first[i] < 256 for i in ids)
+
+
 # ---- mixing
 
 
+def test_training_order_query(spark, duck, sf_dir, same):
+    out = mixing.op7_training_order(spark, sf_dir).cache()
+    same(out.drop("place"), duck, mixing.OP7_ORDER_SQL)
+    rows = sorted(out.collect(), key=lambda r: r.place)
+    assert [r.place for r in rows] == list(range(len(rows)))
+    assert all(a.position <= b.position for a, b in zip(rows, rows[1:]))
+    assert len({r.position for r in rows}) > len(rows) / 2
+
+
 def test_mixing_sql(spark, duck, sf_dir, same):
     same(mixing.op7_mixing(spark, sf_dir), duck, mixing.OP7_SQL)
 
