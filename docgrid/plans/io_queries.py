@@ -13,6 +13,10 @@ from docgrid.sources import files
 from docgrid.streaming.streams import DecisionStore, decision_stream, parse_stream
 
 
+#: Items of a manifest, about: their number grows with the table, so that a map and its file stay small.
+MANIFEST_ITEMS = 2000
+
+
 @query("S1_image_catalog", "select count(*) as files, true as sized from (select distinct doc_id % 7 as k from {documents}) t where k <> 3")
 def s1(spark, d):
     root = folder(spark, "catalog")
@@ -27,8 +31,10 @@ def s1(spark, d):
 def s2(spark, d):
     path = folder(spark, "manifest")
     item = F.struct("status", F.when(F.col("id") % 5 == 0, "?").otherwise(F.col("review_status")).alias("review_status"), "split", F.col("mrz_score").alias("score"), F.when(F.col("id") % 7 == 0, "soon").otherwise("2024-01-02T03:04:05").alias("processed_at"))
-    doc = frame(spark, d, "label_items").groupBy((F.col("id") % 5).alias("part")).agg(F.map_from_entries(F.collect_list(F.struct("source_key", item))).alias("items"))
-    doc.select(F.lit(1).alias("version"), F.lit("x").alias("ocr_engine"), "items").repartition(5).write.json(path)
+    items = frame(spark, d, "label_items")
+    manifests = max(1, -(-items.count() // MANIFEST_ITEMS))
+    doc = items.groupBy(F.pmod(F.xxhash64("source_key"), F.lit(manifests)).alias("part")).agg(F.map_from_entries(F.collect_list(F.struct("source_key", item))).alias("items"))
+    doc.select(F.lit(1).alias("version"), F.lit("x").alias("ocr_engine"), "items").write.option("maxRecordsPerFile", 1).json(path)  # a multi-line reader takes one document a file
     return files.read_manifest(spark, path).select("source_key", "status", "review_status", "score", "processed_at")
 
 

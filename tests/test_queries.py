@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docgrid.functions import geometry, text
 from docgrid.operators import parse, review, sampling, store
-from docgrid.plans import registry
+from docgrid.plans import io_queries, registry
 from docgrid.plans.fixtures import frame
 
 
@@ -100,3 +100,11 @@ def test_empty_input(spark):
 def test_parse_plan_is_native(spark, sf_dir):
     plan = registry.QUERIES["T12_parse"](spark, sf_dir)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_manifests_stay_small(spark, sf_dir, tmp_path, monkeypatch):
+    monkeypatch.setattr(io_queries, "MANIFEST_ITEMS", 100, raising=False)
+    monkeypatch.setattr(io_queries, "folder", lambda *a: f"{tmp_path}/m")
+    assert registry.QUERIES["S2_read_manifest"](spark, sf_dir).count() == frame(spark, sf_dir, "label_items").count() > 1000
+    sizes = [r.n for r in spark.read.schema(io_queries.files.MANIFEST).json(f"{tmp_path}/m").select(F.size("items").alias("n")).collect()]
+    assert max(sizes) < 200 and len(sizes) == len(list((tmp_path / "m").glob("*.json")))
