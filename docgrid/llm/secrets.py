@@ -29,6 +29,8 @@ ASSIGN_MIN, ACCESS_MIN = 12, 18
 KINDS = ("assign", "access", "hex", "random")
 #: Runs that the token test looks at.
 MIN_CHARS, MAX_CHARS_PER_TOKEN = 20, 2.1
+#: Shorter parts of one case count as words.
+WORD_MIN = 12
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{%d,}" % MIN_CHARS)
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 _DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
@@ -45,17 +47,37 @@ def _encoding(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("secrets", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def is_known(run: str) -> bool:
-    """Digests, UUIDs, numbers, and identifiers or paths made of word-like parts."""
+def _efficient(text: str, vocab: str, ratio: float) -> bool:
+    return len(text) >= ratio * len(_encoding(vocab).encode_ordinary(text))
+
+
+def is_known(run: str, vocab: str = VOCAB, ratio: float = MAX_CHARS_PER_TOKEN, least: int = WORD_MIN) -> bool:
+    """Digests, UUIDs, numbers, and identifiers or paths made of word-like parts.
+
+    A part of ``least`` characters or more is word-like only with ``ratio`` characters a token, as it
+    stands or in lower case (capitals have few tokens of their own).
+    """
     if _UUID.fullmatch(run) or len(run) in _DIGEST_LENGTHS and _DIGEST.fullmatch(run):
         return True
-    return all(_PART.fullmatch(p) for p in re.split(r"[+/_=.-]+", run))
+    parts = re.split(r"[+/_=.-]+", run)
+    if not all(_PART.fullmatch(p) for p in parts):
+        return False
+    return all(len(p) < least or p.isdigit() or _efficient(p, vocab, ratio) or _efficient(p.lower(), vocab, ratio) for p in parts)
 
 
 def looks_random(run: str, vocab: str = VOCAB, ratio: float = MAX_CHARS_PER_TOKEN) -> bool:
-    if run.isalpha() and (run.islower() or run.isupper() or run.istitle()) or is_known(run):
-        return False
-    return len(run) < ratio * len(_encoding(vocab).encode_ordinary(run))
+    return not _efficient(run, vocab, ratio) and not is_known(run, vocab, ratio)
+
+
+def _rests(start: int, end: int, base: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """What the base spans leave of start..end."""
+    for s, e in sorted(base):
+        if s < end and start < e:
+            if start < s:
+                yield start, s
+            start = max(start, e)
+    if start < end:
+        yield start, end
 
 
 def find_spans(text: str | None, vocab: str = VOCAB, ratio: float = MAX_CHARS_PER_TOKEN) -> list[tuple[str, int, int]]:
@@ -70,8 +92,15 @@ def find_spans(text: str | None, vocab: str = VOCAB, ratio: float = MAX_CHARS_PE
     out += [(2, m.start(), m.end()) for m in HEX.finditer(text)]
     base = [(s, e) for _, s, e in out]
     for m in _RUN.finditer(text):
-        if not any(s < m.end() and m.start() < e for s, e in base) and looks_random(m[0], vocab, ratio):
-            out.append((3, m.start(), m.end()))
+        rests = list(_rests(m.start(), m.end(), base))
+        if rests == [m.span()]:
+            if looks_random(m[0], vocab, ratio):
+                out.append((3, m.start(), m.end()))
+            continue
+        for s, e in rests:  # long rests are runs of their own, short ones are as random as the whole
+            rest = text[s:e]
+            if looks_random(rest, vocab, ratio) if e - s >= MIN_CHARS else looks_random(m[0], vocab, ratio) and not is_known(rest, vocab, ratio, 4):
+                out.append((3, s, e))
     out.sort(key=lambda x: (x[1], x[0]))
     return [(KINDS[k], s, e) for k, s, e in out]
 
@@ -112,7 +141,7 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per input row: id_col and spans, over the whole text.
 
     Null and empty texts have no spans; null ids, repeated rows and other columns have no influence;
-    an empty table gives no rows.  A random run that overlaps a known pattern is not told twice.
+    an empty table gives no rows.  Of a random run that overlaps a known pattern, what is left around it is told.
     """
     return docs.select(F.col(id_col), secret_spans(F.col(text_col), vocab, ratio).alias("spans"))
 

@@ -69,6 +69,24 @@ def test_random_strings_are_found(run):
     assert secrets.find_spans(f"text {run} text") == [("random", 5, 5 + len(run))]
 
 
+@pytest.mark.parametrize("alphabet", ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"])
+def test_random_strings_of_one_case_are_found(alphabet):
+    rng = np.random.default_rng(5)
+    runs = ["".join(rng.choice(list(alphabet), n)) + end for n in (20, 32, 64) for end in ("", "1234") for _ in range(100)]
+    assert np.mean([secrets.find_spans(f"text {r} text") == [("random", 5, 5 + len(r))] for r in runs]) > 0.95
+
+
+@pytest.mark.parametrize("run", ["INTERNATIONALIZATION", "Geschwindigkeitsbegrenzung", "Bundesverfassungsgericht", "anticonstitutionnellement", "electroencefalografista", "MAX_NUMBER_OF_CONNECTIONS"])
+def test_long_words_are_left_alone(run):
+    assert not secrets.looks_random(run)
+
+
+def test_rest_of_a_run_around_base_spans():
+    run = "xK9vQ2mZ7pL4wR8tB3nYz" + "0123456789abcdef" + "ZQ8rT5vB1nM"
+    assert secrets.find_spans(f"a {run} b") == [("random", 2, 23), ("hex", 23, 39), ("random", 39, 50)]
+    assert secrets.find_spans("a file_name_0123456789abcdef b") == [("hex", 12, 28)]
+
+
 def test_redact(spark, odd_docs, no_docs):
     df = spark.createDataFrame([("key token=abcdefghijklmnop end",), (None,), ("",), ("plain",)], "t string")
     assert [r[0] for r in df.select(secrets.redact("t")).collect()] == ["key [SECRET] end", None, "", "plain"]
