@@ -6,39 +6,48 @@ mixture of that estimate and the product of its children's.  After training, a b
 the posterior mixture along its path, ended at the deepest node that was seen.
 
 The probability of a byte depends on its DEPTH + 1 bytes (a gram) only, so the model is a table from
-grams to log probabilities, made where grams that share the last two context bytes meet.  Texts read
-the most frequent grams and words from a table of at most HEAD entries; the rest is joined.
+grams to log probabilities.  Grams that share their last SPLIT context bytes (65536 at most) are worked
+on together; the nodes of smaller depth are tables of their own, summed upwards level by level and
+handed down again, each node to at most 256 below it.  Texts read the most frequent grams and words
+from a table of at most HEAD entries; the rest is joined.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docgrid.llm.common import ascii_words, mix, read_table, remainder, written
+from docgrid.llm.common import mix, read_table, remainder, written
 
-DEPTH = 5
+DEPTH, SPLIT = 5, 4
 #: Most frequent grams and words that are sent to every worker; a bound on that memory, not on the model.
 HEAD = 1 << 20
 #: Byte values that UTF-8 never has: what stands before a text, and its end.
 BEFORE, END = 0xFE, 0xFF
-STEP = 1 << 21
-PER_TASK = 50_000
+#: Bytes or keys that are worked on at once, distinct keys a counting task holds, and grams of one step of the model.
+STEP, KEEP, CHUNK = 1 << 19, 1 << 20, 1 << 15
+PER_TASK = 200_000
 WORDS, GRAMS = 0, 1
 #: Key of the end token; a word's key is the hash of its bytes, and no word is empty.
 END_KEY = xxhash.xxh64_intdigest(b"")
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 _U = np.uint64
 
 
-def grams_of(text: str | None) -> Iterator[np.ndarray]:
-    """Keys of the text's bytes and its end: the DEPTH bytes before and the byte itself, A-Z lowered."""
-    raw = bytes([BEFORE]) * DEPTH + (text or "").encode("utf-8", "surrogatepass").lower() + bytes([END])
-    yield from _keys(raw)
+def _raw(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass").lower()
+
+
+def grams_of(raw: bytes) -> Iterator[np.ndarray]:
+    """Keys of the bytes and the end: the DEPTH bytes before and the byte itself."""
+    yield from _keys(bytes([BEFORE]) * DEPTH + raw + bytes([END]))
 
 
 def _keys(raw: bytes) -> Iterator[np.ndarray]:
@@ -52,13 +61,20 @@ def _keys(raw: bytes) -> Iterator[np.ndarray]:
         yield key
 
 
-def word_keys(text: str | None) -> np.ndarray:
-    w = ascii_words(text)
-    return np.fromiter([*map(xxhash.xxh64_intdigest, w), END_KEY], _U, len(w) + 1)
+def words_of(raw: bytes) -> Iterator[np.ndarray]:
+    """Keys of the words and the end, a stretch of the text at a time."""
+    at = 0
+    while at < len(raw):
+        cut = _BLANK.search(raw, at + STEP)
+        end = cut.start() if cut else len(raw)
+        w = raw[at:end].split()
+        yield np.fromiter(map(xxhash.xxh64_intdigest, w), _U, len(w))
+        at = end
+    yield np.array([END_KEY], _U)
 
 
 class _Counter:
-    """Sums counts by key in sorted arrays."""
+    """Sums counts by key in sorted arrays; about STEP raw and twice KEEP sorted keys at most."""
 
     def __init__(self) -> None:
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
@@ -68,7 +84,7 @@ class _Counter:
     def add(self, keys: np.ndarray, counts: bool) -> None:
         self.raw.append((keys, counts))
         self.n += len(keys)
-        if self.n > 1 << 22:
+        if self.n > STEP:
             self.fold()
 
     def fold(self) -> None:
@@ -77,7 +93,7 @@ class _Counter:
                 keys, n = np.unique(np.concatenate(some), return_counts=True)
                 self.parts.append((keys, n if own else np.zeros(len(n), np.int64)))
         self.raw, self.n = [], 0
-        if sum(len(k) for k, _ in self.parts) > max(1 << 21, 2 * self.kept):
+        if sum(len(k) for k, _ in self.parts) > max(KEEP // 2, 2 * self.kept):
             self.parts = [self.merged()]
             self.kept = len(self.parts[0][0])
 
@@ -103,25 +119,25 @@ def count_table(docs: DataFrame, text_col: str, train_col: str) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = (_Counter(), _Counter())
 
-        def told() -> Iterator[pa.RecordBatch]:
-            for kind, c in enumerate(sums):
-                keys, n = c.take()
-                for at in range(0, len(keys), 1 << 18):
-                    k = keys[at : at + (1 << 18)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.view(np.int64)), pa.array(n[at : at + (1 << 18)])], ["kind", "key", "n"])
+        def told(kind: int) -> Iterator[pa.RecordBatch]:
+            keys, n = sums[kind].take()
+            for at in range(0, len(keys), 1 << 17):
+                k = keys[at : at + (1 << 17)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.view(np.int64)), pa.array(n[at : at + (1 << 17)])], ["kind", "key", "n"])
 
         for b in batches:
             for t, own in zip(b.column(0), b.column(1)):
-                text, own = t.as_py(), own.as_py()
-                if own:
-                    sums[WORDS].add(word_keys(text), True)
-                for keys in grams_of(text):
-                    sums[GRAMS].add(keys, own)
-            if max(c.kept for c in sums) > 1 << 22:  # bounded memory, whatever the split's size
-                yield from told()
-        yield from told()
-
-    rows = docs.select(F.col(text_col), F.col(train_col)).mapInArrow(count, "kind int, key long, n long")
+                raw, own = _raw(t.as_py()), own.as_py()
+                for kind, of in ((WORDS, words_of), (GRAMS, grams_of)):
+                    if own or kind == GRAMS:
+                        for keys in of(raw):
+                            sums[kind].add(keys, own)
+                            if sums[kind].kept > KEEP:  # bounded memory, whatever the size of the split or the text
+                                yield from told(kind)
+        for kind in (WORDS, GRAMS):
+            yield from told(kind)
+
+    rows = docs.select(F.col(text_col), F.coalesce(F.col(train_col), F.lit(False))).mapInArrow(count, "kind int, key long, n long")
     return rows.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
@@ -178,96 +194,143 @@ def levels_to(node: np.ndarray, n0: np.ndarray, n1: np.ndarray, deepest: int, sh
     return out
 
 
-class Top:
-    """Depths 0 and 1, at most 256 * 255 nodes, from the sums over depth 2."""
+def _mask(depth: int) -> int:
+    """Bits of a node key that name ``depth`` context bytes and the bits so far."""
+    return (1 << (8 * depth + 8)) - 1
+
 
-    def __init__(self, node: np.ndarray, n0: np.ndarray, n1: np.ndarray, below: np.ndarray):
-        one = _Level(node, n0, n1, below)
-        zero = _Level(one.keys & _U(255), one.n0, one.n1, one.log)
-        self.keys, self.inverse = one.keys, zero.inverse
-        self.levels = (zero, one)
+class Path:
+    """Nodes of depth SPLIT - 1, sorted: the chance of a 0 if the path ends there, and what a deeper chance is scaled by and added to."""
 
+    def __init__(self, keys: np.ndarray, ends: np.ndarray, add: np.ndarray, scale: np.ndarray):
+        by = np.argsort(keys)
+        self.keys, self.ends, self.add, self.scale = keys[by], ends[by], add[by], scale[by]
 
-def gram_log10(keys: np.ndarray, n: np.ndarray, top: Top) -> np.ndarray:
-    """log10 of each gram's byte probability; the grams hold all that share their last two context bytes."""
+
+def gram_log10(keys: np.ndarray, n: np.ndarray, path: Path) -> np.ndarray:
+    """log10 of each gram's byte probability; the grams hold all that share their last SPLIT context bytes."""
     node, bit, n0, n1 = bit_items(keys, n)
-    deep = levels_to(node, n0, n1, DEPTH, 2)  # depths DEPTH .. 2
-    place, places = np.arange(len(node)), []
-    for lv in deep:
+    at = np.searchsorted(path.keys, node & _U(_mask(SPLIT - 1)))
+    one = bit == 1
+    ends, add, scale = path.ends[at], path.add[at], path.scale[at]
+    ends, add = np.where(one, 1 - ends, ends), np.where(one, 1 - scale - add, add)
+    levels, place, places = levels_to(node, n0, n1, DEPTH, SPLIT), np.arange(len(node)), []
+    for lv in levels:
         place = lv.inverse[place]
         places.append(place)
-    zero, one = top.levels
-    short = node & _U(0xFFFF)
-    at1 = np.minimum(np.searchsorted(top.keys, short), max(0, len(top.keys) - 1))
-    known = top.keys[at1] == short if len(top.keys) else np.zeros(len(node), bool)
-    at0 = top.inverse[at1] if len(top.keys) else at1
-    # a bit pattern that the byte before never preceded may still be known without context
-    low = short & _U(255)
-    by0 = np.minimum(np.searchsorted(zero.keys, low), max(0, len(zero.keys) - 1))
-    known0 = zero.keys[by0] == low if len(zero.keys) else np.zeros(len(node), bool)
-    at0 = np.where(known, at0, by0)
-
-    p = np.full(len(node), 0.5)
-
-    def under(p: np.ndarray, lv: _Level, at: np.ndarray, seen: np.ndarray, deeper: np.ndarray) -> np.ndarray:
+    for lv, at in zip(reversed(levels), reversed(places)):
         a, b = lv.n0[at], lv.n1[at]
-        kt = (np.where(bit == 1, b, a) + 0.5) / (a + b + 1.0)
-        stop = np.exp(lv.kt[at] - np.log(2.0) - lv.log[at])
-        return np.where(seen, np.where(deeper, stop * kt + (1 - stop) * p, kt), p)
-
-    deeper = np.zeros(len(node), bool)
-    for lv, at in zip(deep, places):
-        seen = (lv.n0[at] + lv.n1[at]) > 0
-        p = under(p, lv, at, seen, deeper)
-        deeper = seen
-    if len(top.keys):
-        p = under(p, one, at1, known & (one.n0[at1] + one.n1[at1] > 0), deeper)
-        deeper = known & (one.n0[at1] + one.n1[at1] > 0)
-        p = under(p, zero, at0, known0, deeper)
-    return np.log10(p).reshape(-1, 8).sum(1)
-
-
-def _whole(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
-    some = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-    if not some:
-        return np.zeros(0, _U), np.zeros(0, np.int64)
-    return np.concatenate([k for k, _ in some]).view(_U), np.concatenate([n for _, n in some])
-
-
-def gram_table(grams: DataFrame) -> DataFrame:
-    """(key, n, logp) of grams (key, n).  Partitions are by the last two context bytes, about PER_TASK grams each."""
+        kt, stop, seen = (np.where(one, b, a) + 0.5) / (a + b + 1.0), np.exp(lv.kt[at] - np.log(2.0) - lv.log[at]), a + b > 0
+        ends, add, scale = np.where(seen, add + scale * kt, ends), np.where(seen, add + scale * stop * kt, ends), np.where(seen, scale * (1 - stop), 0.0)
+    return np.log10(ends).reshape(-1, 8).sum(1)
+
+
+def _cuts(context: np.ndarray, least: int) -> int:
+    """Where the last group of equal contexts begins, if at least ``least`` rows are held, else 0."""
+    return int(np.argmax(context == context[-1])) if len(context) >= least else 0
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys and counts of whole groups of SPLIT context bytes, about ``chunk`` grams or one group at a time."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size, need = 0, chunk
+    for b in batches:
+        for at in range(0, b.num_rows, chunk):
+            c = b.slice(at, chunk)
+            held.append((c.column(0).to_numpy().view(_U), c.column(1).to_numpy()))
+            size += c.num_rows
+            if size >= need:
+                keys, n = (np.concatenate(x) for x in zip(*held))
+                cut = _cuts((keys >> _U(8)) & _U((1 << 8 * SPLIT) - 1), need)
+                if cut:
+                    yield keys[:cut], n[:cut]
+                held, size = [(keys[cut:], n[cut:])], len(keys) - cut
+                need = chunk if cut else max(chunk, 2 * size)
+    if size:
+        yield tuple(np.concatenate(x) for x in zip(*held))
+
+
+def _weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds a node's log estimate and log weight to (node, n0, n1, below)."""
+    for b in batches:
+        n0, n1, below = (b.column(k).to_numpy() for k in (1, 2, 3))
+        kt = log_kt(n0, n1)
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(kt), pa.array(weighted(kt, below))], ["node", "n0", "n1", "kt", "log"])
+
+
+def shallow_path(sums: DataFrame) -> DataFrame:
+    """(node, ends, add, scale) of depth SPLIT - 1, from the sums (node, n0, n1, below) over the nodes below them."""
+    levels, level = [], sums
+    for d in range(SPLIT - 1, -1, -1):
+        node = F.col("node").bitwiseAND(F.lit(_mask(d)))
+        level = level.groupBy(node.alias("node")).agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "below")))
+        levels.append(written(level.mapInArrow(_weigh, "node long, n0 double, n1 double, kt double, log double"), "nodes"))
+        level = levels[-1].withColumnRenamed("log", "below")
+    out = None
+    for d, lv in enumerate(reversed(levels)):
+        if out is None:
+            rows = lv.withColumns({"ends": F.lit(0.5), "add": F.lit(0.0), "scale": F.lit(1.0)})
+        else:  # a node has 256 nodes below it at most
+            rows = lv.withColumn("up", F.col("node").bitwiseAND(F.lit(_mask(d - 1)))).join(out.withColumnRenamed("node", "up").hint("merge"), "up")
+        kt, stop, seen = (F.col("n0") + 0.5) / (F.col("n0") + F.col("n1") + 1.0), F.exp(F.col("kt") - float(np.log(2.0)) - F.col("log")), F.col("n0") + F.col("n1") > 0
+        out = rows.select(
+            "node",
+            F.when(seen, F.col("add") + F.col("scale") * kt).otherwise(F.col("ends")).alias("ends"),
+            F.when(seen, F.col("add") + F.col("scale") * stop * kt).otherwise(F.col("ends")).alias("add"),
+            F.when(seen, F.col("scale") * (1 - stop)).otherwise(0.0).alias("scale"),
+        )
+    return out
+
+
+def gram_table(grams: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(key, n, logp) of grams (key, n), dealt by their last SPLIT - 1 context bytes and read as a stream."""
     parts = max(int(grams.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-grams.count() // PER_TASK))
-    dealt = grams.select("key", "n").repartition(parts, F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF)))
+    context = F.shiftright("key", 8)
+    few, many = (context.bitwiseAND(F.lit((1 << 8 * k) - 1)) for k in (SPLIT - 1, SPLIT))
+    rows = grams.select(few.alias("few"), many.alias("many"), "key", "n")
+    dealt = rows.repartition(parts, "few").sortWithinPartitions("few", "many").select("key", "n")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, n = _whole(batches)
-        if not len(keys):
-            return
-        node, _, n0, n1 = bit_items(keys, n)
-        two = levels_to(node, n0, n1, DEPTH, 2)[-1]
-        one, inverse = np.unique(two.keys & _U(0xFFFF), return_inverse=True)
-        cols = [np.bincount(inverse, v, len(one)) for v in (two.n0, two.n1, two.log)]
-        yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), *map(pa.array, cols)], ["node", "n0", "n1", "below"])
-
-    rows = dealt.mapInArrow(sums, "node long, n0 double, n1 double, below double").groupBy("node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("below").alias("below")).orderBy("node").toArrow()
-    top = grams.sparkSession.sparkContext.broadcast(Top(rows["node"].to_numpy().view(_U), *(rows[c].to_numpy() for c in ("n0", "n1", "below"))))
+        for keys, n in _chunks(batches, chunk):
+            node, _, n0, n1 = bit_items(keys, n)
+            low = levels_to(node, n0, n1, DEPTH, SPLIT)[-1]
+            up, inverse = np.unique(low.keys & _U(_mask(SPLIT - 1)), return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(up.view(np.int64)), *(pa.array(np.bincount(inverse, v, len(up))) for v in (low.n0, low.n1, low.log))], ["node", "n0", "n1", "below"])
+
+    path = shallow_path(dealt.mapInArrow(sums, "node long, n0 double, n1 double, below double"))
+    path = path.select(F.shiftright("node", 8).alias("few"), F.lit(-1).cast("long").alias("many"), F.col("node").alias("key"), F.lit(None).cast("long").alias("n"), "ends", "add", "scale")
+    none = F.lit(None).cast("double")
+    both = rows.select("*", none.alias("ends"), none.alias("add"), none.alias("scale")).union(path)
+    both = both.repartition(parts, "few").sortWithinPartitions("few", "many").select("key", "n", "ends", "add", "scale")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, n = _whole(batches)
-        if len(keys):
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n), pa.array(gram_log10(keys, n, top.value))], ["key", "n", "logp"])
+        nodes: list[tuple[np.ndarray, ...]] = []
+
+        def split() -> Iterator[pa.RecordBatch]:
+            """The grams; nodes are put aside as they come, before the grams that need them."""
+            for b in batches:
+                is_node = b.column(1).is_null()
+                own = b.filter(is_node)
+                nodes.append((own.column(0).to_numpy().view(_U), *(own.column(k).to_numpy() for k in (2, 3, 4))))
+                yield b.filter(pc.invert(is_node)).select(["key", "n"])
+
+        for keys, n in _chunks(split(), chunk):
+            known = Path(*(np.concatenate(x) for x in zip(*nodes)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n), pa.array(gram_log10(keys, n, known))], ["key", "n", "logp"])
+            later = known.keys >> _U(8) >= (keys[-1] >> _U(8)) & _U((1 << 8 * (SPLIT - 1)) - 1)  # contexts come in ascending order
+            nodes[:] = [(known.keys[later], known.ends[later], known.add[later], known.scale[later])]
 
-    return dealt.mapInArrow(score, "key long, n long, logp double")
+    return both.mapInArrow(score, "key long, n long, logp double")
 
 
 # ---- scoring
 
 
 class Lookup:
-    """An open-addressing table from 64-bit keys to floats, a quarter full at most."""
+    """An open-addressing table from 64-bit keys to floats, half full at most."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(len(keys) * 4).bit_length())
+        self.bits = max(4, (2 * len(keys) - 1).bit_length())
         self.keys, self.values, self.used = np.zeros(1 << self.bits, _U), np.zeros(1 << self.bits), np.zeros(1 << self.bits, bool)
         slot, left = self._slot(keys), np.arange(len(keys))
         while len(left):
@@ -313,17 +376,31 @@ def head_count(table: DataFrame, most: int) -> int:
     return 1 << 62 if least is None else int(np.ceil(2 ** (least / 16) - 1e-9))
 
 
+class Heads:
+    """The most frequent words and grams with their values; a worker that reads them builds its tables once and drops them with the broadcast."""
+
+    def __init__(self, words: tuple[np.ndarray, np.ndarray], grams: tuple[np.ndarray, np.ndarray]):
+        self.pairs, self.built = (words, grams), None
+
+    def tables(self) -> tuple[Lookup, ...]:
+        if self.built is None:
+            self.built, self.pairs = tuple(Lookup(*p) for p in self.pairs), ()
+        return self.built
+
+
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_col: str = "train", head: int = HEAD) -> DataFrame:
-    """One row per input row: id_col, train_col, n_tokens, n_known, train_tokens, base_score, score.
+    """One row per input row: id_col, train_col, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte.
 
     Learns from the rows where train_col is true.  ``score`` is the model's log10 probability of the
-    lower-cased (A-Z) text's bytes and its end; ``base_score`` that of its words and its end under
-    add-one word counts.  Null and empty texts have the end only.  Ids may be null or repeat.  With
-    nothing to learn from, counts are zero and every bit has probability one half; an empty table
-    gives no rows.
+    lower-cased (A-Z) text's bytes and its end, n_bytes their number and bits_per_byte the code length;
+    ``base_score`` is that of its words and its end under add-one word counts.  Null and empty texts
+    have the end only; a text of any length is read in steps.  Ids may be null or repeat, each row is
+    scored by itself.  With nothing to learn from, counts are zero and every bit has probability one
+    half; an empty table gives no rows.  Other columns are not read, so their names cannot clash.
     """
     spark = docs.sparkSession
-    counts = written(count_table(docs, text_col, train_col), "counts")
+    docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(train_col), F.lit(False)).alias("train"), F.col(text_col).alias("text"))
+    counts = written(count_table(docs, "text", "train"), "counts")
     words = counts.filter(F.col("kind") == WORDS).select("key", "n")
     grams = written(gram_table(counts.filter(F.col("kind") == GRAMS)), "grams")
     size = words.agg(F.sum("n"), F.count("*")).first()
@@ -332,23 +409,31 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     top_words, top_grams = words.filter(F.col("n") >= word_from).toArrow(), grams.filter(F.col("n") >= gram_from).select("key", "logp").toArrow()
     word_head = (top_words["key"].to_numpy().view(_U), np.log10(top_words["n"].to_numpy() + 1.0))
     gram_head = (top_grams["key"].to_numpy().view(_U), top_grams["logp"].to_numpy())
-    heads = spark.sparkContext.broadcast((word_head, gram_head))  # at most ``head`` entries each
+    heads = spark.sparkContext.broadcast(Heads(word_head, gram_head))  # at most ``head`` entries each
     del top_words, top_grams, word_head, gram_head
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = _lookups(heads)
+        tables = heads.value.tables()
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 c = b.slice(at, 500)
-                row, texts = c.column(0).to_numpy(), c.column(1).to_pylist()
-                n, known, base, score = (np.zeros(len(texts)) for _ in range(4))
+                row = c.column(0).to_numpy()
+                n, size, known, base, score = (np.zeros(len(row)) for _ in range(5))
                 rest: list[list[np.ndarray]] = [[], [], [], []]
-
-                def look(kind: int, keys: np.ndarray, of: np.ndarray, sums: np.ndarray, hits: np.ndarray | None) -> None:
+                held: tuple[list, list] = ([], [])
+                wait = [0, 0]
+
+                def look(kind: int) -> None:
+                    if not held[kind]:
+                        return
+                    keys, of = np.concatenate([k for k, _ in held[kind]]), np.repeat([o for _, o in held[kind]], [len(k) for k, _ in held[kind]])
+                    held[kind].clear()
+                    wait[kind] = 0
                     v, found = tables[kind].get(keys)
+                    sums = base if kind == WORDS else score
                     sums += np.bincount(of, v, len(sums))
-                    if hits is not None:
-                        hits += np.bincount(of, found, len(hits))
+                    if kind == WORDS:
+                        known[:] += np.bincount(of, found, len(known))
                     k, o = keys[~found], of[~found]
                     if len(k):  # the rest, once per text and key
                         by = np.lexsort((k, o))
@@ -358,58 +443,51 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         for x, y in zip(rest, (np.full(len(first), kind, np.int32), k[first].view(np.int64), row[o[first]], times)):
                             x.append(y)
 
-                held: list[tuple[np.ndarray, int]] = []
-                of_words = [word_keys(t) for t in texts]
-                n += [len(w) for w in of_words]
-                look(WORDS, np.concatenate(of_words), np.repeat(np.arange(len(texts)), [len(w) for w in of_words]), base, known)
-                size = 0
-                for i, t in enumerate(texts):
-                    for keys in grams_of(t):
-                        held.append((keys, i))
-                        size += len(keys)
-                        if size > STEP:
-                            look(GRAMS, np.concatenate([k for k, _ in held]), np.repeat([o for _, o in held], [len(k) for k, _ in held]), score, None)
-                            held, size = [], 0
-                if held:
-                    look(GRAMS, np.concatenate([k for k, _ in held]), np.repeat([o for _, o in held], [len(k) for k, _ in held]), score, None)
+                for i, t in enumerate(c.column(3)):
+                    raw = _raw(t.as_py())
+                    size[i] = len(raw) + 1
+                    for kind, of in ((WORDS, words_of), (GRAMS, grams_of)):
+                        for keys in of(raw):
+                            held[kind].append((keys, i))
+                            wait[kind] += len(keys)
+                            n[i] += len(keys) if kind == WORDS else 0
+                            if wait[kind] > STEP:
+                                look(kind)
+                look(WORDS)
+                look(GRAMS)
                 kind, key, to, times = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in rest)
-                own = len(row)
+                own, more = len(row), np.zeros(len(key))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.r_[np.full(own, 2, np.int32), kind.astype(np.int32)]), pa.array(np.r_[row, key]), pa.array(np.r_[row, to]), pa.array(np.r_[np.zeros(own, np.int64), times]),
-                        pa.array(np.r_[known, np.zeros(len(key))]), pa.array(np.r_[base, np.zeros(len(key))]), pa.array(np.r_[score, np.zeros(len(key))]), pa.array(np.r_[n, np.zeros(len(key))]),
+                        *(pa.array(np.r_[x, more]) for x in (known, base, score, n, size)), *(pa.concat_arrays([x, pa.nulls(len(key), x.type)]) for x in (c.column(1), c.column(2))),
                     ],
-                    ["kind", "key", "row", "times", "known", "base", "score", "n_tokens"],
+                    ["kind", "key", "row", "times", "known", "base", "score", "n_tokens", "n_bytes", "id", "train"],
                 )
 
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("__id"), F.col(train_col).alias("__train"), F.col(text_col).alias("text"))
-    items = texts.select("row", "text").mapInArrow(read, "kind int, key long, row long, times long, known double, base double, score double, n_tokens double")
+    id_type = docs.schema["id"].dataType.simpleString()
+    # the row number is made and used in one job; id and train travel with it
+    items = docs.select(F.monotonically_increasing_id().alias("row"), "id", "train", "text").mapInArrow(read, f"kind int, key long, row long, times long, known double, base double, score double, n_tokens double, n_bytes double, id {id_type}, train boolean")
     rare = words.filter(F.col("n") < word_from).select(F.lit(WORDS).alias("kind"), "key", F.log10(F.col("n") + 1.0).alias("value"))
     rare = rare.union(grams.filter(F.col("n") < gram_from).select(F.lit(GRAMS).alias("kind"), "key", F.col("logp").alias("value")))
     items = items.join(rare.hint("merge"), ["kind", "key"], "left")
     add = F.coalesce(F.col("value"), F.lit(0.0)) * F.col("times")
     sums = items.groupBy("row").agg(
+        F.first("id", ignorenulls=True).alias("id"),
+        F.first("train", ignorenulls=True).alias("train"),
         F.sum("n_tokens").cast("long").alias("n_tokens"),
+        F.sum("n_bytes").cast("long").alias("n_bytes"),
         F.sum(F.col("known") + F.when((F.col("kind") == WORDS) & F.col("value").isNotNull(), F.col("times")).otherwise(F.lit(0))).cast("long").alias("n_known"),
         F.sum(F.col("base") + F.when(F.col("kind") == WORDS, add).otherwise(F.lit(0.0))).alias("base"),
         F.sum(F.col("score") + F.when(F.col("kind") == GRAMS, add).otherwise(F.lit(0.0))).alias("score"),
     )
-    out = texts.drop("text").join(sums.hint("merge"), "row")
-    return out.select(F.col("__id").alias(id_col), F.col("__train").alias(train_col), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * float(np.log10(total + distinct + 1))).alias("base_score"), "score")
-
-
-_held: list = [None, None]
-
-
-def _lookups(heads) -> tuple[Lookup, Lookup]:
-    """The head tables of a broadcast, built once in a worker."""
-    if _held[0] is not heads.value:
-        _held[:] = heads.value, tuple(Lookup(*h) for h in heads.value)
-    return _held[1]
+    base = F.col("base") - F.col("n_tokens") * float(np.log10(total + distinct + 1))
+    bits = -F.col("score") * float(np.log2(10)) / F.col("n_bytes")
+    return sums.select(F.col("id").alias(id_col), F.col("train").alias(train_col), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score", "n_bytes", bits.alias("bits_per_byte"))
 
 
 def op8_context_tree(spark, sf_dir: str) -> DataFrame:
-    """Contract: scores of all documents, learnt from those whose remainder is not 2."""
+    """Contract: scores of all documents, learnt from those whose remainder is not 2; with the code length per byte."""
     docs = read_table(spark, sf_dir, "documents").withColumn("train", remainder("doc_id", 7) != 2)
     out = score_texts(docs)
-    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte")

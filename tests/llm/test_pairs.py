@@ -280,6 +280,7 @@ def test_context_tree_by_definition(spark, head):
         assert r.score == pytest.approx(model(t), rel=1e-9)
         assert (r.n_tokens, r.n_known) == base(t)[:2] and r.train_tokens == n
         assert r.base_score == pytest.approx(base(t)[2], rel=1e-9)
+        assert r.n_bytes == len(t.encode()) + 1 and r.bits_per_byte == pytest.approx(-r.score * math.log2(10) / r.n_bytes)
 
 
 def test_context_tree_query(spark, sf_dir):
@@ -304,16 +305,46 @@ def test_context_tree_odd_rows(spark, odd_docs, no_docs):
     assert context_tree.score_texts(no_docs.withColumn("train", F.lit(True))).count() == 0
 
 
-def test_probabilities_sum_to_one():
-    keys = np.array([context_tree._keys(b"\xfe" * 5 + t + b"\xff") for t in (b"abab", b"abc")], dtype=object)
-    seen = np.concatenate([k for g in keys for k in g])
+@pytest.mark.parametrize("chunk", [1, 1 << 15])
+def test_probabilities_sum_to_one(spark, chunk):
+    seen = np.concatenate([k for t in (b"abab", b"abc", b"abcabcabd") for k in context_tree.grams_of(t)])
     u, n = np.unique(seen, return_counts=True)
-    ctx = u[3] >> np.uint64(8)
-    every = (ctx << np.uint64(8)) | np.arange(256, dtype=np.uint64)
-    allk, alln = np.unique(np.r_[u, every]), None
-    alln = np.array([n[u == k].sum() for k in allk])
-    node, _, n0, n1 = context_tree.bit_items(allk, alln)
-    two = context_tree.levels_to(node, n0, n1, context_tree.DEPTH, 2)[-1]
-    top = context_tree.Top(two.keys & np.uint64(0xFFFF), two.n0, two.n1, two.log)
-    p = 10.0 ** context_tree.gram_log10(allk, alln, top)
-    assert p[np.isin(allk, every)].sum() == pytest.approx(1.0)
+    every = np.concatenate([(c << np.uint64(8)) | np.arange(256, dtype=np.uint64) for c in np.unique(u >> np.uint64(8))])
+    keys = np.union1d(u, every)
+    rows = [(int(k), int(n[u == k].sum())) for k in keys]
+    got = context_tree.gram_table(spark.createDataFrame(rows, "key long, n long"), chunk).collect()
+    assert len(got) == len(keys)
+    total = defaultdict(float)
+    for r in got:
+        total[r.key >> 8] += 10**r.logp
+    assert all(p == pytest.approx(1.0) for p in total.values())
+
+
+def test_a_text_in_steps_gives_the_same_keys(monkeypatch):
+    raw = context_tree._raw("some Words here, \t and a" + "very" * 40 + " long one\n ünï " * 5)
+    want = [np.concatenate(list(f(raw))).tolist() for f in (context_tree.words_of, context_tree.grams_of)]
+    assert len(want[0]) == len(raw.split()) + 1 and len(want[1]) == len(raw) + 1
+    for step in (1, 7, 64):
+        monkeypatch.setattr(context_tree, "STEP", step)
+        assert [np.concatenate(list(f(raw))).tolist() for f in (context_tree.words_of, context_tree.grams_of)] == want
+
+
+def test_counter_hands_on_what_it_holds():
+    c = context_tree._Counter()
+    rng = np.random.default_rng(1)
+    every = [rng.integers(0, 1 << 62, 1 << 18, dtype=np.uint64) for _ in range(24)]
+    most = 0
+    for k in every:
+        c.add(k, True)
+        most = max(most, c.n + sum(len(x) for x, _ in c.parts))
+        if c.kept > context_tree.KEEP:
+            c.take()
+    assert most <= context_tree.STEP + 2 * context_tree.KEEP + (1 << 19)
+
+
+def test_scores_over_a_shuffled_input_keep_their_rows(spark):
+    rows = [(i, f"text number {i} " * (i % 5 + 1), i % 3 != 0) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, train boolean")
+    want = {r.doc_id: r.score for r in context_tree.score_texts(df).collect()}
+    got = {r.doc_id: r.score for r in context_tree.score_texts(df.repartition(7)).collect()}
+    assert got == {i: pytest.approx(s, rel=1e-9) for i, s in want.items()}
