@@ -1,6 +1,11 @@
 """Every query of the library's own operators against its SQL, and properties of the operators."""
 
 import datetime
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -108,3 +113,18 @@ def test_manifests_stay_small(spark, sf_dir, tmp_path, monkeypatch):
     assert registry.QUERIES["S2_read_manifest"](spark, sf_dir).count() == frame(spark, sf_dir, "label_items").count() > 1000
     sizes = [r.n for r in spark.read.schema(io_queries.files.MANIFEST).json(f"{tmp_path}/m").select(F.size("items").alias("n")).collect()]
     assert max(sizes) < 200 and len(sizes) == len(list((tmp_path / "m").glob("*.json")))
+
+
+def test_the_rest_imports_without_the_training_data_operators(tmp_path):
+    root = Path(registry.__file__).resolve().parents[2]
+    shutil.copytree(root / "docgrid", tmp_path / "docgrid", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py", "bench.py"):
+        if (root / name).exists():
+            shutil.copy(root / name, tmp_path)
+    say = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"PYTHONDONTWRITEBYTECODE": "1"}
+    for gone in (None, "corpus_pipeline.py"):
+        if gone:
+            (tmp_path / gone).unlink(missing_ok=True)
+        out = subprocess.run([sys.executable, "-c", say], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+        assert out.stdout.split()[-2:] == [str(len(registry.QUERIES)), str(len(registry.ORACLES))], out.stderr
