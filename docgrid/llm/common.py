@@ -53,6 +53,24 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(hadoop).delete(where, True)
 
 
+#: A key is hot with more than HOT_ROWS rows and one in HOT of all rows, so there are at most HOT hot keys.
+HOT, HOT_ROWS = 1000, 64
+
+
+def skew_join(rows: DataFrame, table: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """rows (a written table) joined with a table that has one row a key, where any key may hold most rows.
+
+    The entries of the HOT hottest keys at most are broadcast, the others merged; ``how`` is inner or left.
+    """
+    on = [on] if isinstance(on, str) else on
+    total = rows.count()
+    hot = rows.groupBy(*on).agg(F.count("*").alias("__n")).filter(F.col("__n") > max(HOT_ROWS, total // HOT)).select(*on)
+    if total <= HOT_ROWS or hot.isEmpty():
+        return rows.join(table.hint("merge"), on, how)
+    hot = F.broadcast(hot)
+    return rows.join(hot, on, "left_semi").join(F.broadcast(table.join(hot, on, "left_semi")), on, how).unionByName(rows.join(hot, on, "left_anti").join(table.hint("merge"), on, how))
+
+
 def remainder(col: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % n

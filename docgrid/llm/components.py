@@ -9,21 +9,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docgrid.llm.common import discard, written
+from docgrid.llm.common import HOT, HOT_ROWS, discard, written
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_least(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """edges (u, v) with m of least (u, m, n) by u; hubs, a thousandth of all edges each, are not one task.
+
+    n counts edges of u, and all n sum to 2 * total at most, so there are at most 2 * HOT hubs.
+    """
+    limit = max(HOT_ROWS, total // HOT)
+    hubs = F.broadcast(least.filter(F.col("n") > limit).select("u", "m"))
+    return edges.join(hubs, "u").union(edges.join(hubs, "u", "left_anti").join(least.filter(F.col("n") <= limit).select("u", "m").hint("merge"), "u"))
+
+
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     """Every node hands the least of its neighbourhood to its larger neighbours."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter(F.col("v") > F.col("u")).join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    return _with_least(both.filter(F.col("v") > F.col("u")), least, total).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """Every node hands the least of its smaller neighbours to those neighbours and takes it itself."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least.hint("merge"), "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    moved = _with_least(down, least, total).filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -41,7 +51,9 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         if state == before or not state[0]:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
         before, old = state, edges
-        edges = written(_small_star(_large_star(edges)), "links")
+        stars = written(_large_star(edges, state[0]), "stars")
+        edges = written(_small_star(stars, state[0]), "links")
+        discard(stars)
         discard(old)
     raise RuntimeError("components did not settle")
 
@@ -92,3 +104,9 @@ def pairs_within(edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     i = np.repeat(rows, more)
     j = i + 1 + (np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more))
     return i, j
+
+
+def components_sql(nodes: str, links: str) -> str:
+    """SQL for (id, component): the least id reachable, from tables of nodes (id) and of links (a, b) in both directions."""
+    return f"""select id, min(far) as component from (
+    with recursive reach(id, far) as (select id, id from {nodes} union select r.id, l.b from reach r join {links} l on l.a = r.far) select * from reach) group by id"""
