@@ -19,8 +19,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docgrid.llm.common import ascii_words, mix, read_table, written
-from docgrid.llm.components import components, sorted_groups
+from docgrid.llm.common import ascii_words, mix, read_table, skew_join, written
+from docgrid.llm.components import components, components_sql, sorted_groups
 
 HASHES, BITS, ROWS_PER_BAND = 128, 2, 5
 BANDS = HASHES // ROWS_PER_BAND
@@ -119,7 +119,7 @@ def confirmed(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, wor
     read as a stream that keeps the centre's set only.
     """
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).alias("parts"))
-    cell = pairs.join(parts.hint("merge"), "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), "b")
+    cell = skew_join(pairs, parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), "b")
     need = cell.select("a", "part", F.lit(1).alias("side"), F.col("b").alias("id")).union(cell.select("a", "part", F.lit(0), "a").distinct())
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = texts.join(need.hint("merge"), "id").select("a", "part", "side", "id", "text").repartition("a", "part").sortWithinPartitions("a", "part", "side", "id")
@@ -244,8 +244,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     centres = members.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("n")).filter("n > 1").select("key", "centre")
     shared = written(members.join(centres.hint("merge"), "key"), "buckets")
     bits = reps.select("id", "sig", "bands")
-    pairs = shared.filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-    pairs = pairs.join(bits.select(F.col("id").alias("a"), F.col("sig").alias("sa")).hint("merge"), "a").join(bits.select(F.col("id").alias("b"), F.col("sig").alias("sb")).hint("merge"), "b")
+    pairs = written(shared.filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "candidates")
+    pairs = skew_join(pairs, bits.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(bits.select(F.col("id").alias("b"), F.col("sig").alias("sb")).hint("merge"), "b")
     pairs = written(pairs.filter(estimate(F.col("sa"), F.col("sb")) >= least).select("a", "b"), "pairs")
     links = written(confirmed(known, pairs, id_col, text_col, words, percent), "confirmed")
     comps = written(components(links), "components")
@@ -261,7 +261,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             comps = written(components(links.union(more)), "components")
 
     own = reps.select("k1", "k2", "id").join(comps.hint("merge"), "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component"))
-    out = sigs.select("id", "n", "k1", "k2").join(own.hint("merge"), ["k1", "k2"], "left")
+    out = sigs.select("id", "n", "k1", "k2")
+    out = skew_join(out.filter("k1 is not null"), own, ["k1", "k2"]).select("id", "n", "component").union(out.filter("k1 is null").select("id", "n", F.col("id")))
     out = out.groupBy("id").agg(F.max("n").alias("n_shingles"), F.least(F.min("component"), F.col("id")).alias("component_id"))
     out = out.select(F.col("id").alias(id_col), "n_shingles", "component_id", (F.col("component_id") == F.col("id")).alias("kept"))
     unknown = docs.filter(F.col(id_col).isNull()).select(F.col(id_col), F.lit(None).cast("long").alias("n_shingles"), F.col(id_col).alias("component_id"), F.lit(True).alias("kept"))
@@ -271,3 +272,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def op3_minhash(spark, sf_dir: str) -> DataFrame:
     """Contract: three-word shingles, similarity 0.85."""
     return near_duplicates(read_table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
+OP3_SQL = f"""
+with w as (
+  select doc_id as id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as ws from documents
+), g as (
+  select id, list_distinct(case when len(ws) = 0 then [] when len(ws) < 3 then [array_to_string(ws, ' ')] else [ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] for i in range(1, len(ws) - 1)] end) as s from w
+), u as (select id, len(s) as n, unnest(s) as h from g), l as (
+  select x.id as a, y.id as b from u x join u y on x.h = y.h and x.id <> y.id and 100 * least(x.n, y.n) >= 85 * greatest(x.n, y.n)
+  group by x.id, y.id, x.n, y.n having 100 * count(*) >= 85 * (x.n + y.n - count(*))
+), n as (select id from g), c as ({components_sql("n", "l")})
+select id as doc_id, len(s) as n_shingles, component as component_id, component = id as kept from g join c using (id)
+"""
