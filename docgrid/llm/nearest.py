@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from docgrid.llm.common import read_table, written
 from docgrid.llm.near_vectors import valid_vector
 
-SHARD, LEAF, QUERY_BLOCK = 8192, 128, 256
+#: Bytes of a shard's vectors, points of a leaf, queries of a block, and blocks that one copy of a tree serves.
+SHARD_BYTES, LEAF, QUERY_BLOCK, BLOCKS_PER_TREE = 4 << 20, 128, 256, 64
 FACTOR = 1.5
 
 
@@ -95,10 +96,14 @@ class Search:
         self.visit(0, np.arange(len(self.q)))
 
 
-def tree_index(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", shard: int = SHARD, leaf: int = LEAF) -> DataFrame:
-    """One row per shard: dim, shard, shards, ids, x, nodes, gaps, written to the shared folder.  Every valid vector is in."""
-    rows = vectors.filter(F.col(id_col).isNotNull() & valid_vector(vec_col)).select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), F.size(vec_col).alias("dim")).dropDuplicates(["id"])
-    shards = max(1, -(-rows.count() // shard))
+def _points(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """(id, dim, vec) of the valid vectors; of rows repeated under one id the least vector."""
+    rows = vectors.filter(F.col(id_col).isNotNull() & valid_vector(vec_col)).select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
+    return rows.groupBy("id").agg(F.min("vec").alias("vec")).select("id", F.size("vec").alias("dim"), "vec")
+
+
+def tree_index(points: DataFrame, sizes: DataFrame, leaf: int = LEAF) -> DataFrame:
+    """One row per shard: dim, shard, ids, x, nodes, gaps, of points (id, dim, vec).  Every point is in; sizes: (dim, shards)."""
 
     def grow(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         t = t.sort_by("id")
@@ -107,38 +112,53 @@ def tree_index(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
         lists = [t["id"].to_numpy()[order], x[order].ravel(), nodes.ravel(), gaps.ravel()]
         return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int64()), *(pa.array([v]) for v in lists)], ["dim", "shard", "ids", "x", "nodes", "gaps"])
 
-    trees = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards))).groupBy("dim", "shard").applyInArrow(grow, "dim int, shard long, ids array<long>, x array<double>, nodes array<long>, gaps array<double>")
-    return written(trees, "trees").withColumn("shards", F.lit(shards).cast("long"))
+    dealt = points.join(F.broadcast(sizes), "dim").withColumn("shard", F.pmod(F.xxhash64("id"), F.col("shards")))
+    return dealt.groupBy("dim", "shard").applyInArrow(grow, "dim int, shard long, ids array<long>, x array<double>, nodes array<long>, gaps array<double>")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", factor: float = FACTOR, shard: int = SHARD) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", factor: float = FACTOR, shard_bytes: int = SHARD_BYTES, query_block: int = QUERY_BLOCK, blocks_per_tree: int = BLOCKS_PER_TREE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest vectors of each query other than its own id.
 
     Euclidean distance in double precision, ties to the smaller id.  Null, zero, empty and non-finite
     vectors and null ids take no part, as query or candidate; vectors meet those of their own length.
-    Rows repeated under one id count once each as candidates; a repeated query is asked once.  With
-    fewer than k candidates all are told; empty tables give no rows.
+    Of rows repeated under one id the least vector (by its components in order) counts, once.  With
+    fewer than k candidates all are told; empty tables give no rows.  Other columns are not read, so
+    their names cannot clash.
+
+    Shards hold about shard_bytes of vectors.  A tree goes once to each task that has its share of
+    blocks_per_tree blocks of queries, which are read as a stream behind it.
     """
-    trees = tree_index(vectors, id_col, vec_col, shard)
-    ask = queries.filter(F.col(id_col).isNotNull() & valid_vector(vec_col)).select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), F.size(vec_col).alias("dim")).dropDuplicates(["id"])
-    ask = written(ask, "queries")
-    blocks = max(1, -(-ask.count() // QUERY_BLOCK))
+    points = written(_points(vectors, id_col, vec_col), "points")
+    # a row per vector length: no more than the longest vector has components
+    sizes = written(points.groupBy("dim").agg(F.count("*").alias("n")).select("dim", F.ceil(F.col("n") * F.col("dim") * 8 / shard_bytes).alias("shards")), "shards")
+    trees = written(tree_index(points, sizes), "trees")
+    ask = written(_points(queries, id_col, vec_col), "queries")
+    blocks = max(1, -(-ask.count() // query_block))
+    parts = -(-blocks // blocks_per_tree)
     asked = ask.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).groupBy("dim", "block").agg(F.sort_array(F.collect_list(F.struct("id", "vec"))).alias("q"))
-    shards = trees.select(F.max("shards")).first()[0] or 1
-    asked = asked.select("dim", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.col("q.id").alias("qid"), F.flatten("q.vec").alias("q"))
-    pairs = trees.drop("shards").join(asked.hint("merge"), ["dim", "shard"]).select("dim", "ids", "x", "nodes", "gaps", "qid", "q")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    asked = asked.join(F.broadcast(sizes), "dim").select("dim", every(F.col("shards")).alias("shard"), (F.col("block") % parts).alias("part"), F.col("q.id").alias("qid"), F.flatten("q.vec").alias("q"))
+    trees = trees.select("dim", "shard", every(F.lit(parts).cast("long")).alias("part"), "ids", "x", "nodes", "gaps")
+    rows = trees.unionByName(asked, allowMissingColumns=True).withColumn("is_block", F.col("qid").isNotNull())
+    # as many tasks as there are trees to send, but not more than four times the usual number
+    tasks = min(4 * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts * (sizes.agg(F.sum("shards")).first()[0] or 1))
+    rows = rows.repartition(tasks, "dim", "shard", "part").sortWithinPartitions("dim", "shard", "part", "is_block").select("dim", "ids", "x", "nodes", "gaps", "qid", "q")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree: tuple[np.ndarray, ...] = ()
         for b in batches:
             for r in range(b.num_rows):
                 dim = b.column(0)[r].as_py()
-                ids, x, nodes, gaps, qid, q = (b.column(c)[r].values.to_numpy() for c in range(1, 7))
-                s = Search(ids, x.reshape(-1, dim), nodes.reshape(-1, 3), gaps.reshape(-1, 2), qid, q.reshape(-1, dim), k, factor)
+                ids, x, nodes, gaps, qid, q = (b.column(c)[r].values for c in range(1, 7))
+                if qid is None:
+                    tree = ids.to_numpy(), x.to_numpy().reshape(-1, dim).copy(), nodes.to_numpy().reshape(-1, 3), gaps.to_numpy().reshape(-1, 2)
+                    continue
+                s = Search(*tree, qid.to_numpy(), q.to_numpy().reshape(-1, dim), k, factor)
                 s.run()
                 i, j = np.nonzero(np.isfinite(s.dist))
-                yield pa.RecordBatch.from_arrays([pa.array(qid[i]), pa.array(s.ids[i, j]), pa.array(s.dist[i, j])], ["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(s.qid[i]), pa.array(s.ids[i, j]), pa.array(s.dist[i, j])], ["query_id", "vec_id", "score"])
 
-    found = pairs.mapInArrow(search, "query_id long, vec_id long, score double")
+    found = rows.mapInArrow(search, "query_id long, vec_id long, score double")
     by = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -147,3 +167,16 @@ def op5_nearest(spark, sf_dir: str) -> DataFrame:
     """Contract: ten nearest of every vector whose id is divisible by 100."""
     vectors = read_table(spark, sf_dir, "embeddings")
     return nearest(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
+
+
+#: The exact answer; on tables of one shard the search leaves nothing out that belongs to it.
+OP5_SQL = """
+with v as (
+  select vec_id, embedding::double[] as e from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), d as (
+  select q.vec_id as query_id, c.vec_id, list_distance(q.e, c.e) as score from v q join v c on c.vec_id <> q.vec_id and len(c.e) = len(q.e) where q.vec_id % 100 = 0
+)
+select query_id, cast(rank as int) as rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score, vec_id) as rank from d) where rank <= 10
+"""
