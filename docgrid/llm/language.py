@@ -8,7 +8,6 @@ phi, and a batch is scored as (presence x landmarks) x coefficients.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,15 +16,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docgrid.llm.common import read_table, remainder
+from docgrid.llm.common import read_table, remainder, written
 
 MAX_N = 4
 DIM = 1 << 14
-#: The fit's bound: so many labelled documents per language, and landmarks among them; at most MAX_LANGS languages (by count).
-PER_LANG, LANDMARKS_PER_LANG, MAX_LANGS = 200, 16, 64
+#: The fit's bound: labelled documents in all and a language, and landmarks in all and a language; languages share them evenly.
+SAMPLE, PER_LANG, LANDMARKS, LANDMARKS_PER_LANG = 12_800, 200, 1024, 16
 RIDGE = 1e-2
 ROWS = 64
-_LETTER = re.compile(r"[^\W\d_]")
 _STEP = 1 << 22
 
 
@@ -45,7 +43,8 @@ def presence(text: str) -> np.ndarray:
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    """Whether any character is a letter (general category L), as the fit's \\p{L} has it."""
+    return bool(text) and any(map(str.isalpha, text))
 
 
 @dataclass
@@ -61,52 +60,61 @@ class LanguageModel:
         return ((x @ self.landmarks) / norm) @ self.coef + self.bias
 
 
-def fit(spark, docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_lang: int = PER_LANG, landmarks: int = LANDMARKS_PER_LANG, ridge: float = RIDGE) -> LanguageModel | None:
-    """Fit on a sample of at most per_lang documents a language, the first by a hash of id and text
-    length among those that have a letter.  Only their presence vectors (DIM / 8 bytes each) come to
-    the driver.  None without any labelled text.
+def fit(spark, docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_lang: int = PER_LANG, landmarks: int = LANDMARKS_PER_LANG, ridge: float = RIDGE, sample: int = SAMPLE, most_landmarks: int = LANDMARKS) -> LanguageModel | None:
+    """Fit on a bounded sample: at most ``sample`` documents, per_lang a language, the first by a hash of
+    id and text length among those that have a letter.  Every language has its share of the sample and
+    of the landmarks, down to one document each.  Only presence vectors (DIM / 8 bytes each) come to the
+    driver.  None without any labelled text.
     """
     pool = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    sizes = pool.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MAX_LANGS).collect()
-    if not sizes:
+    # more languages than the sample has documents leave the rarest ones without any
+    sizes = written(pool.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(sample), "languages")
+    n = sizes.count()
+    if not n:
         return None
-    share = F.lit(0.0)
-    for r in sizes:  # a hash threshold first, so that ranking sees few rows of any language
-        share = F.when(F.col(lang_col) == r[0], min(1.0, 3.0 * per_lang / r["count"] + 1e-9)).otherwise(share)
+    per_lang, landmarks = max(1, min(per_lang, sample // n)), max(1, min(landmarks, most_landmarks // n))
+    # a hash threshold first, so that ranking sees few rows of any language; sizes has ``sample`` rows at most
+    share = F.broadcast(sizes.select("lang", F.least(F.lit(1.0), 8.0 * per_lang / F.col("count") + 1e-9).alias("share")))
     h = F.xxhash64(F.lit("lang"), F.col(id_col), F.length(text_col))
-    rank = Window.partitionBy("lang").orderBy("h", "id")
+    rank = Window.partitionBy("lang").orderBy("h", "id", "text")
 
     @F.pandas_udf("binary")
     def packed(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: np.packbits(presence(t)).tobytes())
 
-    few = pool.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), h.alias("h"), share.alias("share"))
-    few = few.filter((F.pmod("h", F.lit(1 << 20)) / (1 << 20)) < F.col("share")).withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= per_lang)
-    rows = few.select("lang", "r", packed("text").alias("x")).orderBy("lang", "r").collect()
-    langs = sorted({r["lang"] for r in rows})
-    x = np.array([np.unpackbits(np.frombuffer(r["x"], np.uint8)) for r in rows], np.float32)
-    y = np.array([[1.0 if r["lang"] == g else -1.0 for g in langs] for r in rows])
-    x /= np.sqrt(np.maximum(1.0, x.sum(1, keepdims=True)))
-    mark = x[[i for i, r in enumerate(rows) if r["r"] <= landmarks]]
+    few = pool.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), h.alias("h")).join(share, "lang")
+    few = few.filter((F.pmod("h", F.lit(1 << 30)) / (1 << 30)) < F.col("share")).withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= per_lang)
+    rows = few.select("lang", "r", "h", packed("text").alias("x")).orderBy("lang", "r").collect()
+    langs, of = np.unique([r["lang"] for r in rows], return_inverse=True)
+    marks = sorted((i for i, r in enumerate(rows) if r["r"] <= landmarks), key=lambda i: (rows[i]["r"], rows[i]["h"]))[:most_landmarks]
+
+    def kernel_rows(some: list[int]) -> np.ndarray:
+        x = np.array([np.unpackbits(np.frombuffer(rows[i]["x"], np.uint8)) for i in some], np.float32)
+        return x / np.sqrt(np.maximum(1.0, x.sum(1, keepdims=True)))
+
+    mark = kernel_rows(sorted(marks))
     value, vector = np.linalg.eigh((mark @ mark.T).astype(float))
     good = value > 1e-6 * value.max()
     root = vector[:, good] / np.sqrt(value[good])
-    phi = (x @ mark.T).astype(float) @ root
-    balance = np.array([1.0 / sum(q["lang"] == r["lang"] for q in rows) for r in rows])
+    phi = np.concatenate([(kernel_rows(list(range(at, min(at + 512, len(rows))))) @ mark.T).astype(float) @ root for at in range(0, len(rows), 512)])
+    y = np.where(of[:, None] == np.arange(len(langs)), 1.0, -1.0)
+    balance = 1.0 / np.bincount(of)[of]
     balance /= balance.sum()
     mean_phi, mean_y = balance @ phi, balance @ y
     a = (phi - mean_phi) * balance[:, None]
     w = np.linalg.solve(a.T @ (phi - mean_phi) + ridge / len(rows) * np.eye(phi.shape[1]), a.T @ (y - mean_y))
-    return LanguageModel(langs, np.ascontiguousarray(mark.T), (root @ w).astype(np.float32), (mean_y - mean_phi @ w).astype(np.float32))
+    return LanguageModel(langs.tolist(), np.ascontiguousarray(mark.T), (root @ w).astype(np.float32), (mean_y - mean_phi @ w).astype(np.float32))
 
 
 def predict(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: id_col, the columns named in keep, lang_pred and score (0 to 1).
 
     Null text, text without a letter, and any text when nothing was learnt get "und" and score 0.
-    Ties go to the first language by name.  Other columns are not read.
+    Ties go to the first language by name.  Texts of any length are read whole, in steps; null ids and
+    repeated rows are predicted like any other.  Columns not named are not read, so their names cannot
+    clash, except that id_col and keep must not hold lang_pred or score.  An empty table gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # DIM x landmarks floats at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # DIM x LANDMARKS floats at most
 
     @F.pandas_udf("lang_pred string, score double")
     def guess(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
