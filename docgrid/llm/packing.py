@@ -22,8 +22,8 @@ from docgrid.llm.tokens import TOKENIZER, encoder
 
 SEQUENCE = 2048
 END_ID = 0
-#: Documents in a sequence at most, and its attention cost at most.
-MAX_DOCS, MAX_COST = 1024, SEQUENCE * SEQUENCE
+#: Documents in a sequence at most, and its attention cost at most: as many as tokens and one full piece, so that neither costs a sequence unless set lower.
+MAX_DOCS, MAX_COST = SEQUENCE, SEQUENCE * SEQUENCE
 WEIGHTS = (1.0, 0.01, 0.01)
 #: Pieces that one task packs together; groups are dealt by hash, so each is a fair sample of the lengths.
 GROUP = 8192
@@ -85,18 +85,21 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     return docs.select(F.col(id_col), F.col(text_col).alias("text"), *keep).mapInArrow(cut, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long{kept}")
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, end_id: int = END_ID, size: int = SEQUENCE, max_docs: int = MAX_DOCS, max_cost: int | None = None, group: int = GROUP, weights: tuple[float, float, float] = WEIGHTS, rule: str = "norm") -> DataFrame:
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, end_id: int = END_ID, size: int = SEQUENCE, max_docs: int | None = None, max_cost: int | None = None, group: int = GROUP, weights: tuple[float, float, float] = WEIGHTS, rule: str = "norm") -> DataFrame:
     """One row per piece: id_col, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null and empty texts make a piece of the end id alone; null ids and repeated rows are packed like
     any other; an empty table gives no rows.  A full piece is a sequence of its own; the others are
     packed in groups of about ``group`` pieces, so at most a few sequences a group stay partly empty.
+    max_docs and max_cost bound the documents and the sum of squared lengths of a sequence (size and
+    size * size unless given); a piece that costs more by itself is a sequence of its own.  Texts of any
+    length are cut into pieces; among equally good sequences the first in the group's list is taken.
+    Other columns are not read, so their names cannot clash.
     """
-    max_cost = max_cost or size * size
-    if max_cost < size * size:
-        raise ValueError("max_cost must let a full piece in")
+    max_docs, max_cost = max_docs or size, max_cost or size * size
     rows = written(pieces(docs, id_col, text_col, tokenizer, end_id, size), "pieces").withColumn("row", F.monotonically_increasing_id())
-    full, open_ = rows.filter(F.col("length") >= size), rows.filter(F.col("length") < size)
+    single = (F.col("length") >= size) | (F.col("length") * F.col("length") > max_cost)
+    full, open_ = rows.filter(single), rows.filter(~single)
     groups = max(1, -(-open_.count() // group))
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -111,16 +114,15 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return packed.unionByName(alone)
 
 
-def pack_in_order(docs: DataFrame, order_col: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, end_id: int = END_ID, size: int = SEQUENCE, max_docs: int = MAX_DOCS, max_cost: int | None = None, group: int = GROUP, weights: tuple[float, float, float] = WEIGHTS, rule: str = "norm") -> DataFrame:
+def pack_in_order(docs: DataFrame, order_col: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, end_id: int = END_ID, size: int = SEQUENCE, max_docs: int | None = None, max_cost: int | None = None, group: int = GROUP, weights: tuple[float, float, float] = WEIGHTS, rule: str = "norm") -> DataFrame:
     """pack_documents with the order of order_col kept: the same columns, and sequence ids that rise with it.
 
     Pieces stand by order_col (nulls first), then id and place in the document; stretches of ``group``
     of them are packed together, so a sequence never holds pieces of two stretches, and every sequence
     of a stretch has a lower id than those of the next.  In a stretch sequences follow their first piece.
+    Nulls, repeated rows, empty tables and capacities are as in pack_documents.
     """
-    max_cost = max_cost or size * size
-    if max_cost < size * size:
-        raise ValueError("max_cost must let a full piece in")
+    max_docs, max_cost = max_docs or size, max_cost or size * size
     rows = written(pieces(docs, id_col, text_col, tokenizer, end_id, size, (order_col,)), "pieces")
     parts = max(1, min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // group)))
     order = [order_col, id_col, "piece", "ids_crc32"]
@@ -128,7 +130,7 @@ def pack_in_order(docs: DataFrame, order_col: str, id_col: str = "doc_id", text_
 
     def stretch(t: pa.Table, first: int) -> tuple[pa.Table, int]:
         lengths = t["length"].to_numpy()
-        open_ = np.flatnonzero(lengths < size)
+        open_ = np.flatnonzero((lengths < size) & (lengths * lengths <= max_cost))
         where, offset = np.arange(len(lengths)), np.zeros(len(lengths), np.int64)
         if len(open_):
             bins, offset[open_] = pack(lengths[open_], size, max_docs, max_cost, weights, rule)
