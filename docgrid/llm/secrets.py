@@ -69,15 +69,32 @@ def looks_random(run: str, vocab: str = VOCAB, ratio: float = MAX_CHARS_PER_TOKE
     return not _efficient(run, vocab, ratio) and not is_known(run, vocab, ratio)
 
 
-def _rests(start: int, end: int, base: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
-    """What the base spans leave of start..end."""
-    for s, e in sorted(base):
-        if s < end and start < e:
-            if start < s:
-                yield start, s
-            start = max(start, e)
+def _rests(start: int, end: int, base: list[tuple[int, int]], at: int) -> tuple[list[tuple[int, int]], int]:
+    """What the sorted base spans, from number ``at`` on, leave of start..end; and the first span that reaches beyond it."""
+    out = []
+    while at < len(base) and base[at][1] <= start:
+        at += 1
+    k = at
+    while k < len(base) and base[k][0] < end:
+        s, e = base[k]
+        if start < s:
+            out.append((start, s))
+        start = max(start, e)
+        k += 1
     if start < end:
-        yield start, end
+        out.append((start, end))
+    return out, at
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted, overlapping ones joined."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
 
 
 def find_spans(text: str | None, vocab: str = VOCAB, ratio: float = MAX_CHARS_PER_TOKEN) -> list[tuple[str, int, int]]:
@@ -90,9 +107,9 @@ def find_spans(text: str | None, vocab: str = VOCAB, ratio: float = MAX_CHARS_PE
     if "AKIA" in text:
         out += [(1, m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= ACCESS_MIN]
     out += [(2, m.start(), m.end()) for m in HEX.finditer(text)]
-    base = [(s, e) for _, s, e in out]
-    for m in _RUN.finditer(text):
-        rests = list(_rests(m.start(), m.end(), base))
+    base, at = _merged([(s, e) for _, s, e in out]), 0
+    for m in _RUN.finditer(text):  # runs and base spans both go forward, so each list is walked once
+        rests, at = _rests(m.start(), m.end(), base, at)
         if rests == [m.span()]:
             if looks_random(m[0], vocab, ratio):
                 out.append((3, m.start(), m.end()))
@@ -138,10 +155,10 @@ def redact(text: str | Column, vocab: str = VOCAB, ratio: float = MAX_CHARS_PER_
 
 
 def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: str = VOCAB, ratio: float = MAX_CHARS_PER_TOKEN) -> DataFrame:
-    """One row per input row: id_col and spans, over the whole text.
+    """One row per input row: id_col and spans, over the whole text, whatever its length.
 
-    Null and empty texts have no spans; null ids, repeated rows and other columns have no influence;
-    an empty table gives no rows.  Of a random run that overlaps a known pattern, what is left around it is told.
+    Null and empty texts have no spans; null ids, repeated rows and other columns, whatever their
+    names, have no influence; an empty table gives no rows.  Of a random run that overlaps a known pattern, what is left around it is told.
     """
     return docs.select(F.col(id_col), secret_spans(F.col(text_col), vocab, ratio).alias("spans"))
 
@@ -156,3 +173,39 @@ def op2_secrets(spark, sf_dir: str) -> DataFrame:
     n = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda s: s["kind"] != KINDS[3])
     return found.select("doc_id", *[n(k) for k in KINDS[:3]], F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), n(KINDS[3]))
+
+
+def known_patterns_query(spark, sf_dir: str) -> DataFrame:
+    """The part of op2_secrets that SQL can say: everything but the spans of the token test."""
+    return op2_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def _matches(kind: int, pattern: str, keep: str) -> str:
+    """SQL for (doc_id, kind, start, end) of a pattern: the pieces between matches tell where they are."""
+    return f"""
+  select doc_id, {kind} as kind, place as s, place + len(hit) as e from (
+    select doc_id, hit, sum(len(piece)) over w + coalesce(sum(len(hit)) over (w rows between unbounded preceding and 1 preceding), 0) as place from (
+      select doc_id, unnest(string_split_regex(text, $${pattern}$$)) as piece, unnest(list_append(regexp_extract_all(text, $${pattern}$$), null)) as hit, generate_subscripts(list_append(regexp_extract_all(text, $${pattern}$$), null), 1) as k from t
+    ) window w as (partition by doc_id order by k)
+  ) where hit is not null and {keep}"""
+
+
+PATTERNS_SQL = (
+    "with t as (select doc_id, coalesce(text, '') as text from documents), m as ("
+    + "\n  union all".join(
+        [
+            _matches(0, r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""", r"""len(regexp_extract(hit, $$^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)$$, 1)) >= 12"""),
+            _matches(1, "AKIA[A-Z0-9]+", "len(hit) >= 18"),
+            _matches(2, "[0-9a-f]+", "len(hit) >= 16"),
+        ]
+    )
+    + """
+), g as (
+  select doc_id, count(*) filter (kind = 0) as n_assign, count(*) filter (kind = 1) as n_access, count(*) filter (kind = 2) as n_hex,
+    string_agg(['assign', 'access', 'hex'][kind + 1] || ':' || s || ':' || e, ',' order by s, kind) as spans
+  from m group by doc_id
+)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(spans, '')) as base_sha256
+from t left join g using (doc_id)
+"""
+)
