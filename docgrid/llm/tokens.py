@@ -24,8 +24,8 @@ from docgrid.llm.common import new_path, read_table, written
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
-#: Words and pre-tokens that a worker keeps; beyond that it starts afresh.
-KEPT_WORDS = 700_000
+#: Words and pre-tokens that a worker keeps, of so many characters at most; beyond that it starts afresh.
+KEPT_WORDS, KEPT_CHARS = 500_000, 64
 #: A blank is a safe cut before a non-blank; where blanks meet, only the last one is.
 _RUN_OF_BLANKS = re.compile(r" (?!\S)")
 _CUT = re.compile(r" (?=\S)")
@@ -50,7 +50,9 @@ class _Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= KEPT_WORDS:
             self.clear()
-        out = self[piece] = array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
+        out = array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
+        if len(piece) <= KEPT_CHARS:
+            self[piece] = out
         return out
 
 
@@ -74,7 +76,7 @@ class _Words(dict):
                 out += self.pieces[plain[2]]
         else:
             out = b"".join([self.pieces[p] for p, _ in self.split(self.lead + word)])
-        if len(word) <= 64:
+        if len(word) <= KEPT_CHARS:
             self[word] = out
         return out
 
@@ -119,8 +121,12 @@ def write_token_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
     File part-N holds the N-th range of ids, seq is the row's place in its file, ids the integer
     run-length coded tokens, as the tokenizer's encode gives them, with the end id.  Row indexes and a Bloom filter on the id let a reader
     skip stripes; stripes are read in parallel.  Null and empty texts have the end id only; null ids
-    come first; rows repeated under one id stand together, by text.
+    come first; rows repeated under one id stand together, by text; texts of any length make one row;
+    an empty table gives a table without rows.  Other columns are not read; id_col must not be one of
+    the table's own names (file, seq, ids).
     """
+    if id_col in ("file", "seq", "ids"):
+        raise ValueError(f"a token table has a column {id_col} of its own")
     ordered = docs.select(F.col(id_col), F.col(text_col).alias("text")).repartitionByRange(id_col).sortWithinPartitions(id_col, "text")
     end = np.array([end_id], "<u4").tobytes()
 
