@@ -72,17 +72,19 @@ def curriculum(
     source_col: str = "source",
     schedules: Sequence[Schedule] = SCHEDULES,
     max_repeats: int = MAX_REPEATS,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per input row: id_col, source, size, source_size, target, n_takes, positions.
+    """One row per input row: id_col, the columns named in keep, source, size, source_size, target, n_takes, positions.
 
     ``size`` is the number of words.  A source's documents stand in the order of md5(id); all are
     taken floor(target / source_size) times, and once more while the running size, taken to the
     document's middle, is within the rest.  ``positions`` has the training time (0..1) of each take.
     Null text and empty text have size 0 and are never taken; a null source is a source of its own,
-    last in order; a null id hashes as empty text; repeated rows count as often as they stand; an
-    empty table gives no rows.  Other columns are not read.
+    last in order; a null id hashes as empty text; repeated rows count as often as they stand, each
+    with takes of its own; an empty table gives no rows.  Other columns are not read.
     """
     sized = docs.select(
+        *(F.col(c).alias(f"__keep_{i}") for i, c in enumerate(keep)),
         F.col(id_col).alias("id"),
         F.col(source_col).cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
@@ -115,18 +117,24 @@ def curriculum(
         return out
 
     takes = F.when(F.col("n_takes") > 0, F.transform(F.sequence(F.lit(0), F.col("n_takes") - 1), position)).otherwise(F.array().cast("array<double>"))
-    return placed.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "n_takes", takes.alias("positions"))
+    kept = [F.col(f"__keep_{i}").alias(c) for i, c in enumerate(keep)]
+    return placed.select(F.col("id").alias(id_col), *kept, "source", "size", "source_size", "target", "n_takes", takes.alias("positions"))
 
 
-def training_order(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", keep_position: bool = False) -> DataFrame:
-    """The rows of docs as often as the mix takes them, range-sorted by training position.
+def training_order(docs: DataFrame, mixed: DataFrame, row_col: str = "row", order_by: str = "doc_id") -> DataFrame:
+    """The rows of docs as often as the mix takes them, range-sorted by training position, with that position.
 
-    Rows repeated under one id share one entry of the mix.
+    ``row_col`` numbers the rows of docs, a written table, and comes along in ``mixed`` (``keep`` of curriculum),
+    so rows that repeat an id, or have none, keep their own takes.  Ties go by order_by.
     """
-    takes = mixed.filter(F.col("n_takes") > 0).groupBy(F.col(id_col).alias("__id")).agg(F.max("positions").alias("__at")).select("__id", F.explode("__at").alias("__at"))
-    out = docs.join(takes.hint("merge"), docs[id_col].eqNullSafe(F.col("__id"))).drop("__id")
-    out = out.repartitionByRange("__at").sortWithinPartitions("__at", id_col)
-    return out.withColumnRenamed("__at", "position") if keep_position else out.drop("__at")
+    takes = mixed.select(F.col(row_col).alias("__row"), F.explode("positions").alias("position"))
+    out = docs.join(takes.hint("merge"), docs[row_col] == F.col("__row")).drop("__row")
+    return out.repartitionByRange("position", row_col).sortWithinPartitions("position", order_by, row_col)
+
+
+def numbered(docs: DataFrame, name: str = "numbered") -> DataFrame:
+    """docs written with a row number in the column ``row``."""
+    return written(docs.withColumn("row", F.monotonically_increasing_id()), name)
 
 
 def ordered_takes(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -144,23 +152,20 @@ def ordered_takes(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return takes.join(F.broadcast(parts), "part").select("row", id_col, "take", "position", place.alias("place"))
 
 
-def _numbered(spark, sf_dir: str) -> DataFrame:
-    return written(curriculum(read_table(spark, sf_dir, "documents")).withColumn("row", F.monotonically_increasing_id()), "mix")
-
-
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
-    """Contract: words taken of every document, counted in the written training order."""
-    mixed = _numbered(spark, sf_dir)
-    taken = ordered_takes(mixed).groupBy("row").agg(F.count("position").alias("n"))
-    return mixed.join(taken.hint("merge"), "row", "left").select("doc_id", "size", "source_size", "target", (F.col("size") * F.coalesce("n", F.lit(0))).cast("long").alias("taken"))
+    """Contract: words taken of every document, counted in the written training order; with its first and last position."""
+    mixed = numbered(curriculum(read_table(spark, sf_dir, "documents")), "mix")
+    took = ordered_takes(mixed).groupBy("row").agg(F.count("position").alias("n"), F.min("position").alias("first_position"), F.max("position").alias("last_position"))
+    taken = (F.col("size") * F.coalesce("n", F.lit(0))).cast("long").alias("taken")
+    return mixed.join(took.hint("merge"), "row", "left").select("doc_id", "size", "source_size", "target", taken, "first_position", "last_position")
 
 
-def op7_training_order(spark, sf_dir: str) -> DataFrame:
+def training_order_query(spark, sf_dir: str) -> DataFrame:
     """Every take with its training position; ``place`` is its rank in the range-sorted order."""
-    return ordered_takes(_numbered(spark, sf_dir)).select("doc_id", "take", "position", "place")
+    return ordered_takes(numbered(curriculum(read_table(spark, sf_dir, "documents")), "mix")).select("doc_id", "take", "position", "place")
 
 
-OP7_SQL = r"""
+_SQL = r"""
 with d as (
   select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size, md5(coalesce(cast(doc_id as varchar), '')) as h
   from documents
@@ -173,33 +178,28 @@ with d as (
     sum(weight) over (order by cap / weight, place rows between current row and unbounded following) as left_w, (select sum(source_size)::double from s) as total
   from w
 ), t as (
-  select source, source_size, least(cap, (select max((total - before) / left_w) from l) * weight) as target from l
-), c as (
-  select d.doc_id, d.size, t.source_size, t.target,
+  select source, source_size, (place - 1) % 3 as slot, least(cap, (select max((total - before) / left_w) from l) * weight) as target from l
+), p as (
+  select d.doc_id, d.size, t.source_size, t.target, t.slot, row_number() over () as row,
     coalesce(cast(sum(d.size) over (partition by d.source order by d.h, d.doc_id, d.size rows between unbounded preceding and 1 preceding) as bigint), 0) as cum,
     case when t.source_size > 0 then cast(floor(t.target / t.source_size) as bigint) else 0 end as passes
   from d join t on d.source is not distinct from t.source
-)
-select doc_id, size, source_size, target,
-  cast(size * case when size > 0 then passes + (case when cum * 2 + size <= (target - passes * source_size) * 2 then 1 else 0 end) else 0 end as bigint) as taken
-from c
-"""
-
-#: Every take with its position; the place is compared by brute force, as the last bit of a position may differ between engines.
-OP7_ORDER_SQL = (
-    OP7_SQL.split("), c as (")[0]
-    + r"""), p as (
-  select d.doc_id, d.size, t.source_size, t.target, (s.place - 1) % 3 as slot,
-    coalesce(cast(sum(d.size) over (partition by d.source order by d.h, d.doc_id, d.size rows between unbounded preceding and 1 preceding) as bigint), 0) as cum,
-    case when t.source_size > 0 then cast(floor(t.target / t.source_size) as bigint) else 0 end as passes
-  from d join t on d.source is not distinct from t.source join s on d.source is not distinct from s.source
 ), k as (
   select *, case when size > 0 then passes + (case when cum * 2 + size <= (target - passes * source_size) * 2 then 1 else 0 end) else 0 end as n_takes from p
 ), x as (
-  select doc_id, slot, r.take, least(1.0::double, (cum + size / 2.0::double + r.take * source_size) / target) as share from k join range(4) r(take) on r.take < n_takes
+  select row, r.take, slot, least(1.0::double, (cum + size / 2.0::double + r.take * source_size) / target) as share from k join range(4) r(take) on r.take < n_takes
+), y as (
+  select row, take, least(1.0::double, case slot when 0 then share
+    when 1 then 4 * share / (1 + sqrt(1 + 8 * share)) else 2 * share / (1.5::double + sqrt(greatest(0.0::double, 2.25::double - 2 * share))) end) as position
+  from x
 )
-select doc_id, cast(take as int) as take, least(1.0::double, case slot when 0 then share
-  when 1 then 4 * share / (1 + sqrt(1 + 8 * share)) else 2 * share / (1.5::double + sqrt(greatest(0.0::double, 2.25::double - 2 * share))) end) as position
-from x
+"""
+OP7_SQL = (
+    _SQL
+    + """
+select doc_id, size, source_size, target, cast(size * n_takes as bigint) as taken, first_position, last_position
+from k left join (select row, min(position) as first_position, max(position) as last_position from y group by row) using (row)
 """
 )
+#: Every take with its position; the place is compared by brute force, as the last bit of a position may differ between engines.
+ORDER_SQL = _SQL + "select doc_id, cast(take as int) as take, position from y join k using (row)"

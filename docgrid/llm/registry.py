@@ -5,14 +5,21 @@ from docgrid.llm import context_tree, language, minhash, mixing, near_vectors, n
 QUERIES = {
     "op1_near_vectors": near_vectors.op1_near_vectors,
     "op2_secrets": secrets.op2_secrets,
+    "secrets_known_patterns": secrets.known_patterns_query,
     "op3_minhash": minhash.op3_minhash,
     "op4_tokens": tokens.op4_tokens,
     "op5_nearest": nearest.op5_nearest,
     "op6_packing": packing.op6_packing,
     "op7_mixing": mixing.op7_mixing,
-    "op7_training_order": mixing.op7_training_order,
+    "mixing_training_order": mixing.training_order_query,
     "op8_context_tree": context_tree.op8_context_tree,
     "op9_language": language.op9_language,
     "op10_quality": quality.op10_quality,
 }
-ORACLES = {"op7_mixing": mixing.OP7_SQL}
+ORACLES = {
+    "op1_near_vectors": near_vectors.OP1_SQL,
+    "secrets_known_patterns": secrets.PATTERNS_SQL,
+    "op3_minhash": minhash.OP3_SQL,
+    "op5_nearest": nearest.OP5_SQL,
+    "op7_mixing": mixing.OP7_SQL,
+}

@@ -167,6 +167,8 @@ def test_vector_query(spark, sf_dir):
     got = near_vectors.op1_near_vectors(spark, sf_dir).collect()
     n = Counter(x for p in links for x in p)
     assert {r.vec_id: r.n_links for r in got} == {r[0]: n[r[0]] for r in rows}
+    comp = union_find([r[0] for r in rows], links)
+    assert {r.vec_id: (r.component_id, r.kept) for r in got} == {i: (c, i == c) for i, c in comp.items()}
 
 
 def brute_nearest(rows, queries, k):
@@ -185,7 +187,7 @@ def test_exact_search(spark):
     df = spark.createDataFrame(rows, VEC)
     want = brute_nearest(rows, {r[0] for r in rows if r[0] % 9 == 0}, 5)
     got = defaultdict(list)
-    for r in nearest.nearest(df, df.filter("vec_id % 9 = 0"), 5, factor=1.0, shard=150).orderBy("query_id", "rank").collect():
+    for r in nearest.nearest(df, df.filter("vec_id % 9 = 0"), 5, factor=1.0, shard_bytes=150 * 16 * 8, query_block=8, blocks_per_tree=2).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.score, r.vec_id))
     assert set(got) == set(want)
     for q in want:
@@ -204,6 +206,61 @@ def test_nearest_query_recall(spark, sf_dir):
     assert len(got) == sum(map(len, want.values())) and hits >= 0.9 * len(got)
 
 
+def test_recall_follows_the_factor(spark):
+    """Clustered vectors over several shards: factor one is exact, larger ones leave out more and more."""
+    rng = np.random.default_rng(4)
+    middle = rng.standard_normal((40, 8)) * 4
+    x = (middle[rng.integers(0, 40, 6000)] + rng.standard_normal((6000, 8))).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").cache()
+    want = brute_nearest(rows, {i for i in range(0, 6000, 100)}, 10)
+    best = {(q, v) for q, near in want.items() for _, v in near}
+    recall = {}
+    for factor in (1.0, nearest.FACTOR, 6.0):
+        got = nearest.nearest(df, df.filter("vec_id % 100 = 0"), factor=factor, shard_bytes=1500 * 8 * 8).collect()
+        recall[factor] = len(best & {(r.query_id, r.vec_id) for r in got}) / len(best)
+    assert recall[1.0] == 1.0 and recall[nearest.FACTOR] >= 0.95 and recall[6.0] < 0.99, recall
+
+
+def test_nearest_odd_rows(spark):
+    rows = [(None, [1.0, 0.0], 1), (1, [1.0, 0.0], 2), (1, [0.0, 5.0], 2), (2, [1.0, 0.0], 3), (2, [1.0, 0.0], 3), (3, [2.0, 0.0], 4), (4, [1.0, 0.0, 0.0], 5), (5, [], 6), (6, None, 7), (7, [0.0, 0.0], 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int")
+    got = [tuple(r) for r in nearest.nearest(df, df, 10).orderBy("query_id", "rank").collect()]
+    assert got == [(1, 1, 2, pytest.approx(math.sqrt(26))), (1, 2, 3, pytest.approx(math.sqrt(29))), (2, 1, 3, 1.0), (2, 2, 1, pytest.approx(math.sqrt(26))), (3, 1, 2, 1.0), (3, 2, 1, pytest.approx(math.sqrt(29)))]
+
+
+def test_vector_links_odd_rows(spark):
+    big, tiny = 1e300, 1e-300
+    rows = [(None, [1.0, 0.0], 1), (None, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [big, 0.0], 1), (3, [tiny, tiny / 10], 1), (4, [1.0, 0.0], None), (5, [float("inf"), 0.0], 1), (6, [1.0, 0.0, 0.0], 1), (7, [1.0, 0.0], 2)]
+    df = spark.createDataFrame([(*r, "x", 5) for r in rows], "vec_id long, embedding array<double>, label int, kept string, n_links int")
+    got = near_vectors.vector_links(df).collect()
+    assert len(got) == len(rows) and got[0].asDict().keys() == {"vec_id", "n_links", "component_id", "kept"}
+    assert {(r.vec_id, r.n_links, r.component_id, r.kept) for r in got} == {(None, 0, None, True), (1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), *((i, 0, i, True) for i in (4, 5, 6, 7))}
+
+
+def test_hash_shape_keeps_the_recall():
+    for n in (2, 300, 10**5, 10**9):
+        tables, k = near_vectors.hash_shape(n, 0.93)
+        assert (1 - near_vectors.meeting(math.sqrt(0.14)) ** k) ** tables <= near_vectors.MISS
+    small, large = near_vectors.hash_shape(10**3, 0.93), near_vectors.hash_shape(10**8, 0.93)
+    assert small[1] < large[1] and small[0] < large[0]
+
+
+def test_hot_keys_join_like_others(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    rows = common.written(spark.createDataFrame([(1, i) for i in range(20)] + [(2, 0), (3, 0), (None, 0)], "k int, v int"), "rows")
+    table = spark.createDataFrame([(1, "a"), (2, "b"), (9, "c")], "k int, w string")
+    for how in ("inner", "left"):
+        assert sorted(map(str, common.skew_join(rows, table, "k", how).collect())) == sorted(map(str, rows.join(table, "k", how).collect()))
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    monkeypatch.setattr(components, "HOT_ROWS", 4)
+    links = [(0, i) for i in range(1, 40)] + [(99, i) for i in range(30, 60)] + [(70, 71)]
+    nodes = {x for p in links for x in p}
+    assert {r.id: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()} == union_find(nodes, links)
+
+
 # ---- context tree
 
 
