@@ -58,6 +58,7 @@ def manifest_counts(df: DataFrame) -> DataFrame:
 
 
 def plan_counts(plan: DataFrame) -> DataFrame:
+    """Planned items by split and angle; null splits are a group, repeated rows count, an empty plan gives no rows."""
     return plan.groupBy("split", "angle").agg(F.count("*").alias("n"))
 
 
@@ -102,5 +103,5 @@ def assign_line_text(lines: DataFrame, items: DataFrame, source: str, other: Dat
         other = items.select(F.col("id").alias("label_item_id"), F.posexplode(json_lines("mrz_lines_json")).alias("i", "text")).select("label_item_id", (F.col("i") + 1).alias("line_index"), "text")
     notes = {"parent": ("text_from_parent_mrz_lines_json", "parent_text_missing"), "crop": ("text_from_paddle_mrz_crop", "paddle_crop_text_missing"), "transaction": ("text_from_transaction", "transaction_text_missing")}[source]
     texts = other.select("label_item_id", "line_index", F.col("text").alias("__t"))
-    out = lines.join(texts, ["label_item_id", "line_index"], "left")
+    out = lines.join(texts.hint("merge"), ["label_item_id", "line_index"], "left")
     return out.withColumns({"assigned": F.coalesce("__t", F.lit("")), "note": F.when(F.col("__t").isNotNull(), notes[0]).otherwise(notes[1])}).drop("__t")

@@ -1,6 +1,8 @@
 """Lines of text from row profiles, component tables and segments.
 
-All frames are inside one image key; profiles are tables (img_id, y, v), bands (img_id, y1, y2, score)
+All frames are inside one image key, and images with a null key are like any other image only where no
+join is needed, else they have no row; an empty profile or table gives no rows, and an image that stands
+twice counts its rows twice.  Profiles are tables (img_id, y, v), bands (img_id, y1, y2, score)
 with y2 exclusive, except that a band open at the bottom ends at height - 1.
 """
 
@@ -19,7 +21,7 @@ def _half_even(c: Column) -> Column:
 def _mean(profile: DataFrame, spans: DataFrame) -> DataFrame:
     """Mean profile value of each span (img_id, y1, y2)."""
     p = profile.select(F.col(KEY).alias("__k"), F.col("y").alias("__y"), F.col("v").alias("__v"))
-    j = spans.join(p, (F.col(KEY) == F.col("__k")) & (F.col("__y") >= F.col("y1")) & (F.col("__y") < F.col("y2")))
+    j = spans.join(p.hint("merge"), (F.col(KEY) == F.col("__k")) & (F.col("__y") >= F.col("y1")) & (F.col("__y") < F.col("y2")))
     return j.groupBy(*spans.columns).agg(F.avg("__v").alias("score"))
 
 
@@ -51,7 +53,7 @@ def split_wide_bands(profile: DataFrame, bands: DataFrame, expected: int = 2, mi
         h = F.col("y2") - F.col("y1")
         lo, hi = F.greatest(F.col("y1") + min_height, F.col("y1") + F.floor(h * 0.3)), F.least(F.col("y2") - min_height, F.col("y1") + F.floor(h * 0.7))
         cut = df.filter((F.col("__n") < expected) & (F.col("__r") == 1) & (h >= 3 * min_height)).select(F.col(KEY).alias("__k"), "y1", "y2", lo.alias("lo"), hi.alias("hi")).filter("hi > lo")
-        at = cut.join(profile, (F.col("__k") == F.col(KEY)) & (F.col("y") >= F.col("lo")) & (F.col("y") < F.col("hi"))).groupBy(KEY, "y1", "y2").agg(F.min(F.struct("v", "y")).alias("m")).select(KEY, "y1", "y2", F.col("m.y").alias("at"))
+        at = cut.join(profile.hint("merge"), (F.col("__k") == F.col(KEY)) & (F.col("y") >= F.col("lo")) & (F.col("y") < F.col("hi"))).groupBy(KEY, "y1", "y2").agg(F.min(F.struct("v", "y")).alias("m")).select(KEY, "y1", "y2", F.col("m.y").alias("at"))
         parts = _mean(profile, at.select(KEY, "y1", F.col("at").alias("y2")).unionByName(at.select(KEY, F.col("at").alias("y1"), "y2")))
         bands = bands.join(at.select(KEY, "y1"), [KEY, "y1"], "left_anti").unionByName(parts.select(*bands.columns))
     return bands

@@ -16,11 +16,13 @@ def _n(cond: Column, name: str) -> Column:
 
 
 def label_stats(items: DataFrame) -> DataFrame:
+    """One row: labeled items by review state (a null state counts in the total only), and those without a zone; repeated rows count."""
     own = F.col("status") == "labeled"
     return items.agg(_n(own, "total"), *[_n(own & (F.col("review_status") == s), s) for s in STATES], _n(F.col("status") == "no_mrz", "no_mrz"))
 
 
 def line_stats(lines: DataFrame) -> DataFrame:
+    """One row: lines by review state; a null state counts in the total only, repeated rows count, an empty table gives zeros."""
     return lines.agg(F.count("*").alias("total"), *[_n(F.col("review_status") == s, s) for s in STATES])
 
 
@@ -61,19 +63,22 @@ def _rejected_name(c: str, kind: str) -> Column:
 def apply_decisions(items: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(items, history, unknown) after the latest approved/rejected decision of each source_key.
 
-    Other decision words are no decisions.  Rejection moves the artefact names below review/rejected,
-    approval clears them.  history has every valid decision on a known key, in no order; unknown the keys
+    Other decision words are no decisions.  Rejection moves the names of image and label below
+    review/rejected, approval clears them there and gives an item without a name its old one back.
+    reviewed_at and updated_at are the decision's time.  history has every valid decision on a known key, in no order; unknown the keys
     that no item has.
     """
     valid = decisions.filter(F.col("decision").isin("approved", "rejected"))
     last = latest(valid.select("source_key", "decision", "ts", "event_id"), "source_key", ["ts", "event_id"]).withColumnsRenamed({"decision": "__d", "ts": "__ts", "event_id": "__e"})
     out = items.join(last, "source_key", "left")
     d = F.col("__d")
-    moved = F.when(F.col("image_file_name").isNotNull(), _rejected_name("image_file_name", "images"))
-    out = out.withColumns({
-        "review_status": F.coalesce(d, "review_status"), "reviewed_at": F.col("__ts"),
-        "rejected_image_file_name": F.when(d == "approved", None).when(d == "rejected", F.coalesce(moved, "rejected_image_file_name")).otherwise(F.col("rejected_image_file_name")),
-    }).drop("__d", "__ts", "__e")
+    new = {"review_status": F.coalesce(d, "review_status"), "reviewed_at": F.col("__ts"), "updated_at": F.coalesce("__ts", "updated_at")}
+    for kind in ("image", "label"):
+        name, rejected = f"{kind}_file_name", f"rejected_{kind}_file_name"
+        moved = F.when(F.col(name).isNotNull(), _rejected_name(name, f"{kind}s"))
+        new[rejected] = F.when(d == "approved", None).when(d == "rejected", F.coalesce(moved, rejected)).otherwise(F.col(rejected))
+        new[name] = F.when((d == "approved") & F.col(name).isNull(), F.regexp_extract(rejected, r"([^/]*)$", 1)).otherwise(F.col(name))
+    out = out.withColumns(new).drop("__d", "__ts", "__e")
     keys = items.select("source_key", F.col("id").alias("label_item_id"))
     history = valid.join(keys, "source_key").select("label_item_id", "source_key", "decision", F.col("ts").alias("reviewed_at"), "event_id")
     return out, history, valid.select("source_key").distinct().join(keys, "source_key", "left_anti")
@@ -127,7 +132,30 @@ def neighbours(items: DataFrame, width: int = 10_000) -> DataFrame:
     Ranges of ids are ranked apart; a range's first and last candidates stand in for what lies beyond,
     so no task holds all rows.  After the last pending item the first one follows.
     """
-    df = items.filter("status = 'labeled'").select("id", F.floor(F.col("id") / width).alias("g"), (F.col("image_file_name").isNotNull() & F.col("label_file_name").isNotNull()).alias("ok"), (F.col("review_status") == "pending").alias("p"))
+    df = items.filter("status = 'labeled'").select("id", (F.col("image_file_name").isNotNull() & F.col("label_file_name").isNotNull()).alias("ok"), (F.col("review_status") == "pending").alias("p"))
+    return _paging(df, width)
+
+
+def next_group(lines: DataFrame, after: int) -> DataFrame:
+    """The first item after the key with a pending line, else the first of all; at most one row (id)."""
+    return lines.filter("review_status = 'pending' and label_item_id > 0").select(F.col("label_item_id").alias("id")).distinct().orderBy((F.col("id") <= after).cast("int"), "id").limit(1)
+
+
+def previous_group(lines: DataFrame, before: int) -> DataFrame:
+    """The last item before the key that has lines, of any state; 0 or less means from the end."""
+    df = lines.filter(F.col("label_item_id") < before) if before > 0 else lines
+    return df.select(F.col("label_item_id").alias("id")).distinct().orderBy(F.desc("id")).limit(1)
+
+
+def group_neighbours(lines: DataFrame, width: int = 10_000) -> DataFrame:
+    """(id, next_id, previous_id) for every item with lines: the next one with a pending line (after the last the first), and the one before."""
+    groups = lines.groupBy(F.col("label_item_id").alias("id")).agg(F.max(F.coalesce(F.col("review_status") == "pending", F.lit(False))).alias("p"))
+    return _paging(groups.select("id", F.lit(True).alias("ok"), "p"), width)
+
+
+def _paging(df: DataFrame, width: int) -> DataFrame:
+    """neighbours of (id, ok, p): candidates are ok, and the next one is pending (p) as well."""
+    df = df.withColumn("g", F.floor(F.col("id") / width))
     pend, any_ = F.when(F.col("ok") & F.col("p"), F.col("id")), F.when(F.col("ok"), F.col("id"))
     edges = df.groupBy("g").agg(F.min(pend).alias("lo"), F.max(any_).alias("hi"))
     w = Window.orderBy("g")

@@ -30,7 +30,12 @@ def ordered_limit(df: DataFrame, order_by: str, n: int, created: str, key: str,
 
 
 def augmentation_plan(items: DataFrame, key: str, seed: str, train_limits: dict[int, int] | None = None, val_limits: dict[int, int] | None = None) -> DataFrame:
-    """Items of split train and val by rotation, in hash order, up to a limit each (val: all by default)."""
+    """Items of split train and val by rotation, in hash order, up to a limit each (val: all by default).
+
+    Ranks are counted in 4096 stretches of the hash, so no task ranks a whole split; stretches beyond a
+    limit are left out before they are ranked.  Items without a split are in no plan, an item that
+    stands twice is planned twice, an empty table gives no rows.
+    """
     train = TRAIN_LIMITS if train_limits is None else train_limits
     val = {a: 0 for a in (90, 180, 270)} if val_limits is None else val_limits
     options = [(a, "train", n) for a, n in train.items() if n > 0] + [(a, "val", n if val_limits is not None else 0) for a, n in val.items() if val_limits is None or n > 0]
@@ -38,5 +43,10 @@ def augmentation_plan(items: DataFrame, key: str, seed: str, train_limits: dict[
         return items.withColumn("angle", F.lit(0)).filter("false")
     angles = F.array(*[F.struct(F.lit(a).alias("angle"), F.lit(s).alias("of"), F.lit(n).alias("n")) for a, s, n in options])
     df = items.withColumn("__o", F.explode(angles)).filter(F.lower("split") == F.col("__o.of")).withColumn("angle", F.col("__o.angle"))
-    w = Window.partitionBy(F.lower("split"), "angle").orderBy(fraction(F.concat(F.col(key).cast("string"), F.lit("/"), F.col("angle").cast("string")), seed), key)
-    return df.withColumn("rank", F.row_number().over(w)).filter((F.col("__o.n") == 0) | (F.col("rank") <= F.col("__o.n"))).drop("__o")
+    df = df.withColumn("__f", fraction(F.concat(F.col(key).cast("string"), F.lit("/"), F.col("angle").cast("string")), seed)).withColumns({"__s": F.lower("split"), "__b": F.floor(F.col("__f") * 4096)})
+    own = ["__s", "angle", "__b"]
+    before = F.coalesce(F.sum("__c").over(Window.partitionBy("__s", "angle").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    stretches = df.groupBy(*own).agg(F.count("*").alias("__c")).select(*own, before.alias("__before"))  # 4096 for a split and angle at most
+    inside = (F.col("__o.n") == 0) | (F.col("__before") < F.col("__o.n"))
+    df = df.join(F.broadcast(stretches), own).filter(inside).withColumn("rank", (F.col("__before") + F.row_number().over(Window.partitionBy(*own).orderBy("__f", key))).cast("int"))
+    return df.filter((F.col("__o.n") == 0) | (F.col("rank") <= F.col("__o.n"))).drop("__o", "__f", "__s", "__b", "__before")

@@ -5,6 +5,8 @@ Every operator partitions by the image or item key, which has few rows a key.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,29 +137,30 @@ def best_line_text(rows: DataFrame, key: list[str], order: str) -> DataFrame:
     return rows.groupBy(*key).agg(best.alias("b")).select(*key, "b.text", "b.ocr_score")
 
 
-def resolve_variants(df: DataFrame, key: str, as_of_year: int, max_candidates: int = 4) -> DataFrame:
+def resolve_variants(df: DataFrame, key: str, as_of_year: int, max_candidates: int = 4, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Fallback cascade over line variants: base, repair, other variants (each with repair), enhanced.
 
     df: key, stage (0 base, 1 others, 2 enhanced), position, name, enhanced_of, lines, ocr_confidence,
     detector_confidence.  A repair counts only when its checks pass and its score rises.  Others are
     looked at when the base fails, the first max_candidates with two lines; an enhanced variant when
     what is selected still fails, and only the one made from it.  The first of equal scores stays.
-    Only failing items reach the later stages.
+    Only failing items reach the later stages.  ``keep`` may store the parsed candidates, which are used
+    several times; without it they are parsed for each use.
     """
     width = Window.partitionBy(key, "stage").orderBy("position")
     df = df.filter((F.col("stage") != 1) | (F.size("lines") >= 2)).withColumn("__r", F.row_number().over(width)).filter((F.col("stage") != 1) | (F.col("__r") <= max_candidates)).drop("__r")
     options = F.array(F.struct(F.lit(0).alias("fix"), F.col("lines").alias("t")), F.struct(F.lit(1).alias("fix"), F.col("repaired").alias("t")))
     both = repair_lines(df).select(key, "stage", "position", "name", "enhanced_of", "ocr_confidence", "corrections", F.explode(options).alias("o"))
     both = both.select(key, "stage", "position", "name", "enhanced_of", "ocr_confidence", "corrections", "o.fix", F.col("o.t").alias("lines")).filter("fix = 0 or corrections > 0")
-    # kept: parsed once for the uses below, whose filters would else be pushed into the parsing
-    both = parse_mrz(both.repartition(key), "lines", as_of_year).select(key, "stage", "position", "name", "enhanced_of", "ocr_confidence", "corrections", "fix", "lines", "found", "document_type", "checksum_pass", "checks_passed").persist()
+    # parsed once for the uses below, whose filters would else be pushed into the parsing
+    both = keep(parse_mrz(both.repartition(key), "lines", as_of_year).select(key, "stage", "position", "name", "enhanced_of", "ocr_confidence", "corrections", "fix", "lines", "found", "document_type", "checksum_pass", "checks_passed"))
     cols = [key, "stage", "position", "name", "enhanced_of", "lines", "found", "document_type", "checksum_pass", "score", "corrections", "trigger", "fix"]
     both = both.withColumns({"score": candidate_score(both), "trigger": fallback_trigger(F.size("lines"), "found", "checksum_pass")}).select(*cols)
     same = [key, "stage", "position"]
     raw = both.filter("fix = 0").withColumn("corrections", F.lit(0))
     old = raw.select(*same, F.col("score").alias("old"), F.col("trigger").alias("was"))
     suffix = F.when(F.col("stage") == 0, "checksum-text-correction").otherwise(F.concat("name", F.lit("-text-correction")))
-    fixed = both.filter("fix = 1 and checksum_pass").join(old, same).filter("was is not null and score > old").withColumns({"name": suffix, "trigger": F.lit(None).cast("string")}).select(*cols)
+    fixed = both.filter("fix = 1 and checksum_pass").join(old.hint("merge"), same).filter("was is not null and score > old").withColumns({"name": suffix, "trigger": F.lit(None).cast("string")}).select(*cols)
     best = raw.unionByName(fixed).withColumn("__r", F.row_number().over(Window.partitionBy(key, "stage", "position").orderBy(F.desc("fix")))).filter("__r = 1").drop("__r")
     own = Window.partitionBy(key)
     first_trigger = F.max(F.when((F.col("stage") == 0) & (F.col("fix") == 0), F.coalesce("trigger", F.lit(""))))
@@ -166,7 +169,7 @@ def resolve_variants(df: DataFrame, key: str, as_of_year: int, max_candidates: i
     early = best.filter((F.col("stage") == 0) | ((F.col("stage") == 1) & ~F.col("__base")))
     early = early.withColumn("__r", F.row_number().over(own.orderBy(F.desc("score"), "stage", "position"))).filter("__r = 1").drop("__r", "__base")
     late = best.filter("stage = 2").select(key, F.struct(*[c for c in early.columns if c != key]).alias("late"))
-    both = early.join(late, key, "left").withColumn("__ok", ~F.col("checksum_pass") & (F.col("late.enhanced_of") == F.col("name")) & (F.col("late.score") > F.col("score")))
+    both = early.join(late.hint("merge"), key, "left").withColumn("__ok", ~F.col("checksum_pass") & (F.col("late.enhanced_of") == F.col("name")) & (F.col("late.score") > F.col("score")))
     both = both.groupBy(key).agg(F.max(F.struct(*[c for c in early.columns if c != key])).alias("early"), F.max(F.when(F.col("__ok"), F.col("late"))).alias("late"))
     out = both.select(key, F.coalesce("late", "early").alias("s")).select(key, F.col("s.name").alias("selected_variant"), "s.lines", "s.document_type", "s.checksum_pass", "s.corrections")
-    return out.join(triggers, key).withColumn("used_fallback", F.col("selected_variant") != "fast-projection")
+    return out.join(triggers.hint("merge"), key).withColumn("used_fallback", F.col("selected_variant") != "fast-projection")

@@ -10,6 +10,7 @@ import re
 import tempfile
 import uuid
 import zlib
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -73,15 +74,15 @@ FIXTURES: dict[str, str] = {
         union all select doc_id, 1, 2, 'no-deskew', null, l1, substr(l2, 1, 9) || '?' || substr(l2, 11), cast(6e-1 as double) from {mrz_two} where doc_id % 5 <> 0
         union all select doc_id, 2, 0, 'fast-projection-enhanced', 'fast-projection', l1, l2, cast(7e-1 as double) from {mrz_two}
         union all select doc_id, 2, 1, 'no-deskew-enhanced', 'no-deskew', l1, l2, cast(7e-1 as double) from {mrz_two}""",
-    # text boxes of an image: lines of the document and other text above
+    # text boxes of an image: every document's whole text, four slices a page, and below it on the first page the lines of the document of that number
     "ocr_boxes": """
-        select doc_id as image_id, line_index as row_id, ocr_text as text, ocr_confidence as ocr_score, cast(40 + doc_id % 9 as double) as x1, cast(600 + 40 * line_index - doc_id % 5 as double) as y1,
+        select doc_id * 100000 as image_id, line_index as row_id, ocr_text as text, ocr_confidence as ocr_score, cast(40 + doc_id % 9 as double) as x1, cast(600 + 40 * line_index - doc_id % 5 as double) as y1,
           cast(900 - doc_id % 250 as double) as x2, cast(626 + 40 * line_index as double) as y2, 1000 as image_width, 800 as image_height, case doc_id % 8 when 1 then 90 when 2 then 180 when 3 then 270 when 4 then 45 else 0 end as angle
         from {mrz_lines} where doc_id % 7 <> 0
         union all
-        select c.c_custkey, cast(10 + k as int), substr(d.text, cast(1 + 40 * k as int), cast(20 + c.c_custkey % 40 as int)), case when c.c_custkey % 11 = 0 then cast(80 as double) / 100 else cast(c.c_custkey * k % 100 as double) / 100 end,
-          cast(50 * k as double), cast(60 * k as double), cast(50 * k + 300 + c.c_custkey % 300 as double), cast(60 * k + 24 as double), 1000, 800, 0
-        from {customer} c join (select doc_id, text from {documents}) d on d.doc_id = c.c_custkey % 200 join (select 1 as k union all select 2 union all select 3) n on true""",
+        select doc_id * 100000 + n div 4, cast(10 + n % 4 as int), substr(text, cast(1 + 60 * n as int), 60), case when doc_id % 11 = 0 then cast(80 as double) / 100 else cast(doc_id * n % 100 as double) / 100 end,
+          cast(50 + 50 * (n % 4) as double), cast(60 + 60 * (n % 4) as double), cast(50 * (n % 4) + 350 + doc_id % 300 as double), cast(84 + 60 * (n % 4) as double), 1000, 800, 0
+        from (select doc_id, text, SERIES((length(text) + 59) div 60 - 1) as n from {documents} where length(text) > 0) d""",
     "label_items": """
         select o_orderkey as id, 'scan/' || cast(o_orderkey as string) || case when o_orderkey % 9 = 0 then case o_orderkey % 4 when 0 then '__rot90' when 1 then '__rot180' when 2 then '__rot270' else '' end when o_orderkey % 50 = 1 then 'XYrot90' else '' end as source_key,
           case when o_orderkey % 10 = 9 then 'error' when o_orderkey % 10 = 8 then 'no_mrz' else 'labeled' end as status,
@@ -89,6 +90,7 @@ FIXTURES: dict[str, str] = {
           case o_orderkey % 12 when 0 then 'val' when 1 then 'test' when 2 then null else 'train' end as split,
           case when o_orderkey % 31 <> 0 then 'images/' || cast(o_orderkey as string) || '.jpg' end as image_file_name, case when o_orderkey % 37 <> 0 then 'labels/' || cast(o_orderkey as string) || '.txt' end as label_file_name,
           case when o_orderstatus = 'O' then 'review/rejected/' || cast(o_orderkey as string) || '.jpg' end as rejected_image_file_name,
+          case when o_orderstatus = 'O' and o_orderkey % 37 <> 0 then 'review/rejected/' || cast(o_orderkey as string) || '.txt' end as rejected_label_file_name,
           case when o_orderkey % 23 <> 0 then cast(o_orderkey % 90 + 5 as double) end as bbox_x1, case when o_orderkey % 23 <> 0 then cast(o_orderkey % 70 + 300 as double) end as bbox_y1,
           case when o_orderkey % 23 <> 0 then cast(o_orderkey % 90 + 405 as double) end as bbox_x2, case when o_orderkey % 23 <> 0 then cast(o_orderkey % 70 + 380 as double) end as bbox_y2,
           640 as image_width, 480 as image_height, case when o_orderkey % 41 = 0 then '["broken' when o_orderkey % 43 = 0 then chr(123) || '"a": 1' || chr(125) else '["p<utoab c", "", "' || cast(o_orderkey as string) || '<<x"]' end as mrz_lines_json,
@@ -101,12 +103,12 @@ FIXTURES: dict[str, str] = {
           case when l_suppkey % 7 = 0 then ' ' when l_suppkey % 7 = 1 then 'FINAL' || cast(l_suppkey as string) end as final_text, l_discount * 10 as ocr_score, l_tax * 10 as mrz_likeness, case l_linestatus when 'F' then 'train' else 'val' end as split
         from (select *, row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) as copy from {lineitem}) x where copy = 1 and l_linenumber <= 3""",
     "decisions": """
-        select event_id, ts, 'scan/' || cast(event_id * 7 % 4000 as string) as source_key, case event_type when 'purchase' then 'approved' when 'error' then 'rejected' else event_type end as decision from {events}""",
+        select event_id, ts, 'scan/' || cast(event_id * 7 % (select max(o_orderkey) + 50 from {orders}) as string) as source_key, case event_type when 'purchase' then 'approved' when 'error' then 'rejected' else event_type end as decision from {events}""",
     "line_decisions": """
-        select event_id, ts, event_id * 13 % 3000 * 10 + 1 + event_id % 3 as line_id, case event_type when 'purchase' then 'approved' else 'rejected' end as decision, case when event_id % 4 = 0 then 'corr ' || cast(event_id as string) || '>' end as final_text
+        select event_id, ts, event_id * 13 % (select max(o_orderkey) + 50 from {orders}) * 10 + 1 + event_id % 3 as line_id, case event_type when 'purchase' then 'approved' else 'rejected' end as decision, case when event_id % 4 = 0 then 'corr ' || cast(event_id as string) || '>' end as final_text
         from {events} where event_type in ('purchase', 'error')""",
     "corrections": """
-        select event_id, ts, 'scan/' || cast(event_id * 7 % 4000 as string) as source_key, cast(event_id % 640 as double) as x1, cast(event_id % 300 as double) as y1,
+        select event_id, ts, 'scan/' || cast(event_id * 7 % (select max(o_orderkey) + 50 from {orders}) as string) as source_key, cast(event_id % 640 as double) as x1, cast(event_id % 300 as double) as y1,
           cast(event_id * 3 % 700 - 20 as double) as x2, cast(event_id % 300 + event_id % 60 as double) as y2 from {events} where event_type = 'click'""",
     "detections": """
         select image_id, angle, max(x1) as x1, max(y1) as y1, max(x2) as x2, max(y2) as y2, max(confidence) as confidence, max(width) as width, max(height) as height
@@ -154,11 +156,17 @@ FIXTURES: dict[str, str] = {
 DEALT = {"mrz_parts": "doc_id", "mrz_codes": "doc_id", "mrz_clean": "doc_id", "mrz_two": "doc_id", "mrz_lines": "doc_id", "variants": "doc_id", "ocr_boxes": "image_id"}
 _STORED: dict[tuple[str, str, str], str] = {}
 _NAME = re.compile(r"\{([A-Za-z_]\w*)\}")
+#: SERIES(n) in a text makes a row for each of 0..n; the only function whose name differs between the engines.
+_SERIES = re.compile(r"SERIES\((.*?)\)(?= as )")
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new place below the shared folder of the session; a temporary one where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-docgrid-")
+    """A new place below the shared folder of the session; a temporary one only in local mode, where none is set."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
+        root = tempfile.mkdtemp(prefix="spark-docgrid-")
     return f"{root.rstrip('/')}/docgrid/{name}-{uuid.uuid4().hex}"
 
 
@@ -166,20 +174,25 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table, or a fixture built from them."""
     if name not in FIXTURES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    stored = _STORED.get((spark.sparkContext.applicationId, sf_dir, name))
-    if stored:
-        return spark.read.parquet(stored)
+    known = _STORED.get((spark.sparkContext.applicationId, sf_dir, name))
+    if known:
+        return spark.read.parquet(known)
     text = FIXTURES[name]
     views = {n: f"fixture_{n}_{zlib.crc32(sf_dir.encode()):08x}" for n in set(_NAME.findall(text))}
     for n, view in views.items():  # dropping a view would also drop what is kept, so they stay
         frame(spark, sf_dir, n).createOrReplaceTempView(view)
-    df = spark.sql(_NAME.sub(lambda m: views[m[1]], text))
-    if name not in DEALT:
-        return df
-    path = folder(spark, name)
-    df.repartition(DEALT[name]).write.parquet(path)
-    _STORED[spark.sparkContext.applicationId, sf_dir, name] = path
-    return spark.read.parquet(path)
+    df = spark.sql(_SERIES.sub(r"explode(sequence(0, \1))", _NAME.sub(lambda m: views[m[1]], text)))
+    return stored(spark, sf_dir, name, lambda: df.repartition(DEALT[name])) if name in DEALT else df
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table that is written once a session, at first use."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        path = folder(spark, name)
+        build().write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
 
 
 def oracle(sql: str) -> str:
@@ -193,7 +206,7 @@ def oracle(sql: str) -> str:
                 order.append(n)
 
     need(sql)
-    plain = lambda s: _NAME.sub(r"\1", s)
+    plain = lambda s: _SERIES.sub(r"unnest(generate_series(0, \1))", _NAME.sub(r"\1", s)).replace(" div ", " // ")
     sql = plain(sql).strip()
     lead = "with recursive" if sql[:14].lower() == "with recursive" else "with"
     ctes = ", ".join(f"{n} as ({plain(FIXTURES[n])})" for n in order)

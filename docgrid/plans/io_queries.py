@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from docgrid.functions import geometry
 from docgrid.operators import parse
 from docgrid.plans.fixtures import folder, frame
-from docgrid.plans.table_queries import _LAST
+from docgrid.plans.table_queries import _J5, _J6
 from docgrid.plans.text_queries import AS_OF, CONF, PARSE, PASS, RAW, dnorm, query
 from docgrid.sources import files
 from docgrid.streaming.streams import DecisionStore, decision_stream, parse_stream
@@ -17,14 +17,15 @@ from docgrid.streaming.streams import DecisionStore, decision_stream, parse_stre
 MANIFEST_ITEMS = 2000
 
 
-@query("S1_image_catalog", "select count(*) as files, true as sized from (select distinct doc_id % 7 as k from {documents}) t where k <> 3")
+@query("S1_image_catalog", "select 'k=' || b % 7 || '/b=' || b as folder, 1 + sum(n_chars % 10) as length from (select doc_id // 100 as b, n_chars from {documents}) t where b % 7 <> 3 group by b")
 def s1(spark, d):
     root = folder(spark, "catalog")
-    rows = frame(spark, d, "documents").select((F.col("doc_id") % 7).alias("k")).distinct().withColumn("value", F.lit("x"))
-    rows.filter("k <> 3").coalesce(1).write.partitionBy("k").option("lineSep", "\n").text(f"{root}/in")
-    # text files stand in for images: the catalogue goes by name and size only
+    rows = frame(spark, d, "documents").groupBy(F.floor(F.col("doc_id") / 100).alias("b")).agg(F.sum(F.col("n_chars") % 10).alias("n"))
+    rows = rows.select((F.col("b") % 7).alias("k"), "b", F.repeat(F.lit("x"), F.col("n").cast("int")).alias("value"))
+    rows.write.partitionBy("k", "b").option("lineSep", "\n").text(f"{root}/in")
+    # text files stand in for images, one a hundred documents: the catalogue goes by name and size only
     found = files.image_catalog(spark, f"{root}/in", ("k=3",), ("txt",))
-    return found.agg(F.count("*").alias("files"), F.coalesce(F.min("length") > 0, F.lit(False)).alias("sized"))
+    return found.select(F.regexp_extract("path", r"(k=\d+/b=\d+)/[^/]*$", 1).alias("folder"), "length")
 
 
 @query("S2_read_manifest", "select source_key, status, case when id % 5 = 0 then null else review_status end as review_status, mrz_score as score, case when id % 7 = 0 then null else strptime('2024-01-02 03:04:05', '%Y-%m-%d %H:%M:%S') end as processed_at from {label_items}")
@@ -38,9 +39,9 @@ def s2(spark, d):
     return files.read_manifest(spark, path).select("source_key", "status", "review_status", "score", "processed_at")
 
 
-@query("S3_source_records", "select id from {visa_records} where trim(coalesce(line_one, '')) <> '' and trim(coalesce(line_two, '')) <> '' and try_cast(point_one as double) > 85 and try_cast(point_two as double) > 85 and trim(coalesce(passport_image, '')) <> '' order by created desc, id desc limit 50")
+@query("S3_source_records", "select id from {visa_records} where trim(coalesce(line_one, '')) <> '' and trim(coalesce(line_two, '')) <> '' and try_cast(point_one as double) > 85 and try_cast(point_two as double) > 85 and trim(coalesce(passport_image, '')) <> ''")
 def s3(spark, d):
-    return files.source_records(frame(spark, d, "visa_records"), 85, "newest", 50).select("id")
+    return files.source_records(frame(spark, d, "visa_records"), 85, "newest").select("id")
 
 
 _TEXT = f"coalesce(final_text, normalized_text, {dnorm('ocr_text')})"
@@ -94,12 +95,20 @@ def st1(spark, d):
     return spark.read.parquet(f"{path}/out")
 
 
-@query("ST2_decision_stream", f"select source_key, decision, ts, event_id from ({_LAST}) t")
+@query("ST2_decision_stream", f"select 'item' as kind, id, review_status, rejected_label_file_name as detail from ({_J5}) t union all select 'line', id, review_status, final_text from ({_J6}) t".replace("{{", "{").replace("}}", "}"))
 def st2(spark, d):
+    """Label and line tables after a stream of decisions, whose newest came first."""
     path = folder(spark, "decisions")
-    rows = frame(spark, d, "decisions")
-    rows.repartitionByRange(3, F.desc("event_id")).write.parquet(f"{path}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", "1").parquet(f"{path}/in")
-    store = DecisionStore(spark, f"{path}/store")
-    decision_stream(stream, store, f"{path}/at").awaitTermination()
-    return store.read().select("source_key", "decision", "ts", "event_id")
+
+    def applied(name: str, key: str) -> DecisionStore:
+        rows = frame(spark, d, name)
+        rows.repartitionByRange(3, F.desc("event_id")).write.parquet(f"{path}/{name}/in")
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", "1").parquet(f"{path}/{name}/in")
+        store = DecisionStore(spark, f"{path}/{name}/store", key)
+        decision_stream(stream, store, f"{path}/{name}/at").awaitTermination()
+        return store
+
+    items = applied("decisions", "source_key").items(frame(spark, d, "label_items"))
+    lines = applied("line_decisions", "line_id").lines(frame(spark, d, "ocr_lines"))
+    out = items.select(F.lit("item").alias("kind"), "id", "review_status", F.col("rejected_label_file_name").alias("detail"))
+    return out.union(lines.select(F.lit("line"), "id", "review_status", "final_text"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docgrid.operators import parse, selection
-from docgrid.plans.fixtures import frame
+from docgrid.plans.fixtures import frame, stored
 from docgrid.plans.text_queries import AS_OF, PARSE, PASS, dlikeness, dnorm, ocr_features, parsed, query
 
 _ROWS = f"r as (select image_id, row_id, {dnorm('text')} as line, ocr_score as s, ocr_score + {dlikeness('text')} as q, {dlikeness('text')} as lk, y1 as y from {{ocr_boxes}}), a as (select *, row_number() over (partition by image_id order by length(line) desc, q desc, row_id) as rk from r where length(line) >= 12 and lk >= 48e-2)"
@@ -77,7 +77,7 @@ def _variants(spark, d):
 
 @query("W9_resolve_variants")
 def w9(spark, d):
-    return selection.resolve_variants(_variants(spark, d), "doc_id", AS_OF)
+    return selection.resolve_variants(_variants(spark, d), "doc_id", AS_OF, keep=lambda df: stored(spark, d, "variant_candidates", lambda: df))
 
 
 @query("P8_compact_payload", f"""with s as (select doc_id, list({{'line_index': line_index, 'text': ocr_text, 'confidence': round(ocr_confidence, 6), 'accepted': ocr_accepted}} order by line_index) as rows, raw_n from (select *, 0 as raw_n from {{mrz_lines}}) t group by doc_id, raw_n),

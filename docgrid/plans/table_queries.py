@@ -44,10 +44,12 @@ def p4(spark, d):
     return datasets.pending_extraction(_items(spark, d), _items(spark, d).filter("id % 6 = 0")).select("id")
 
 
-@query("P5_exportable_lines", f"select id, coalesce(final_text, normalized_text, {dnorm('ocr_text')}) as text, row_number() over (order by label_item_id, line_index, id) as place from {{ocr_lines}} where review_status = 'approved' and trim(coalesce(final_text, normalized_text, {dnorm('ocr_text')}, '')) <> '' order by place limit 500")
+@query("P5_exportable_lines", f"select id, coalesce(final_text, normalized_text, {dnorm('ocr_text')}) as text, row_number() over (order by label_item_id, line_index, id) as place from {{ocr_lines}} where review_status = 'approved' and trim(coalesce(final_text, normalized_text, {dnorm('ocr_text')}, '')) <> ''")
 def p5(spark, d):
-    top = datasets.exportable_lines(_lines(spark, d), limit=500)
-    return top.withColumn("place", F.row_number().over(review.Window.orderBy("label_item_id", "line_index", "id"))).select("id", "text", "place")
+    lines = datasets.exportable_lines(_lines(spark, d))
+    # the place in the order, counted by ranges of items
+    rows = lines.withColumn("status", F.lit("labeled")).withColumn("at", F.col("label_item_id") * 1000 + F.col("line_index"))
+    return review.label_position(rows, "at", 1_000_000).select("id", "text", F.col("position").alias("place"))
 
 
 @query("P6_eval_filter", "select m as mode, id from {eval_items}, (values ('all'), ('match'), ('mismatch'), ('error'), ('fallback'), ('odd')) t(m) where case m when 'match' then is_match when 'mismatch' then not is_match and error_message is null when 'error' then error_message is not null when 'fallback' then used_fallback else true end")
@@ -144,6 +146,18 @@ def w11(spark, d):
     return review.neighbours(_items(spark, d), 1000)
 
 
+@query("W11_group_paging", "with g as (select label_item_id as id, bool_or(review_status = 'pending') as p from {ocr_lines} group by 1) select id, coalesce(min(case when p then id end) over (order by id rows between 1 following and unbounded following), (select min(id) from g where p)) as next_id, lag(id) over (order by id) as previous_id from g")
+def w11c(spark, d):
+    return review.group_neighbours(_lines(spark, d), 1000)
+
+
+@query("W11_next_previous_group", "select 'next' as kind, (select label_item_id from {ocr_lines} where review_status = 'pending' order by label_item_id <= 700, label_item_id limit 1) as id union all select 'previous', (select max(label_item_id) from {ocr_lines} where label_item_id < 700) union all select 'last', (select max(label_item_id) from {ocr_lines})")
+def w11d(spark, d):
+    one = lambda df, kind: df.select(F.lit(kind).alias("kind"), "id")
+    i = _lines(spark, d)
+    return one(review.next_group(i, 700), "next").unionByName(one(review.previous_group(i, 700), "previous")).unionByName(one(review.previous_group(i, 0), "last"))
+
+
 @query("W11_next_previous", f"select 'next' as kind, (select id from {{label_items}} where {_Q} and review_status = 'pending' order by id <= 700, id limit 1) as id union all select 'previous', (select max(id) from {{label_items}} where {_Q} and id < 700) union all select 'last', (select max(id) from {{label_items}} where {_Q})")
 def w11b(spark, d):
     one = lambda df, kind: df.select(F.lit(kind).alias("kind"), "id")
@@ -204,10 +218,13 @@ def j4(spark, d):
 _LAST = "select * from (select * from {decisions} where decision in ('approved', 'rejected')) t qualify row_number() over (partition by source_key order by ts desc, event_id desc) = 1"
 
 
-@query("J5_apply_decisions", f"with l as ({_LAST}) select i.id, coalesce(l.decision, review_status) as review_status, case when l.decision = 'approved' then null when l.decision = 'rejected' and image_file_name is not null then 'review/rejected/images/' || coalesce(split, 'unknown') || '/' || i.id || '.jpg' else rejected_image_file_name end as rejected_image_file_name, l.ts as reviewed_at from {{label_items}} i left join l on l.source_key = i.source_key")
+_J5 = f"with l as ({_LAST}) select i.id, coalesce(l.decision, review_status) as review_status, case when l.decision = 'approved' then null when l.decision = 'rejected' and image_file_name is not null then 'review/rejected/images/' || coalesce(split, 'unknown') || '/' || i.id || '.jpg' else rejected_image_file_name end as rejected_image_file_name, case when l.decision = 'approved' then null when l.decision = 'rejected' and label_file_name is not null then 'review/rejected/labels/' || coalesce(split, 'unknown') || '/' || i.id || '.txt' else rejected_label_file_name end as rejected_label_file_name, case when l.decision = 'approved' and image_file_name is null then regexp_extract(rejected_image_file_name, '[^/]*$') else image_file_name end as image_file_name, case when l.decision = 'approved' and label_file_name is null then regexp_extract(rejected_label_file_name, '[^/]*$') else label_file_name end as label_file_name, l.ts as reviewed_at, cast(coalesce(l.ts, i.updated_at) as timestamp) as updated_at from {{label_items}} i left join l on l.source_key = i.source_key"
+
+
+@query("J5_apply_decisions", _J5)
 def j5(spark, d):
     out, _, _ = review.apply_decisions(_items(spark, d), frame(spark, d, "decisions"))
-    return out.select("id", "review_status", "rejected_image_file_name", "reviewed_at")
+    return out.select("id", "review_status", "rejected_image_file_name", "rejected_label_file_name", "image_file_name", "label_file_name", "reviewed_at", F.col("updated_at").cast("timestamp").alias("updated_at"))
 
 
 @query("J5_history", "select 'history' as kind, d.source_key, d.event_id from {decisions} d join {label_items} i on i.source_key = d.source_key where decision in ('approved', 'rejected') union all select distinct 'unknown', source_key, -1 from {decisions} where decision in ('approved', 'rejected') and source_key not in (select source_key from {label_items})")
@@ -216,7 +233,10 @@ def j5b(spark, d):
     return history.select(F.lit("history").alias("kind"), "source_key", "event_id").unionByName(unknown.select(F.lit("unknown").alias("kind"), "source_key", F.lit(-1).cast("long").alias("event_id")))
 
 
-@query("J6_line_decisions", f"with l as (select * from {{line_decisions}} qualify row_number() over (partition by line_id order by ts desc, event_id desc) = 1) select o.id, coalesce(l.decision, review_status) as review_status, case when l.line_id is null then o.final_text else coalesce(nullif({dnorm('l.final_text')}, ''), case when l.decision = 'approved' then coalesce(nullif(normalized_text, ''), {dnorm(chr(99) + 'oalesce(ocr_text, ' + chr(39) + chr(39) + ')')}) end, o.final_text) end as final_text from {{ocr_lines}} o left join l on l.line_id = o.id")
+_J6 = f"with l as (select * from {{line_decisions}} qualify row_number() over (partition by line_id order by ts desc, event_id desc) = 1) select o.id, coalesce(l.decision, review_status) as review_status, case when l.line_id is null then o.final_text else coalesce(nullif({dnorm('l.final_text')}, ''), case when l.decision = 'approved' then coalesce(nullif(normalized_text, ''), {dnorm(chr(99) + 'oalesce(ocr_text, ' + chr(39) + chr(39) + ')')}) end, o.final_text) end as final_text from {{ocr_lines}} o left join l on l.line_id = o.id"
+
+
+@query("J6_line_decisions", _J6)
 def j6(spark, d):
     return review.apply_line_decisions(_lines(spark, d), frame(spark, d, "line_decisions")).select("id", "review_status", "final_text")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docgrid.functions import decode, geometry, text
 from docgrid.operators import parse
-from docgrid.plans.fixtures import ALPHABET, frame, oracle
+from docgrid.plans.fixtures import ALPHABET, frame, oracle, stored
 
 AS_OF = 2024
 QUERIES, ORACLES = {}, {}
@@ -202,9 +202,10 @@ def t22(spark, d):
     return _logits(spark, d).select("vec_id", decode.ctc_decode("logits", "AB<").alias("c")).select("vec_id", "c.*")
 
 
-@query("T23_softmax", f"select vec_id, cast(i as int) as step, {_SOFT} as p from ({_STEPS}) t")
+@query("T23_softmax", f"with s as ({_STEPS}), p as (select vec_id, i, case when list_min(r) >= 0 and abs(list_sum(r) - 1) <= 1e-3 then r else {_SOFT} end as p from s) select vec_id, cast(i as int) as step, cast(k as int) as class, p[k + 1] as p from p, range(4) c(k)")
 def t23(spark, d):
-    return _logits(spark, d).select("vec_id", F.posexplode("logits").alias("step", "r")).select("vec_id", (F.col("step") + 1).alias("step"), decode.softmax("r").alias("p"))
+    steps = _logits(spark, d).select("vec_id", F.posexplode("logits").alias("step", "r"))
+    return steps.select("vec_id", (F.col("step") + 1).alias("step"), F.posexplode(decode.softmax("r")).alias("class", "p"))
 
 
 @query("T24_json_lines", f"select id, case when json_valid(mrz_lines_json) and json_type(mrz_lines_json) = 'ARRAY' then list_filter(list_transform(cast(json(mrz_lines_json) as varchar[]), lambda x: {dnorm('x')}), lambda x: x <> '') else [] end as lines from {{label_items}}")
@@ -278,9 +279,12 @@ def _item():
 def ocr_features(spark, d) -> DataFrame:
     from docgrid.operators.selection import ocr_row_features
 
-    df = frame(spark, d, "ocr_boxes").withColumn("polygon", geometry.box_points("x1", "y1", "x2", "y2"))
-    # kept as a stored table would be: constraints inferred from filters on this many related columns grow without bound
-    return ocr_row_features(df.drop("x1", "y1", "x2", "y2")).persist()
+    def build() -> DataFrame:
+        df = frame(spark, d, "ocr_boxes").withColumn("polygon", geometry.box_points("x1", "y1", "x2", "y2"))
+        return ocr_row_features(df.drop("x1", "y1", "x2", "y2"))
+
+    # a stored table: constraints inferred from filters on this many related columns grow without bound
+    return stored(spark, d, "ocr_features", build)
 
 
 @query("G1_row_features", f"select image_id, row_id, {dnorm('text')} as normalized, {dlikeness('text')} as likeness, x1, y1, x2, y2, (y1 + y2) / 2 as y_center, (x1 + x2) / 2 as x_center, greatest(1, x2 - x1) as width, greatest(1, y2 - y1) as height, (y1 + y2) / 2 / 800 as bottom_bias, greatest(1, x2 - x1) / 1000 as width_ratio from {{ocr_boxes}} where length({dnorm('text')}) > 0")

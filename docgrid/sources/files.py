@@ -44,14 +44,17 @@ def export_line_dataset(lines: DataFrame, path: str, preserve_split: bool = True
     A dry run writes nothing.
     """
     df = exportable_lines(lines).select("id", "label_item_id", "line_index", F.coalesce("split", F.lit("train")).alias("split"), "text")
-    plan = df.groupBy("split").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("characters"))
+    counted = lambda df: df.groupBy("split").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("characters"))
     if dry_run:
-        return plan
+        return counted(df)
     part = ["split"] if preserve_split else []
-    for kind, out in (("jsonl", df), ("csv", df), ("labels", df.select("split", F.concat_ws("\t", F.col("id").cast("string"), "text").alias("value")))):
+    df.write.partitionBy(*part).json(f"{path}/jsonl")
+    df = df.sparkSession.read.schema(df.schema).json(f"{path}/jsonl")  # selected and sorted once
+    plan = counted(df)
+    for kind, out in (("csv", df), ("labels", df.select("split", F.concat_ws("\t", F.col("id").cast("string"), "text").alias("value")))):
         out = out if preserve_split or kind != "labels" else out.drop("split")
         writer = out.write.partitionBy(*part)
-        {"jsonl": writer.json, "csv": lambda p, w=writer: w.csv(p, header=True), "labels": writer.text}[kind](f"{path}/{kind}")
+        {"csv": lambda p, w=writer: w.csv(p, header=True), "labels": writer.text}[kind](f"{path}/{kind}")
     df.sparkSession.createDataFrame([(c,) for c in CHARSET], "value string").coalesce(1).write.text(f"{path}/charset")
     return plan
 
@@ -60,7 +63,7 @@ def export_image_manifest(df: DataFrame, path: str) -> DataFrame:
     """The manifest as a whole and by split, ordered by split, label, id and field; returns the counts."""
     order = ["split", "label", "id", "field"]
     df.orderBy(*order).write.csv(f"{path}/all", header=True)
-    df.repartition("split").sortWithinPartitions(*order).write.partitionBy("split").csv(f"{path}/by_split", header=True)
+    df.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("split").csv(f"{path}/by_split", header=True)
     return manifest_counts(df)
 
 

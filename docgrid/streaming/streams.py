@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from docgrid.operators.parse import mrz_confidence, parse_mrz
-from docgrid.operators.review import latest
+from docgrid.operators.review import apply_decisions, apply_line_decisions, latest
 
 
 def parse_stream(lines: DataFrame, as_of_year: int) -> DataFrame:
@@ -19,31 +19,54 @@ def parse_stream(lines: DataFrame, as_of_year: int) -> DataFrame:
 
 
 class DecisionStore:
-    """Snapshots of the latest decision per key below a folder; each batch writes a new one.
+    """The latest decision per key, in parts by a hash of the key below a folder.
 
-    A batch that comes again writes its snapshot anew from the one before it, so it is applied once; a
-    late decision does not beat a newer one, as keys keep the greatest (ts, event_id).
+    A batch writes anew only the parts that its keys fall into, from their newest version before it; so
+    a batch that comes again is applied once, and a late decision does not beat a newer one, as keys keep
+    the greatest (ts, event_id).  The two newest versions of a part stay.  Null keys are no decisions.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _batches(self) -> list[int]:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(conf)
-        found = [s.getPath() for s in fs.listStatus(root)] if fs.exists(root) else []
-        return sorted(int(p.getName().removeprefix("batch=")) for p in found if p.getName().startswith("batch=") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
-
-    def read(self, before: int | None = None) -> DataFrame | None:
-        ids = [b for b in self._batches() if before is None or b < before]
-        return self.spark.read.parquet(f"{self.path}/batch={ids[-1]}") if ids else None
+    def __init__(self, spark: SparkSession, path: str, key: str = "source_key", parts: int = 64):
+        self.spark, self.path, self.key, self.parts = spark, path.rstrip("/"), key, parts
+        self._jvm = spark._jvm
+        self._fs = self._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _versions(self) -> dict[int, list[int]]:
+        """Batches that wrote each part, in order."""
+        out: dict[int, list[int]] = {}
+        for s in self._fs.globStatus(self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/batch=*/part=*")) or []:
+            folder = s.getPath()
+            if self._fs.exists(self._jvm.org.apache.hadoop.fs.Path(folder.getParent(), "_SUCCESS")):
+                out.setdefault(int(folder.getName().removeprefix("part=")), []).append(int(folder.getParent().getName().removeprefix("batch=")))
+        return {p: sorted(b) for p, b in out.items()}
+
+    def read(self, before: int | None = None, parts: set[int] | None = None) -> DataFrame | None:
+        last = {p: [b for b in bs if before is None or b < before] for p, bs in self._versions().items() if parts is None or p in parts}
+        paths = [f"{self.path}/batch={b[-1]}/part={p}" for p, b in last.items() if b]
+        return self.spark.read.parquet(*paths) if paths else None
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select("source_key", "decision", "ts", "event_id").filter(F.col("decision").isin("approved", "rejected"))
-        old = self.read(batch_id)
+        rows = batch.filter(F.col("decision").isin("approved", "rejected") & F.col(self.key).isNotNull())
+        part = F.pmod(F.xxhash64(self.key), F.lit(self.parts))
+        touched = {r[0] for r in rows.select(part.cast("int")).distinct().collect()}  # ``parts`` at most
+        if not touched:
+            return
+        old = self.read(batch_id, touched)
         both = rows if old is None else old.select(*rows.columns).unionByName(rows)
-        latest(both, "source_key", ["ts", "event_id"]).write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+        latest(both, self.key, ["ts", "event_id"]).withColumn("part", part).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/batch={batch_id}")
+        for p, batches in self._versions().items():
+            for b in batches[:-2]:
+                self._fs.delete(self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/batch={b}/part={p}"), True)
+
+    def items(self, items: DataFrame) -> DataFrame:
+        """The label table after all decisions so far."""
+        now = self.read()
+        return items if now is None else apply_decisions(items, now)[0]
+
+    def lines(self, lines: DataFrame) -> DataFrame:
+        """The line table after all decisions so far."""
+        now = self.read()
+        return lines if now is None else apply_line_decisions(lines, now)
 
 
 def decision_stream(decisions: DataFrame, store: DecisionStore, checkpoint: str, after: Callable[[int], None] | None = None) -> StreamingQuery:
