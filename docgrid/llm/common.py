@@ -71,6 +71,16 @@ def skew_join(rows: DataFrame, table: DataFrame, on: str | list[str], how: str =
     return rows.join(hot, on, "left_semi").join(F.broadcast(table.join(hot, on, "left_semi")), on, how).unionByName(rows.join(hot, on, "left_anti").join(table.hint("merge"), on, how))
 
 
+def counted_join(rows: DataFrame, table: DataFrame, on: str, count: str, total: int) -> DataFrame:
+    """rows joined with a table of one row a key that knows how many rows of ``total`` its key has (``count``).
+
+    The HOT hottest keys at most are broadcast, the others merged.
+    """
+    limit = max(HOT_ROWS, total // HOT)
+    hot = F.broadcast(table.filter(F.col(count) > limit))
+    return rows.join(hot, on).unionByName(rows.join(hot, on, "left_anti").join(table.filter(F.col(count) <= limit).hint("merge"), on))
+
+
 def remainder(col: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % n

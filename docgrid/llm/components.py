@@ -9,17 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docgrid.llm.common import HOT, HOT_ROWS, discard, written
+from docgrid.llm.common import counted_join, discard, written
 
 
 def _with_least(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
     """edges (u, v) with m of least (u, m, n) by u; hubs, a thousandth of all edges each, are not one task.
 
-    n counts edges of u, and all n sum to 2 * total at most, so there are at most 2 * HOT hubs.
+    n counts edges of u, and all n sum to 2 * total at most.
     """
-    limit = max(HOT_ROWS, total // HOT)
-    hubs = F.broadcast(least.filter(F.col("n") > limit).select("u", "m"))
-    return edges.join(hubs, "u").union(edges.join(hubs, "u", "left_anti").join(least.filter(F.col("n") <= limit).select("u", "m").hint("merge"), "u"))
+    return counted_join(edges, least, "u", "n", 2 * total)
 
 
 def _large_star(edges: DataFrame, total: int) -> DataFrame:

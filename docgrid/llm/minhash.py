@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docgrid.llm.common import ascii_words, mix, read_table, skew_join, written
+from docgrid.llm.common import ascii_words, counted_join, mix, read_table, skew_join, written
 from docgrid.llm.components import components, components_sql, sorted_groups
 
 HASHES, BITS, ROWS_PER_BAND = 128, 2, 5
@@ -241,8 +241,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = least_estimate(percent / 100)
     reps = written(sigs.filter("k1 is not null").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "sets")
     members = reps.select("id", F.explode("bands").alias("key"))
-    centres = members.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("n")).filter("n > 1").select("key", "centre")
-    shared = written(members.join(centres.hint("merge"), "key"), "buckets")
+    centres = written(members.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("n")).filter("n > 1"), "centres")
+    shared = written(counted_join(members, centres, "key", "n", BANDS * reps.count()).drop("n"), "buckets")
     bits = reps.select("id", "sig", "bands")
     pairs = written(shared.filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "candidates")
     pairs = skew_join(pairs, bits.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(bits.select(F.col("id").alias("b"), F.col("sig").alias("sb")).hint("merge"), "b")

@@ -121,15 +121,19 @@ def curriculum(
     return placed.select(F.col("id").alias(id_col), *kept, "source", "size", "source_size", "target", "n_takes", takes.alias("positions"))
 
 
-def training_order(docs: DataFrame, mixed: DataFrame, row_col: str = "row", order_by: str = "doc_id") -> DataFrame:
-    """The rows of docs as often as the mix takes them, range-sorted by training position, with that position.
+def training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", schedules: Sequence[Schedule] = SCHEDULES, max_repeats: int = MAX_REPEATS) -> DataFrame:
+    """The rows of docs as often as their mix takes them, range-sorted by training position, with that position.
 
-    ``row_col`` numbers the rows of docs, a written table, and comes along in ``mixed`` (``keep`` of curriculum),
-    so rows that repeat an id, or have none, keep their own takes.  Ties go by order_by.
+    Takes find their row by a 128-bit hash of all its columns, so rows that share an id, or have none, keep
+    their own takes; of equal rows one stands for all of them.  Ties go by id_col.
     """
-    takes = mixed.select(F.col(row_col).alias("__row"), F.explode("positions").alias("position"))
-    out = docs.join(takes.hint("merge"), docs[row_col] == F.col("__row")).drop("__row")
-    return out.repartitionByRange("position", row_col).sortWithinPartitions("position", order_by, row_col)
+    columns = docs.columns
+    parts = [*(F.col(c).isNull() for c in columns), *(F.col(c) for c in columns)]
+    keyed = docs.withColumns({"__k1": F.xxhash64(*parts), "__k2": F.xxhash64(F.lit(1), *parts)})
+    mixed = curriculum(keyed, id_col, text_col, source_col, schedules, max_repeats, keep=("__k1", "__k2"))
+    takes = mixed.select("__k1", "__k2", F.explode("positions").alias("position"))
+    out = keyed.dropDuplicates(["__k1", "__k2"]).join(takes.hint("merge"), ["__k1", "__k2"])
+    return out.repartitionByRange("position", "__k1").sortWithinPartitions("position", id_col, "__k1").select(*columns, "position")
 
 
 def numbered(docs: DataFrame, name: str = "numbered") -> DataFrame:

@@ -96,6 +96,7 @@ def test_minhash_chains_and_large_groups(spark, monkeypatch):
         texts[n], n = " ".join(doc), n + 1
     monkeypatch.setattr(minhash, "BLOCK", 7)
     monkeypatch.setattr(minhash, "STAR", 5)
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
     sizes, comp = brute_components(texts, 3, 85)
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, words=3, percent=85).collect()}
@@ -255,7 +256,7 @@ def test_hot_keys_join_like_others(spark, monkeypatch):
 
 
 def test_components_with_hubs(spark, monkeypatch):
-    monkeypatch.setattr(components, "HOT_ROWS", 4)
+    monkeypatch.setattr(common, "HOT_ROWS", 4)
     links = [(0, i) for i in range(1, 40)] + [(99, i) for i in range(30, 60)] + [(70, 71)]
     nodes = {x for p in links for x in p}
     assert {r.id: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()} == union_find(nodes, links)
