@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from docgrid.llm.common import read_table, remainder, written
 from docgrid.llm.minhash import near_duplicates
-from docgrid.llm.mixing import curriculum, numbered, training_order
+from docgrid.llm.mixing import training_order
 from docgrid.llm.packing import pack_in_order
 from docgrid.llm.quality import THRESHOLD, fit, stats_column, training_rows
 from docgrid.llm.secrets import redact
@@ -61,8 +61,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Null and empty texts have no words and are never taken; a null source is a source of its own; rows
     repeated under one id, or without one, have takes of their own; an empty table gives no rows.
     """
-    docs = numbered(docs.select(*COLUMNS), "stage-mixing-rows")
-    return training_order(docs, curriculum(docs, keep=("row",))).select(*COLUMNS, "position")
+    return training_order(docs.select(*COLUMNS))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
