@@ -25,7 +25,7 @@ from docgrid.llm.common import new_path, read_table, written
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
 #: Words and pre-tokens that a worker keeps, of so many characters at most; beyond that it starts afresh.
-KEPT_WORDS, KEPT_CHARS = 500_000, 64
+KEPT_WORDS, KEPT_CHARS = 700_000, 64
 #: A blank is a safe cut before a non-blank; where blanks meet, only the last one is.
 _RUN_OF_BLANKS = re.compile(r" (?!\S)")
 _CUT = re.compile(r" (?=\S)")
