@@ -170,8 +170,8 @@ def _cross_links(docs: DataFrame, mixed: DataFrame, id_col: str, text_col: str,
     """
     least = least_estimate(percent / 100)
     other = (F.col("comp") != F.col("main")).cast("int")
-    sizes = mixed.groupBy("key").agg(F.ceil(F.sum(other) / BLOCK).alias("no"), F.ceil(F.sum(1 - other) / BLOCK).alias("nm"))
-    rows = mixed.join(sizes.hint("merge"), "key").withColumn("other", other).withColumn("h", F.xxhash64("id"))
+    sizes = mixed.groupBy("key").agg(F.ceil(F.sum(other) / BLOCK).alias("no"), F.ceil(F.sum(1 - other) / BLOCK).alias("nm"), F.count("*").alias("n"))
+    rows = counted_join(mixed, written(sizes, "cells"), "key", "n", mixed.count()).withColumn("other", other).withColumn("h", F.xxhash64("id"))
     span = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
     own = F.pmod("h", F.col("no"))
     # a cell is (key, i, j): i a block of others, j a block of others (>= i), or of the main component as -1 - j
