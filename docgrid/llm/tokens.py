@@ -25,10 +25,12 @@ from docgrid.llm.common import new_path, read_table, written
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
 #: Words and pre-tokens that a worker keeps, of so many characters at most; beyond that it starts afresh.
-KEPT_WORDS, KEPT_CHARS = 700_000, 64
+KEPT_WORDS, KEPT_CHARS = 1_300_000, 64
 #: A blank is a safe cut before a non-blank; where blanks meet, only the last one is.
 _RUN_OF_BLANKS = re.compile(r" (?!\S)")
 _CUT = re.compile(r" (?=\S)")
+#: How a line end is named among the bytes.
+_LINE_END = "\u010a"
 #: A word of letters and then signs; an apostrophe may begin a pre-token of letters, so it is left out.
 _PLAIN = re.compile(r"([^\W\d_]*)([!-&(-/:-@\[-`{-~]*)")
 
@@ -47,10 +49,13 @@ class _Pieces(dict):
         super().__init__()
         self.model = tokenizer.model
 
+    def ids(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
+
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= KEPT_WORDS:
             self.clear()
-        out = array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
+        out = self.ids(piece)
         if len(piece) <= KEPT_CHARS:
             self[piece] = out
         return out
@@ -59,8 +64,9 @@ class _Pieces(dict):
 class _Words(dict):
     """Word -> ids of lead + word."""
 
-    def __init__(self, tokenizer: Tokenizer, pieces: _Pieces, lead: str):
+    def __init__(self, tokenizer: Tokenizer, pieces: _Pieces, lead: str, bare: _Words | None = None):
         super().__init__()
+        self.bare = self if bare is None else bare
         self.split, self.pieces, self.lead = tokenizer.pre_tokenizer.pre_tokenize_str, pieces, lead
         self.names = _byte_names()
         self.named_lead = lead.translate(self.names)
@@ -68,14 +74,18 @@ class _Words(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= KEPT_WORDS:
             self.clear()
-        plain = _PLAIN.fullmatch(word)
-        if plain and plain[1] and plain[1].isalpha():
-            letters = plain[1] if plain[1].isascii() else plain[1].encode().decode("latin-1").translate(self.names)
-            out = self.pieces[self.named_lead + letters]
-            if plain[2]:
-                out += self.pieces[plain[2]]
+        if "\n" in word:
+            lines = word.split("\n")
+            if all(p and not p[0].isspace() and not p[-1].isspace() for p in lines):  # a lone line end is a pre-token
+                return self[lines[0]] + b"".join([self.pieces[_LINE_END] + self.bare[p] for p in lines[1:]])
+        if word.isalpha():
+            out = self.pieces.ids(self.named_lead + (word if word.isascii() else word.encode().decode("latin-1").translate(self.names)))
         else:
-            out = b"".join([self.pieces[p] for p, _ in self.split(self.lead + word)])
+            plain = _PLAIN.fullmatch(word)
+            if plain and plain[1].isalpha():
+                out = self[plain[1]] + self.pieces[plain[2]]
+            else:
+                out = b"".join([self.pieces[p] for p, _ in self.split(self.lead + word)])
         if len(word) <= KEPT_CHARS:
             self[word] = out
         return out
@@ -90,7 +100,8 @@ class Encoder:
         if tokenizer.normalizer is not None or "ByteLevel" not in str(tokenizer.pre_tokenizer) or "add_prefix_space=False" not in str(tokenizer.pre_tokenizer):
             raise ValueError("a byte-level tokenizer without normalizer and prefix space is needed")
         pieces = _Pieces(tokenizer)
-        self.first, self.later = _Words(tokenizer, pieces, ""), _Words(tokenizer, pieces, " ")
+        self.first = _Words(tokenizer, pieces, "")
+        self.later = _Words(tokenizer, pieces, " ", self.first)
         added = tokenizer.get_added_tokens_decoder()
         if any(t.single_word or t.lstrip or t.rstrip for t in added.values()):
             raise ValueError("added tokens must not look at what stands around them")

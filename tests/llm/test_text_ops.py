@@ -1,6 +1,7 @@
 """Secrets, language, quality, tokens, packing and mixing against plain Python."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -231,6 +232,13 @@ END = "<|endoftext|>"
 WITH_ADDED = [f"a {END} b", END, f"{END}{END}", f" {END} ", f"x  {END}  y", f"it{END}'s", f"<|{END}|>", "<|endoftext|", f"long words {END}\n\n{END} 漢字😀{END}end", "plain", ""]
 
 
+def test_words_over_line_ends_equal_library(tokenizer):
+    e, r = tokens.Encoder(tokens.TOKENIZER), random.Random(7)
+    odd = ["".join(r.choice("ab Z\n\n\t'.,;9é漢½²\x85\x1c😀\r") for _ in range(r.randint(0, 14))) for _ in range(5000)]
+    for t in [*odd, "a\n" * 5000, "a\nb.\nÉc", "\na", "a\n", "a\n\nb", "it's\n's"]:
+        assert np.frombuffer(e(t), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t[:40]
+
+
 def test_added_tokens_equal_the_tokenizer_as_loaded(spark, tmp_path):
     as_loaded, e = Tokenizer.from_file(tokens.TOKENIZER), tokens.encoder()
     want = [encoded(as_loaded, t) for t in WITH_ADDED]
