@@ -57,28 +57,37 @@ def discard(df: DataFrame) -> None:
 HOT, HOT_ROWS = 1000, 64
 
 
+def _split(rows: DataFrame, table: DataFrame, on: list[str], hot: DataFrame, how: str) -> DataFrame:
+    """rows joined with table, those with one of the ``hot`` keys (HOT of them or a few times that) by broadcast, the others by merge.
+
+    The hashes of the hot keys go into the filters of both sides, so no join has to find them.
+    """
+    if any(rows.schema[c].dataType != table.schema[c].dataType for c in on):
+        raise ValueError("keys of one type are needed, as they meet by hash")
+    key = F.xxhash64(*on)
+    keys = [r[0] for r in hot.select(key).collect()]
+    if not keys:
+        return rows.join(table.hint("merge"), on, how)
+    is_hot = key.isin(keys)
+    return rows.filter(is_hot).join(F.broadcast(table.filter(is_hot)), on, how).unionByName(rows.filter(~is_hot).join(table.filter(~is_hot).hint("merge"), on, how))
+
+
 def skew_join(rows: DataFrame, table: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
     """rows (a written table) joined with a table that has one row a key, where any key may hold most rows.
 
     The entries of the HOT hottest keys at most are broadcast, the others merged; ``how`` is inner or left.
     """
     on = [on] if isinstance(on, str) else on
-    total = rows.count()
-    hot = rows.groupBy(*on).agg(F.count("*").alias("__n")).filter(F.col("__n") > max(HOT_ROWS, total // HOT)).select(*on)
-    if total <= HOT_ROWS or hot.isEmpty():
-        return rows.join(table.hint("merge"), on, how)
-    hot = F.broadcast(hot)
-    return rows.join(hot, on, "left_semi").join(F.broadcast(table.join(hot, on, "left_semi")), on, how).unionByName(rows.join(hot, on, "left_anti").join(table.hint("merge"), on, how))
+    hot = rows.groupBy(*on).agg(F.count("*").alias("__n")).filter(F.col("__n") > max(HOT_ROWS, rows.count() // HOT))
+    return _split(rows, table, on, hot, how)
 
 
 def counted_join(rows: DataFrame, table: DataFrame, on: str, count: str, total: int) -> DataFrame:
-    """rows joined with a table of one row a key that knows how many rows of ``total`` its key has (``count``).
+    """rows joined with a written table of one row a key that knows how many rows of ``total`` its key has (``count``).
 
     The HOT hottest keys at most are broadcast, the others merged.
     """
-    limit = max(HOT_ROWS, total // HOT)
-    hot = F.broadcast(table.filter(F.col(count) > limit))
-    return rows.join(hot, on).unionByName(rows.join(hot, on, "left_anti").join(table.filter(F.col(count) <= limit).hint("merge"), on))
+    return _split(rows, table, [on], table.filter(F.col(count) > max(HOT_ROWS, total // HOT)), "inner")
 
 
 def remainder(col: str, n: int) -> Column:

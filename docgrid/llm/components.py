@@ -9,15 +9,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docgrid.llm.common import counted_join, discard, written
+from docgrid.llm.common import HOT, HOT_ROWS, discard, written
 
 
 def _with_least(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
     """edges (u, v) with m of least (u, m, n) by u; hubs, a thousandth of all edges each, are not one task.
 
-    n counts edges of u, and all n sum to 2 * total at most.
+    n counts edges of u, and all n sum to 2 * total at most, so HOT hubs at most are broadcast.
     """
-    return counted_join(edges, least, "u", "n", 2 * total)
+    limit = max(HOT_ROWS, 2 * total // HOT)
+    hubs = F.broadcast(least.filter(F.col("n") > limit))
+    return edges.join(hubs, "u").unionByName(edges.join(hubs, "u", "left_anti").join(least.filter(F.col("n") <= limit).hint("merge"), "u"))
 
 
 def _large_star(edges: DataFrame, total: int) -> DataFrame:
