@@ -8,25 +8,30 @@ extended to whole windows, which then meet the items' windows as text.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docgrid.llm.common import discard, read_table, skew_join, written
 
-#: A word: digits, a-z and anything beyond ASCII, after A-Z were lowered.
-TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
 #: Bits of the bitmap per kept hash of the items, and its largest size in longs (2 MB).  A fuller bitmap lets more
 #: spans through to the join, which decides alone.
-BITS_PER_HASH, MOST_LONGS = 128, 1 << 18
+BITS_PER_HASH, MOST_LONGS = 1024, 1 << 18
 #: Windows of the items up to which they are broadcast (about 100 bytes each); beyond it they are merged.
 SMALL = 200_000
 _ALPHA = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+#: What parts words: every ASCII character but digits and letters.
+_GAPS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
+
+
 def words_of(c: str) -> Column:
-    """Words of a text, A-Z lowered; null has none."""
-    return F.coalesce(F.regexp_extract_all(F.translate(F.col(c), _ALPHA, _ALPHA.lower()), F.lit(TOKEN), F.lit(0)), F.array().cast("array<string>"))
+    """Words of a text, A-Z lowered; null has none.  Gaps become blanks first, as a split at one character needs no pattern."""
+    plain = F.translate(F.col(c), _ALPHA + _GAPS, _ALPHA.lower() + " " * len(_GAPS))
+    return F.coalesce(F.array_remove(F.split(plain, " "), ""), F.array().cast("array<string>"))
 
 
 def span(m: int) -> tuple[int, int]:
@@ -35,19 +40,28 @@ def span(m: int) -> tuple[int, int]:
     return k, m - k + 1
 
 
-def _grams(m: int) -> Column:
-    """Hashes of the k-grams of ``words``."""
-    k, _ = span(m)
-    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - k, F.lit(0)))
-    return F.when(F.size("words") >= k, F.transform(starts, lambda i: F.xxhash64(F.slice("words", i + 1, k)))).otherwise(F.array().cast("array<long>"))
+def _run(a: Column | str, i: Column, n: int) -> list[Column]:
+    # elements are taken one by one, as slice() copies its whole array each time
+    return [F.get(a, i + j) for j in range(n)]
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once; a column of it would be put into the body's inner functions, once a word."""
+    return F.transform(F.array(value), body)[0]
 
 
 def _kept(m: int) -> Column:
-    """(start, hash) for every start of m words: the least hash of its k-grams (``grams``)."""
-    _, w = span(m)
-    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - m, F.lit(0)))
-    least = lambda i: F.array_min(F.slice("grams", i + 1, w))
-    return F.when(F.size("words") >= m, F.transform(starts, lambda i: F.struct(i.alias("start"), least(i).alias("hash")))).otherwise(F.array().cast("array<struct<start:int,hash:bigint>>"))
+    """For every start of m words the least hash of the k-grams from there on."""
+    k, w = span(m)
+    grams = lambda h: F.transform(h, lambda _, i: F.xxhash64(*_run(h, i, k)))
+    least = lambda g: F.transform(g, lambda x, i: F.least(*_run(g, i, w)) if w > 1 else x)
+    kept = _let(F.transform("words", lambda x: F.xxhash64(x)), lambda h: _let(grams(h), least))
+    # what begins within the last m - 1 words has no m words
+    return F.when(F.size("words") >= m, F.slice(kept, F.lit(1), F.size("words") - (m - 1))).otherwise(F.array().cast("array<long>"))
+
+
+def _text(start: Column, m: int) -> Column:
+    return F.concat_ws(" ", *_run("words", start, m))
 
 
 def item_windows(items: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
@@ -56,8 +70,8 @@ def item_windows(items: DataFrame, id_col: str, text_col: str, window: int) -> D
     lengths = [r[0] for r in rows.select(F.least(F.size("words"), F.lit(window)).alias("m")).distinct().collect()]  # ``window`` values at most
     out = None
     for m in sorted(lengths):
-        own = rows.filter(F.least(F.size("words"), F.lit(window)) == m).select("item", "words", _grams(m).alias("grams"))
-        own = own.select("item", "words", F.explode(_kept(m)).alias("x")).select(F.lit(m).alias("m"), F.array_join(F.slice("words", F.col("x.start") + 1, m), " ").alias("win"), F.col("x.hash").alias("hash"), "item")
+        own = rows.filter(F.least(F.size("words"), F.lit(window)) == m)
+        own = own.select("item", "words", F.posexplode(_kept(m)).alias("start", "hash")).select(F.lit(m).alias("m"), _text(F.col("start"), m).alias("win"), "hash", "item")
         out = own if out is None else out.unionByName(own)
     if out is None:
         out = rows.select(F.lit(window).alias("m"), F.lit("").alias("win"), F.lit(0).cast("long").alias("hash"), "item").limit(0)
@@ -66,7 +80,7 @@ def item_windows(items: DataFrame, id_col: str, text_col: str, window: int) -> D
 
 def _bitmap(hashes: DataFrame, longs: int) -> Column:
     """One array of longs with a bit set for each hash, as a scalar subquery."""
-    bits = hashes.select(_place(F.col("hash"), longs).alias("i"), F.shiftleft(F.lit(1).cast("long"), F.col("hash").bitwiseAND(63).cast("int")).alias("b"))
+    bits = hashes.select(_place(F.col("hash"), longs).alias("i"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("hash").bitwiseAND(63).cast("int")).alias("b"))
     all_longs = hashes.sparkSession.range(longs).select(F.col("id").alias("i"), F.lit(0).cast("long").alias("b"))
     whole = bits.unionByName(all_longs).groupBy("i").agg(F.bit_or("b").alias("b"))
     # ``longs`` rows, at most MOST_LONGS
@@ -77,6 +91,15 @@ def _place(h: Column, longs: int) -> Column:
     return F.shiftrightunsigned(h, 6).bitwiseAND(longs - 1)
 
 
+def _near(m: int, longs: int) -> Column:
+    """(start, m, win) of the spans whose kept hash is in the bitmap."""
+    bit = lambda x: F.call_function("shiftright", F.get(F.col(f"bits_{m}"), _place(x, longs)), x.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
+    kind = "array<struct<start:int,m:int,win:string>>"
+    told = lambda kept, hits: F.filter(F.transform(kept, lambda x, i: F.when(F.array_contains(hits, x), F.struct(i.alias("start"), F.lit(m).alias("m"), _text(i, m).alias("win")))), lambda x: x.isNotNull())
+    # a document has far fewer kept hashes than spans, and mostly none of them is in the bitmap
+    return _let(_kept(m), lambda kept: _let(F.filter(F.array_distinct(kept), bit), lambda hits: F.when(F.size(hits) > 0, told(kept, hits)).otherwise(F.array().cast(kind))))
+
+
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """One row per row of docs: id_col, n_words, n_hit, n_items, items_sha256, contaminated, spans.
 
@@ -97,10 +120,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     for m, n in sorted(counts.items()):
         longs = min(MOST_LONGS, 1 << max(4, (BITS_PER_HASH * n // 64 - 1).bit_length()))
         bitmap = _bitmap(windows.filter(F.col("m") == m).select("hash"), longs)
-        rows = rows.withColumn("grams", _grams(m)).withColumn("kept", _kept(m)).withColumn(f"bits_{m}", bitmap)
-        hit = lambda x: F.shiftright(F.get(F.col(f"bits_{m}"), _place(x["hash"], longs)), x["hash"].bitwiseAND(63).cast("int")).bitwiseAND(1) == 1  # noqa: B023, E731
-        near = F.transform(F.filter("kept", hit), lambda x: F.struct(x["start"].alias("start"), F.lit(m).alias("m"), F.array_join(F.slice("words", x["start"] + 1, m), " ").alias("win")))  # noqa: B023
-        rows = rows.withColumn(f"near_{m}", near)
+        rows = rows.withColumn(f"bits_{m}", bitmap).withColumn(f"near_{m}", _near(m, longs))
     found = F.concat(found, *(F.col(f"near_{m}") for m in sorted(counts)))
     rows = written(rows.select("row", "id", F.size("words").cast("long").alias("n_words"), found.alias("found")), "decontamination")
     known = written(windows.groupBy("m", "win").agg(F.count("*").alias("n")), "windows")

@@ -1,6 +1,6 @@
 """Queries and SQL of this subpackage."""
 
-from docgrid.llm import context_tree, decontamination, language, merkle, minhash, mixing, near_vectors, nearest, packing, quality, secrets, tokens
+from docgrid.llm import context_tree, decontamination, language, merkle, minhash, mixing, near_vectors, nearest, packing, quality, repair, secrets, tokens
 
 QUERIES = {
     "op1_near_vectors": near_vectors.op1_near_vectors,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_context_tree": context_tree.op8_context_tree,
     "op9_language": language.op9_language,
     "op10_quality": quality.op10_quality,
+    "op11_repair": repair.op11_repair,
     "op12_merkle": merkle.op12_merkle,
     "op13_decontamination": decontamination.op13_decontamination,
 }
@@ -24,6 +25,7 @@ ORACLES = {
     "op3_minhash": minhash.OP3_SQL,
     "op5_nearest": nearest.OP5_SQL,
     "op7_mixing": mixing.OP7_SQL,
+    "op11_repair": repair.OP11_SQL,
     "op12_merkle": merkle.OP12_SQL,
     "op13_decontamination": decontamination.OP13_SQL,
 }
