@@ -19,7 +19,7 @@ _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 def mrz_normalize(c: C) -> Column:
     """Upper case, look-alike fillers to '<', and nothing but A-Z, 0-9 and '<'; null stays null."""
-    return F.regexp_replace(F.translate(F.upper(col(c)), "«‹>", "<<<"), "[^A-Z0-9<]", "")
+    return F.regexp_replace(F.translate(F.upper(col(c)), "«‹>", "<<<"), "[^A-Z0-9<]+", "")
 
 
 def mrz_normalize_lines(lines: C, least: int = 20) -> Column:
@@ -62,12 +62,20 @@ def full_name(surname: C, given: C) -> Column:
     return F.nullif(F.concat_ws(" ", part(surname), part(given)), F.lit(""))
 
 
-def mrz_likeness(c: C) -> Column:
-    """How much a raw text looks like an MRZ line, from charset, length, filler and digit shares."""
-    raw, n = col(c), F.length(mrz_normalize(c))
-    fill = n - F.length(F.translate(mrz_normalize(c), "<", ""))
+def mrz_likeness(c: C, normalized: C | None = None) -> Column:
+    """How much a raw text looks like an MRZ line, from charset, length, filler and digit shares.
+
+    ``normalized`` is the normalised text where a table has it; else it is made once a row.
+    """
+    raw = col(c)
+    if normalized is None:
+        return F.transform(F.array(mrz_normalize(raw)), lambda n: mrz_likeness(raw, n))[0]
+    text = col(normalized)
+    n = F.length(text)
+    fill = n - F.length(F.translate(text, "<", ""))
     share = n / F.greatest(F.lit(1), F.length(F.translate(raw, " ", "")))
-    score = 0.45 * share + 0.30 * F.least(F.lit(1.0), n / 30) + 0.15 * F.least(F.lit(1.0), fill / F.greatest(F.lit(1), n) * 4) + 0.10 * F.when(mrz_normalize(c).rlike("[0-9]"), 1.0).otherwise(0.65)
+    digits = F.length(F.translate(text, "0123456789", "")) < n
+    score = 0.45 * share + 0.30 * F.least(F.lit(1.0), n / 30) + 0.15 * F.least(F.lit(1.0), fill / F.greatest(F.lit(1), n) * 4) + 0.10 * F.when(digits, 1.0).otherwise(0.65)
     return F.when(n > 0, score).otherwise(0.0)
 
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docgrid.functions.geometry import bounds, unrotate_points
@@ -18,13 +18,21 @@ from docgrid.operators.parse import candidate_score, fallback_trigger, parse_mrz
 TARGET_LENGTHS = (44, 36, 30)
 
 
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that costs too much to be computed again in every filter and score above it.
+
+    Filters are not moved below an explode, so the value is made once a row.
+    """
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def ocr_row_features(df: DataFrame) -> DataFrame:
     """Adds normalized, likeness, x1..y2, centres, sizes and ratios; rows without text or polygon go.
 
     df: text, polygon array<struct<x, y>>, image_width, image_height.
     """
-    df = df.withColumn("normalized", mrz_normalize("text")).filter((F.length("normalized") > 0) & (F.size("polygon") > 0))
-    df = df.withColumns({"likeness": mrz_likeness("text"), "__b": bounds("polygon")}).select("*", "__b.*").drop("__b")
+    df = _once(df.filter(F.size("polygon") > 0), "normalized", mrz_normalize("text")).filter(F.length("normalized") > 0)
+    df = _once(df, "__b", F.struct(mrz_likeness("text", "normalized").alias("likeness"), bounds("polygon").alias("b"))).select("*", "__b.likeness", "__b.b.*").drop("__b")
     return df.withColumns({
         "width": F.greatest(F.lit(1.0), F.col("x2") - F.col("x1")), "height": F.greatest(F.lit(1.0), F.col("y2") - F.col("y1")), "x_center": (F.col("x1") + F.col("x2")) / 2, "y_center": (F.col("y1") + F.col("y2")) / 2,
     }).withColumns({"bottom_bias": F.col("y_center") / F.greatest(F.lit(1), "image_height"), "width_ratio": F.col("width") / F.greatest(F.lit(1), "image_width")})
@@ -43,16 +51,21 @@ def choose_lines(rows: DataFrame, key: str, order: str, text: str = "text", scor
     quality wins, earlier targets on ties; without any, the first three.  Lines stand by y; the score is
     their mean OCR score within 0..1.  Keys without such rows are left out.
     """
-    df = rows.select(key, F.col(order).alias("pos"), mrz_normalize(text).alias("line"), F.col(score).alias("s"), (F.col(score) + mrz_likeness(text)).alias("q"), mrz_likeness(text).alias("like"), F.col(y).alias("y"))
-    df = df.filter((F.length("line") >= 12) & (F.col("like") >= 0.48))
-    df = df.withColumn("rk", F.row_number().over(Window.partitionBy(key).orderBy(F.length("line").desc(), F.desc("q"), "pos")))
-    options = F.array(*[F.struct(F.lit(i).alias("prio"), F.lit(t).alias("target")) for i, t in enumerate((*TARGET_LENGTHS, 0))])
-    df = df.select("*", F.explode(options).alias("o")).filter((F.col("o.target") == 0) | (F.abs(F.length("line") - F.col("o.target")) <= 10))
-    own = Window.partitionBy(key, "o.prio")
-    df = df.withColumns({"n": F.count("*").over(own), "r": F.row_number().over(own.orderBy("rk"))}).filter(((F.col("o.target") == 0) | (F.col("n") >= 2)) & (F.col("r") <= 3))
-    groups = df.groupBy(key, "o.prio", "o.target").agg(F.avg("q").alias("mean"), F.avg("s").alias("s"), F.array_sort(F.collect_list(F.struct("y", "rk", "line"))).alias("lines"))
-    best = Window.partitionBy(key).orderBy((F.col("target") == 0).cast("int"), F.desc("mean"), "prio")
-    return groups.withColumn("r", F.row_number().over(best)).filter("r = 1").select(key, F.transform("lines", lambda x: x["line"]).alias("lines"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("s"))).alias("ocr_score"))
+    df = _once(rows.select(key, F.col(order).alias("pos"), F.col(text).alias("raw"), F.col(score).alias("s"), F.col(y).alias("y")), "line", mrz_normalize("raw")).filter(F.length("line") >= 12)
+    df = _once(df, "like", mrz_likeness("raw", "line")).filter(F.col("like") >= 0.48).select(key, "pos", "line", "s", "y", F.length("line").alias("n"), (F.col("s") + F.col("like")).alias("q"))
+    # an image has few rows, so the rest is a fold over its list
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("a"), (-F.col("q")).alias("b"), "pos", "n", "q", "s", "y", "line")))
+    df = df.groupBy(key).agg(ranked.alias("rows"))
+    mean = lambda a, f: F.aggregate(a, F.lit(0.0), lambda t, x: t + x[f]) / F.size(a)
+
+    def option(prio: int, target: int) -> Column:
+        near = F.filter("rows", lambda x: F.abs(x["n"] - target) <= 10) if target else F.col("rows")
+        first = F.slice(near, 1, 3)
+        told = F.struct(F.lit(int(not target)).alias("last"), (-mean(first, "q")).alias("mean"), F.lit(prio).alias("prio"), mean(first, "s").alias("s"), F.transform(F.array_sort(F.transform(first, lambda x, i: F.struct(x["y"], i, x["line"]))), lambda x: x["line"]).alias("lines"))
+        return F.when(F.size(near) >= (2 if target else 1), told)
+
+    best = F.array_min(F.array_compact(F.array(*(option(i, t) for i, t in enumerate((*TARGET_LENGTHS, 0))))))
+    return df.select(key, best.alias("b")).select(key, "b.lines", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("b.s"))).alias("ocr_score"))
 
 
 def top_candidates(df: DataFrame, key: str, n: int = 4, shape: str = "morphology", shape_n: int = 3) -> DataFrame:
@@ -103,16 +116,22 @@ def find_mrz_group(rows: DataFrame, key: str, order: str, min_likeness: float =
     df = rows.filter((F.length("normalized") >= min_length) & (F.col("likeness") >= min_likeness) & (F.col("width_ratio") >= 0.25))
     quality = F.col("ocr_score") * 0.30 + F.col("likeness") * 0.45 + F.least(F.lit(1.0), F.length("normalized") / 36) * 0.25
     by_y = Window.partitionBy(key).orderBy("y_center", order)
-    df = df.withColumns({"q": quality, "start": F.row_number().over(by_y)})
-    runs = None
-    for n in (2, 3):
-        w = by_y.rowsBetween(0, n - 1)
-        run = df.select(key, F.lit(n).alias("n"), "start", "image_width", "image_height", F.count("*").over(w).alias("rows"), F.avg("q").over(w).alias("q"), F.avg("height").over(w).alias("h"), *[f(c).over(w).alias(c) for f, c in ((F.min, "x1"), (F.min, "y1"), (F.max, "x2"), (F.max, "y2"))]).filter(F.col("rows") == n)
-        runs = run if runs is None else runs.unionByName(run)
-    penalty = F.greatest(F.lit(0.0), (F.col("y2") - F.col("y1")) / F.greatest(F.lit(1.0), "h") - F.col("n") * 2.6) * 0.08
-    score = F.col("q") + (F.col("x2") - F.col("x1")) / F.greatest(F.lit(1), "image_width") * 0.20 + (F.col("y1") + F.col("y2")) / 2 / F.greatest(F.lit(1), "image_height") * 0.18 - penalty
-    first = Window.partitionBy(key).orderBy(F.desc("score"), "n", "start")
-    return runs.withColumn("score", score).withColumn("r", F.row_number().over(first)).filter("r = 1").drop("r", "q", "h", "rows")
+    row = F.struct("x1", "y1", "x2", "y2", "height", quality.alias("q"))
+    df = df.select(key, order, "y_center", "image_width", "image_height", row.alias("a")).withColumns({"start": F.row_number().over(by_y), "b": F.lead("a").over(by_y), "c": F.lead("a", 2).over(by_y)})
+
+    def run(names: str) -> Column:
+        """Box and score of the rows ``names``, null where one of them is missing."""
+        n, part = len(names), lambda f: [F.col(f"{c}.{f}") for c in names]
+        mean = lambda f: sum(part(f)[1:], part(f)[0]) / n
+        (x1, y1), (x2, y2) = (F.least(*part(f)) for f in ("x1", "y1")), (F.greatest(*part(f)) for f in ("x2", "y2"))
+        penalty = F.greatest(F.lit(0.0), (y2 - y1) / F.greatest(F.lit(1.0), mean("height")) - n * 2.6) * 0.08
+        score = mean("q") + (x2 - x1) / F.greatest(F.lit(1), "image_width") * 0.20 + (y1 + y2) / 2 / F.greatest(F.lit(1), "image_height") * 0.18 - penalty
+        # equal scores may differ in their last bits
+        told = F.struct((-F.round(score, 9)).alias("r"), F.lit(n).alias("n"), "start", score.alias("score"), x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"), "image_width", "image_height")
+        return F.when(F.col(names[-1]).isNotNull(), told)
+
+    best = df.groupBy(key).agg(F.min(F.least(run("ab"), run("abc"))).alias("b")).filter("b is not null")
+    return best.select(key, "b.n", "b.start", "b.image_width", "b.image_height", "b.x1", "b.y1", "b.x2", "b.y2", "b.score")
 
 
 def select_line_rows(rows: DataFrame, key: str, order: str, min_likeness: float = 0.35, min_length: int = 20) -> DataFrame:
@@ -132,8 +151,8 @@ def select_line_rows(rows: DataFrame, key: str, order: str, min_likeness: float
 
 def best_line_text(rows: DataFrame, key: list[str], order: str) -> DataFrame:
     """(key, text, ocr_score): the row with the highest (likeness, length, score), the first on ties."""
-    rows = rows.withColumn("__n", mrz_normalize("text")).filter("__n <> ''")
-    best = F.max(F.struct(mrz_likeness("__n").alias("l"), F.length("__n").alias("n"), F.col("ocr_score"), (-F.col(order)).alias("o"), F.col("__n").alias("text")))
+    rows = _once(rows, "__n", mrz_normalize("text")).filter("__n <> ''")
+    best = F.max(F.struct(mrz_likeness("__n", "__n").alias("l"), F.length("__n").alias("n"), F.col("ocr_score"), (-F.col(order)).alias("o"), F.col("__n").alias("text")))
     return rows.groupBy(*key).agg(best.alias("b")).select(*key, "b.text", "b.ocr_score")
 
 
