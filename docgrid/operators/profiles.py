@@ -1,9 +1,12 @@
 """Lines of text from row profiles, component tables and segments.
 
-All frames are inside one image key, and images with a null key are like any other image only where no
-join is needed, else they have no row; an empty profile or table gives no rows, and an image that stands
-twice counts its rows twice.  Profiles are tables (img_id, y, v), bands (img_id, y1, y2, score)
-with y2 exclusive, except that a band open at the bottom ends at height - 1.
+A profile is one array an image, in a table (img_id, v): the value of each row from the top.  What is found
+in it stays beside it as arrays, so a chain of operators is expressions over one row and needs no join;
+``as_arrays`` makes such a table from rows (img_id, y, v), ``band_rows`` gives the bands as rows again.
+Bands have y1, y2 (exclusive, except that a band open at the bottom ends at height - 1) and score, their
+mean value.  Empty profiles have no bands, and a null image is an image like any other.
+
+Tables of components and segments are grouped by image; images with a null key have no row where they are joined.
 """
 
 from __future__ import annotations
@@ -12,88 +15,163 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = "img_id"
+BANDS = "array<struct<y1:int,y2:int,score:double>>"
 
 
 def _half_even(c: Column) -> Column:
     return F.rint(c).cast("int")
 
 
-def _mean(profile: DataFrame, spans: DataFrame) -> DataFrame:
-    """Mean profile value of each span (img_id, y1, y2)."""
-    p = profile.select(F.col(KEY).alias("__k"), F.col("y").alias("__y"), F.col("v").alias("__v"))
-    j = spans.join(p.hint("merge"), (F.col(KEY) == F.col("__k")) & (F.col("__y") >= F.col("y1")) & (F.col("__y") < F.col("y2")))
-    return j.groupBy(*spans.columns).agg(F.avg("__v").alias("score"))
+def _none(kind: str) -> Column:
+    return F.array().cast(kind)
 
 
-def profile_bands(profile: DataFrame, ratio: float = 0.12, min_height: int = 6) -> DataFrame:
-    """Runs of rows with at least ratio times the image's highest value, min_height or taller."""
-    own = Window.partitionBy(KEY)
-    df = profile.withColumns({"__m": F.max("v").over(own), "__h": F.max("y").over(own) + 1}).filter("__m > 0").filter(F.col("v") >= F.col("__m") * ratio)
-    df = df.withColumn("__g", F.col("y") - F.row_number().over(own.orderBy("y")))
-    g = df.groupBy(KEY, "__g").agg(F.min("y").alias("y1"), (F.max("y") + 1).alias("end"), F.avg("v").alias("score"), F.first("__h").alias("h")).filter(F.col("end") - F.col("y1") >= min_height)
-    return g.select(KEY, "y1", F.when(F.col("end") == F.col("h"), F.col("h") - 1).otherwise(F.col("end")).alias("y2"), "score")
+def _let(value: Column, body) -> Column:
+    """body of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def as_arrays(profile: DataFrame) -> DataFrame:
+    """(img_id, v) of rows (img_id, y, v): of a place that stands twice the highest value counts, places without a row and null values are 0."""
+    rows = F.array_sort(F.collect_list(F.struct("y", (-F.coalesce("v", F.lit(0.0))).alias("w"))))
+    df = profile.filter("y is not null").groupBy(KEY).agg(rows.alias("a"))
+    # after the sort a place's first row has its highest value
+    df = df.select(KEY, F.filter("a", lambda x, i: (i == 0) | (x["y"] != F.get("a", i - 1)["y"])).alias("a"))
+    height = F.element_at("a", -1)["y"] + 1
+    at = lambda y: F.coalesce(F.get(F.filter("a", lambda x: x["y"] == y), F.lit(0))["w"], F.lit(0.0))
+    dense = F.when(F.size("a") == height, F.transform("a", lambda x: -x["w"])).otherwise(F.transform(F.sequence(F.lit(0), height - 1), lambda y: -at(y)))
+    return df.select(KEY, F.transform(dense, lambda x: x + 0.0).alias("v"))
+
+
+def band_rows(images: DataFrame) -> DataFrame:
+    """(img_id, y1, y2, score) of a table with ``bands``."""
+    # an outer explode: for an inner one Spark infers a filter that computes the bands once more below
+    return images.select(KEY, F.inline_outer("bands")).filter("y1 is not null")
+
+
+def _sum(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda t, x: t + x)
+
+
+def _mean(v: Column, y1: Column, y2: Column) -> Column:
+    return _sum(F.slice(v, y1 + 1, y2 - y1)) / (y2 - y1)
+
+
+def _band(v: Column, y1: Column, y2: Column) -> Column:
+    return F.struct(y1.cast("int").alias("y1"), y2.cast("int").alias("y2"), _mean(v, y1, y2).alias("score"))
+
+
+def _lowest(v: Column, lo: Column, hi: Column) -> Column:
+    """Place of the least value within lo..hi (inclusive), the first of equal ones."""
+    return F.array_min(F.transform(F.sequence(lo.cast("int"), hi.cast("int")), lambda y: F.struct(F.get(v, y).alias("v"), y.alias("y"))))["y"]
+
+
+def _active(v: Column, least: Column, strict: bool = False) -> Column:
+    """Places whose value reaches (or passes) a threshold."""
+    told = F.transform(v, lambda x, i: F.when((x > least) if strict else (x >= least), i))
+    return F.filter(told, lambda i: i.isNotNull())
+
+
+def profile_bands(images: DataFrame, ratio: float = 0.12, min_height: int = 6) -> DataFrame:
+    """Adds bands: runs of rows with at least ratio times the image's highest value, min_height or taller."""
+    v = F.col("v")
+
+    def found(on: Column) -> Column:
+        first = F.filter(on, lambda y, i: (i == 0) | (F.get(on, i - 1) != y - 1))
+        last = F.filter(on, lambda y, i: (i == F.size(on) - 1) | (F.get(on, i + 1) != y + 1))
+        runs = F.filter(F.transform(F.arrays_zip(first.alias("a"), last.alias("b")), lambda x: F.struct(x["a"].alias("y1"), (x["b"] + 1).alias("end"))), lambda x: x["end"] - x["y1"] >= min_height)
+        end = lambda x: F.when(x["end"] == F.size(v), x["end"] - 1).otherwise(x["end"])
+        return F.transform(runs, lambda x: F.struct(x["y1"].alias("y1"), end(x).alias("y2"), _mean(v, x["y1"], x["end"]).alias("score")))
+
+    most = F.coalesce(F.array_max(v), F.lit(0.0))
+    bands = _let(_let(most * ratio, lambda least: _active(v, least)), found)
+    return images.withColumn("bands", F.when(most > 0, bands.cast(BANDS)).otherwise(_none(BANDS)))
 
 
-def top_bands(bands: DataFrame, expected: int = 2) -> DataFrame:
-    """The strongest bands by score times height, numbered from the top."""
-    w = Window.partitionBy(KEY)
-    best = bands.withColumn("__r", F.row_number().over(w.orderBy((F.col("score") * (F.col("y2") - F.col("y1"))).desc(), "y1"))).filter(F.col("__r") <= expected).drop("__r")
-    return best.withColumn("band", F.row_number().over(w.orderBy("y1")))
+def _sorted(bands: Column | str, *keys) -> Column:
+    """Bands in the order of the keys (functions of a band)."""
+    keyed = F.transform(bands, lambda x: F.struct(*(k(x).alias(f"k{i}") for i, k in enumerate(keys)), x.alias("b")))
+    return F.transform(F.array_sort(keyed), lambda x: x["b"])
 
 
-def split_wide_bands(profile: DataFrame, bands: DataFrame, expected: int = 2, min_height: int = 6) -> DataFrame:
+def top_bands(images: DataFrame, expected: int = 2) -> DataFrame:
+    """Keeps the strongest bands by score times height, from the top."""
+    best = F.slice(_sorted("bands", lambda x: -x["score"] * (x["y2"] - x["y1"]), lambda x: x["y1"]), 1, expected)
+    return images.withColumn("bands", F.array_sort(best))
+
+
+def split_wide_bands(images: DataFrame, expected: int = 2, min_height: int = 6) -> DataFrame:
     """While an image has too few bands, its tallest is cut at the lowest value of its middle 30-70 %.
 
     Each round adds one band at most, so there are expected - 1 rounds; a band under three times
     min_height, or without a place to cut, ends it.
     """
-    for _ in range(expected - 1):
-        w = Window.partitionBy(KEY)
-        df = bands.withColumns({"__n": F.count("*").over(w), "__r": F.row_number().over(w.orderBy((F.col("y2") - F.col("y1")).desc(), "y1"))})
-        h = F.col("y2") - F.col("y1")
-        lo, hi = F.greatest(F.col("y1") + min_height, F.col("y1") + F.floor(h * 0.3)), F.least(F.col("y2") - min_height, F.col("y1") + F.floor(h * 0.7))
-        cut = df.filter((F.col("__n") < expected) & (F.col("__r") == 1) & (h >= 3 * min_height)).select(F.col(KEY).alias("__k"), "y1", "y2", lo.alias("lo"), hi.alias("hi")).filter("hi > lo")
-        at = cut.join(profile.hint("merge"), (F.col("__k") == F.col(KEY)) & (F.col("y") >= F.col("lo")) & (F.col("y") < F.col("hi"))).groupBy(KEY, "y1", "y2").agg(F.min(F.struct("v", "y")).alias("m")).select(KEY, "y1", "y2", F.col("m.y").alias("at"))
-        parts = _mean(profile, at.select(KEY, "y1", F.col("at").alias("y2")).unionByName(at.select(KEY, F.col("at").alias("y1"), "y2")))
-        bands = bands.join(at.select(KEY, "y1"), [KEY, "y1"], "left_anti").unionByName(parts.select(*bands.columns))
-    return bands
-
-
-def force_bands(profile: DataFrame, bands: DataFrame, expected: int = 2, min_height: int = 6) -> DataFrame:
+    v = F.col("v")
+
+    def cut(bands: Column) -> Column:
+        def at(t: Column) -> Column:
+            h = t["y2"] - t["y1"]
+            lo, hi = F.greatest(t["y1"] + min_height, t["y1"] + F.floor(h * 0.3)), F.least(t["y2"] - min_height, t["y1"] + F.floor(h * 0.7))
+            parts = lambda y: F.concat(F.filter(bands, lambda x: x["y1"] != t["y1"]), F.array(_band(v, t["y1"], y), _band(v, y, t["y2"])))
+            return F.when((h >= 3 * min_height) & (hi > lo), _let(_lowest(v, lo, F.greatest(lo, hi - 1)), parts).cast(BANDS)).otherwise(bands)
+
+        tallest = F.get(_sorted(bands, lambda x: x["y1"] - x["y2"], lambda x: x["y1"]), F.lit(0))
+        return F.when((F.size(bands) > 0) & (F.size(bands) < expected), _let(tallest, at)).otherwise(bands)
+
+    if expected < 2:
+        return images
+    return images.withColumn("bands", F.aggregate(F.sequence(F.lit(2), F.lit(expected)), F.col("bands").cast(BANDS), lambda b, _: cut(b)))
+
+
+def force_bands(images: DataFrame, expected: int = 2, min_height: int = 6) -> DataFrame:
     """Images with too few bands get equal slices of their active extent (over 3 % of the highest), if it is tall enough."""
-    own = Window.partitionBy(KEY)
-    ext = profile.withColumn("__m", F.max("v").over(own)).filter(F.col("v") > F.greatest(F.lit(1.0), F.col("__m") * 0.03)).groupBy(KEY).agg(F.min("y").alias("top"), (F.max("y") + 1).alias("bottom"))
-    few = profile.select(KEY).distinct().join(bands.groupBy(KEY).agg(F.count("*").alias("n")), KEY, "left").filter(F.coalesce("n", F.lit(0)) < expected)
-    df = few.join(ext, KEY).filter(F.col("bottom") - F.col("top") >= min_height * expected)
-    step = F.greatest(F.lit(min_height), _half_even((F.col("bottom") - F.col("top")) / expected))
-    i = F.explode(F.sequence(F.lit(0), F.lit(expected - 1)))
-    cut = df.withColumn("i", i).select(KEY, (F.col("top") + F.col("i") * step).alias("y1"), F.when(F.col("i") == expected - 1, F.col("bottom")).otherwise(F.least("bottom", F.col("top") + (F.col("i") + 1) * step)).alias("y2"))
-    cut = cut.filter(F.col("y2") - F.col("y1") >= min_height).withColumn("n", F.count("*").over(own)).filter(F.col("n") >= expected).drop("n")
-    forced = _mean(profile, cut)
-    return bands.join(forced.select(KEY).distinct(), KEY, "left_anti").unionByName(forced.select(*bands.columns))
-
-
-def separators(profile: DataFrame, bands: DataFrame) -> DataFrame:
+    v = F.col("v")
+
+    def slices(on: Column) -> Column:
+        top, bottom = F.get(on, F.lit(0)), F.element_at(on, -1) + 1
+        step = F.greatest(F.lit(min_height), _half_even((bottom - top) / expected))
+        cut = lambda i: F.struct((top + i * step).alias("y1"), F.when(i == expected - 1, bottom).otherwise(F.least(bottom, top + (i + 1) * step)).alias("y2"))
+        parts = F.filter(F.transform(F.sequence(F.lit(0), F.lit(expected - 1)), cut), lambda x: x["y2"] - x["y1"] >= min_height)
+        forced = _let(parts, lambda p: F.when(F.size(p) >= expected, F.transform(p, lambda x: _band(v, x["y1"], x["y2"])).cast(BANDS)))
+        return F.when(F.size(on) > 0, F.when(bottom - top >= min_height * expected, forced))
+
+    least = F.greatest(F.lit(1.0), F.coalesce(F.array_max(v), F.lit(0.0)) * 0.03)
+    forced = _let(_let(least, lambda t: _active(v, t, strict=True)), slices)
+    return images.withColumn("bands", F.when(F.size("bands") < expected, F.coalesce(forced, "bands")).otherwise(F.col("bands")))
+
+
+def _separators(v: Column, bands: Column | str) -> Column:
+    """The lowest row between the middles of each band and the next."""
+    mids = F.transform(bands, lambda x: _half_even((x["y1"] + x["y2"]) / 2))
+    between = lambda m: F.transform(F.slice(m, F.lit(2), F.greatest(F.size(m) - 1, F.lit(0))), lambda d, i: _lowest(v, F.least(F.get(m, i), d), F.greatest(F.get(m, i), d)))
+    return _let(mids, between)
+
+
+def separators(images: DataFrame) -> DataFrame:
     """(img_id, band, separator): the lowest row between the middles of a band and the next."""
-    w = Window.partitionBy(KEY).orderBy("y1")
-    mid = _half_even((F.col("y1") + F.col("y2")) / 2)
-    df = bands.withColumns({"band": F.row_number().over(w), "c": mid}).withColumn("d", F.lead("c").over(w)).filter("d is not null")
-    j = df.select(F.col(KEY).alias("__k"), "band", "c", "d").join(profile, (F.col("__k") == F.col(KEY)) & F.col("y").between(F.least("c", "d"), F.greatest("c", "d")))
-    return j.groupBy(KEY, "band").agg(F.min(F.struct("v", "y")).alias("m")).select(KEY, "band", F.col("m.y").alias("separator"))
+    return images.select(KEY, F.posexplode(_separators(F.col("v"), F.array_sort("bands"))).alias("band", "separator")).withColumn("band", F.col("band") + 1)
 
 
-def line_bounds(profile: DataFrame, bands: DataFrame, pad_ratio: float = 0.06, ratio: float = 0.05) -> DataFrame:
+def line_bounds(images: DataFrame, pad_ratio: float = 0.06, ratio: float = 0.05) -> DataFrame:
     """(img_id, band, top, bottom) of each line: active rows between separators, padded."""
-    w = Window.partitionBy(KEY).orderBy("y1")
-    height = profile.groupBy(KEY).agg((F.max("y") + 1).alias("h"))
-    df = bands.withColumn("band", F.row_number().over(w)).select(KEY, "band").join(separators(profile, bands), [KEY, "band"], "left").join(height, KEY)
-    seg = df.withColumns({"lo": F.coalesce(F.lag("separator").over(Window.partitionBy(KEY).orderBy("band")), F.lit(0)), "hi": F.coalesce("separator", "h")}).withColumn("hi", F.greatest(F.col("lo") + 1, F.least("h", "hi")))
-    p = profile.withColumnRenamed(KEY, "__k")
-    j = seg.join(p, (F.col(KEY) == F.col("__k")) & (F.col("y") >= F.col("lo")) & (F.col("y") < F.col("hi"))).withColumn("m", F.max("v").over(Window.partitionBy(KEY, "band")))
-    on = F.when((F.col("m") > 0) & (F.col("v") >= F.greatest(F.lit(1.0), F.col("m") * ratio)), F.col("y"))
-    g = j.groupBy(KEY, "band", "lo", "hi", "h").agg(F.min(on).alias("first"), F.max(on).alias("last"))
-    pad = F.greatest(F.lit(2), _half_even(F.col("h") * pad_ratio))
-    return g.select(KEY, "band", F.coalesce(F.greatest("lo", F.col("first") - pad), "lo").alias("top"), F.coalesce(F.least("hi", F.col("last") + pad + 1), "hi").alias("bottom"))
+    v, h = F.col("v"), F.size("v")
+    pad = F.greatest(F.lit(2), _half_even(h * pad_ratio))
+
+    def bound(lo: Column, hi: Column) -> Column:
+        part = F.slice(v, lo + 1, hi - lo)
+        most = F.array_max(part)
+        on = F.when(most > 0, _let(F.greatest(F.lit(1.0), most * ratio), lambda t: _active(part, t))).otherwise(_none("array<int>"))
+        told = lambda a: F.when(F.size(a) > 0, F.struct(F.greatest(lo, lo + F.get(a, F.lit(0)) - pad).alias("top"), F.least(hi, lo + F.element_at(a, -1) + pad + 1).alias("bottom"))).otherwise(F.struct(lo.alias("top"), hi.alias("bottom")))
+        return _let(on, told)
+
+    def bounds(seps: Column) -> Column:
+        lo = lambda i: F.when(i == 0, 0).otherwise(F.get(seps, i - 1))
+        hi = lambda i: F.greatest(lo(i) + 1, F.least(h, F.coalesce(F.get(seps, i), h)))
+        span = F.transform("bands", lambda _, i: F.struct(lo(i).alias("lo"), hi(i).alias("hi")))
+        return F.transform(span, lambda x: bound(x["lo"], x["hi"]))
+
+    lines = images.withColumn("bands", F.array_sort("bands")).select(KEY, F.posexplode(_let(_separators(v, "bands"), bounds)).alias("band", "b"))
+    return lines.select(KEY, (F.col("band") + 1).alias("band"), "b.top", "b.bottom")
 
 
 def component_lines(parts: DataFrame, expected: int = 2) -> DataFrame:
@@ -156,39 +234,42 @@ def choose_skew(images: DataFrame, segments: DataFrame, boxes: DataFrame, parts:
     return df.select(KEY, F.coalesce("__s", "__b", "__c", F.lit(0.0)).alias("angle"), F.when(F.col("__s").isNotNull(), "segments").when(F.col("__b").isNotNull(), "box").when(F.col("__c").isNotNull(), "components").otherwise("none").alias("skew_from"))
 
 
-def trim_bounds(parts: DataFrame, columns: DataFrame, pad_ratio: float = 0.02, ratio: float = 0.08) -> DataFrame:
+def trim_bounds(images: DataFrame, pad_ratio: float = 0.02, ratio: float = 0.08) -> DataFrame:
     """(img_id, left, right): horizontal extent of eight or more components, else of the column profile, else all.
 
-    columns: img_id, x, v, image_width for every image.  A trim under a quarter of the width is not used.
+    images: img_id, image_width, image_height, parts (array of x, w, h, area) and columns (array of x, v).  A
+    trim under a quarter of the width is not used.
     """
-    pad = lambda w: F.greatest(F.lit(6), _half_even(w * pad_ratio))
     w = F.col("image_width")
-    ok = parts.filter(F.col("w").between(2, F.least(F.lit(70), "image_width")) & F.col("h").between(6, F.least(F.lit(70), "image_height")) & (F.col("area") >= 8))
-    c = ok.groupBy(KEY).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max(F.col("x") + F.col("w")).alias("hi")).filter("n >= 8").select(KEY, F.col("lo").alias("clo"), F.col("hi").alias("chi"))
-    p = columns.withColumn("m", F.max("v").over(Window.partitionBy(KEY)))
-    on = F.when((F.col("m") > 0) & (F.col("v") >= F.greatest(F.lit(255.0), F.col("m") * ratio)), F.col("x"))
-    g = p.groupBy(KEY).agg(F.first("image_width").alias("image_width"), F.min(on).alias("lo"), (F.max(on) + 1).alias("hi")).join(c, KEY, "left")
-    span = lambda lo, hi: F.struct(F.greatest(F.lit(0), lo - pad(w)).alias("left"), F.least(w, hi + pad(w)).alias("right"))
+    pad = F.greatest(F.lit(6), _half_even(w * pad_ratio))
+    fits = lambda c: c["w"].between(2, F.least(F.lit(70), w)) & c["h"].between(6, F.least(F.lit(70), F.col("image_height"))) & (c["area"] >= 8)
+    least = F.greatest(F.lit(255.0), F.array_max(F.transform("columns", lambda c: c["v"])) * ratio)
+    df = images.select(KEY, "image_width", F.filter("parts", fits).alias("ok"), F.transform(_let(least, lambda t: F.filter("columns", lambda c: c["v"] >= t)), lambda c: c["x"]).alias("on"))
+    span = lambda lo, hi: F.struct(F.greatest(F.lit(0), lo - pad).alias("left"), F.least(w, hi + pad).alias("right"))
     wide = lambda s: F.when(s["right"] - s["left"] >= w * 0.25, s)
-    s = F.coalesce(wide(span(F.col("clo"), F.col("chi"))), wide(span(F.col("lo"), F.col("hi"))), F.struct(F.lit(0).alias("left"), w.alias("right")))
-    return g.select(KEY, s.alias("s")).select(KEY, "s.*")
+    of_parts = F.when(F.size("ok") >= 8, span(F.array_min(F.transform("ok", lambda c: c["x"])), F.array_max(F.transform("ok", lambda c: c["x"] + c["w"]))))
+    of_columns = F.when(F.size("on") > 0, span(F.array_min("on"), F.array_max("on") + 1))
+    s = F.coalesce(wide(of_parts), wide(of_columns), F.struct(F.lit(0).alias("left"), w.alias("right")))
+    return df.select(KEY, s.alias("s")).select(KEY, "s.*")
 
 
-def fixed_split(profile: DataFrame, overlap_ratio: float = 0.10, pad_ratio: float = 0.05) -> DataFrame:
+def fixed_split(images: DataFrame, overlap_ratio: float = 0.10, pad_ratio: float = 0.05) -> DataFrame:
     """(img_id, line, top, bottom): two lines cut at the lowest row near the middle of the active extent."""
-    own = Window.partitionBy(KEY)
-    df = profile.withColumns({"m": F.max("v").over(own), "h": F.max("y").over(own) + 1})
-    on = F.when(F.col("v") >= F.greatest(F.lit(1.0), F.col("m") * 0.03), F.col("y"))
-    e = df.groupBy(KEY).agg(F.first("h").alias("h"), F.min(on).alias("a"), (F.max(on) + 1).alias("b")).select(KEY, "h", F.coalesce("a", F.lit(0)).alias("top"), F.coalesce("b", "h").alias("bottom")).filter("h >= 4")
-    tall = F.greatest(F.lit(2), F.col("bottom") - F.col("top"))
-    mid, radius = _half_even((F.col("top") + F.col("bottom")) / 2), F.greatest(F.lit(2), _half_even(tall * 0.16))
-    e = e.withColumns({"mid": mid, "lo": F.greatest(F.col("top") + 1, mid - radius), "hi": F.least(F.col("bottom") - 1, mid + radius), "over": F.greatest(F.lit(2), _half_even(tall * overlap_ratio)), "pad": F.greatest(F.lit(2), _half_even(F.col("h") * pad_ratio))})
-    p = profile.withColumnRenamed(KEY, "__k")
-    s = e.join(p, (F.col(KEY) == F.col("__k")) & (F.col("y") >= F.col("lo")) & (F.col("y") < F.col("hi"))).groupBy(KEY).agg(F.min(F.struct("v", "y")).alias("s")).select(KEY, F.col("s.y").alias("at"))
-    e = e.join(s, KEY, "left").withColumn("at", F.coalesce("at", "mid"))
-    one = lambda n, lo, hi: F.struct(F.lit(n).alias("line"), lo.alias("top"), hi.alias("bottom"))
-    two = F.array(one(1, F.greatest(F.lit(0), F.col("top") - F.col("pad")), F.least("h", F.col("at") + F.col("over"))), one(2, F.greatest(F.lit(0), F.col("at") - F.col("over")), F.least("h", F.col("bottom") + F.col("pad"))))
-    return e.select(KEY, F.explode(two).alias("t")).select(KEY, "t.*").filter("bottom > top")
+    v, h = F.col("v"), F.size("v")
+    pad = F.greatest(F.lit(2), _half_even(h * pad_ratio))
+    on = _let(F.greatest(F.lit(1.0), F.array_max(v) * 0.03), lambda t: _active(v, t))
+
+    def lines(e: Column) -> Column:
+        top, bottom = e["top"], e["bottom"]
+        tall = F.greatest(F.lit(2), bottom - top)
+        mid, radius, over = _half_even((top + bottom) / 2), F.greatest(F.lit(2), _half_even(tall * 0.16)), F.greatest(F.lit(2), _half_even(tall * overlap_ratio))
+        lo, hi = F.greatest(top + 1, mid - radius), F.least(bottom - 1, mid + radius)
+        at = F.when(hi > lo, _lowest(v, lo, F.greatest(lo, hi - 1))).otherwise(mid)
+        one = lambda n, a, b: F.struct(F.lit(n).alias("line"), a.alias("top"), b.alias("bottom"))
+        return _let(at, lambda y: F.array(one(1, F.greatest(F.lit(0), top - pad), F.least(h, y + over)), one(2, F.greatest(F.lit(0), y - over), F.least(h, bottom + pad))))
+
+    extent = _let(on, lambda a: F.when(F.size(a) > 0, F.struct(F.get(a, F.lit(0)).alias("top"), (F.element_at(a, -1) + 1).alias("bottom"))).otherwise(F.struct(F.lit(0).alias("top"), h.alias("bottom"))))
+    return images.filter(h >= 4).select(KEY, F.explode(_let(extent, lines)).alias("t")).select(KEY, "t.*").filter("bottom > top")
 
 
 def orientation_vote(glyphs: DataFrame, min_components: int = 6, min_delta: float = 0.5, least: float = 0.08) -> DataFrame:

@@ -140,7 +140,7 @@ FIXTURES: dict[str, str] = {
     "profile": """
         select p_partkey as img_id, cast(n.y as int) as y, cast(case when p_partkey % 11 = 0 then 0 when p_partkey % 3 = 2 then case when n.y between 8 and 50 then 100 + n.y % 7 * 5 - case when n.y between 26 and 31 then 60 else 0 end else 0 end
           when n.y between 6 + p_partkey % 5 and 20 + p_partkey % 3 or n.y between 33 and 46 + p_partkey % 14 then 90 + (n.y * 13 + p_partkey) % 17 else n.y % 4 end as double) as v
-        from {part} join (select row_number() over (order by o_orderkey) - 1 as y from (select o_orderkey from {orders} where o_orderkey < 60) o) n on true""",
+        from (select p_partkey, SERIES(59) as y from {part}) n""",
     "parts": """
         select l_orderkey as img_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as comp_id, cast(l_partkey % 500 as int) as x, cast(case when l_linenumber % 2 = 0 then 20 else 60 end + l_suppkey % 6 as int) as y,
           cast(2 + l_partkey % 44 as int) as w, cast(5 + l_suppkey % 30 as int) as h, cast(l_quantity * 4 as int) as area, 600 as image_width, 120 as image_height,

@@ -17,26 +17,27 @@ parts as (select img_id, y1, pos as y2 from cuts union all select img_id, pos, y
 splits as (select * from bands b where not exists (select 1 from cuts where cuts.img_id = b.img_id and cuts.y1 = b.y1) union all select parts.img_id, y1, y2, avg(v) from parts join {profile} p on p.img_id = parts.img_id and p.y >= y1 and p.y < y2 group by parts.img_id, y1, y2)"""
 _SEP = "mids as (select *, cast(round_even((y1 + y2) / 2, 0) as int) as c from top), nx as (select *, lead(c) over (partition by img_id order by y1) as d from mids), seps as (select nx.img_id, band, arg_min(p.y, p.v * 1000 + p.y) as separator from nx join {profile} p on p.img_id = nx.img_id and p.y between least(c, d) and greatest(c, d) where d is not null group by nx.img_id, band)"
 
-_p = lambda spark, d: frame(spark, d, "profile")
+_p = lambda spark, d: profiles.as_arrays(frame(spark, d, "profile"))
+_bands = lambda spark, d: profiles.profile_bands(_p(spark, d))
 
 
 def _top(spark, d):
-    return profiles.top_bands(profiles.profile_bands(_p(spark, d)))
+    return profiles.top_bands(_bands(spark, d))
 
 
 @query("B1_profile_bands", f"with {_BANDS} select * from bands")
 def b1(spark, d):
-    return profiles.profile_bands(_p(spark, d))
+    return profiles.band_rows(_bands(spark, d))
 
 
 @query("B2_top_bands", f"with {_BANDS}, {_TOP} select * from top")
 def b2(spark, d):
-    return _top(spark, d)
+    return _top(spark, d).select("img_id", F.posexplode("bands").alias("band", "b")).select("img_id", "b.y1", "b.y2", "b.score", (F.col("band") + 1).alias("band"))
 
 
 @query("B3_split_wide_bands", f"with {_BANDS}, {_SPLIT} select * from splits")
 def b3(spark, d):
-    return profiles.split_wide_bands(_p(spark, d), profiles.profile_bands(_p(spark, d)))
+    return profiles.band_rows(profiles.split_wide_bands(_bands(spark, d)))
 
 
 @query("B4_force_bands", f"""with {_BANDS}, few as (select img_id from (select distinct img_id from {{profile}}) k left join (select img_id, count(*) as n from bands group by img_id) c using (img_id) where coalesce(n, 0) < 2),
@@ -44,19 +45,19 @@ def b3(spark, d):
   cut as (select img_id, a as y1, least(b, a + st) as y2 from s union all select img_id, a + st, b from s), ok as (select *, count(*) over (partition by img_id) as n from cut where y2 - y1 >= 6), f as (select ok.img_id, y1, y2, avg(v) as score from ok join {{profile}} p on p.img_id = ok.img_id and p.y >= y1 and p.y < y2 where n = 2 group by ok.img_id, y1, y2)
   select * from bands where img_id not in (select img_id from f) union all select * from f""")
 def b4(spark, d):
-    return profiles.force_bands(_p(spark, d), profiles.profile_bands(_p(spark, d)))
+    return profiles.band_rows(profiles.force_bands(_bands(spark, d)))
 
 
 @query("B5_separators", f"with {_BANDS}, {_TOP}, {_SEP} select * from seps")
 def b5(spark, d):
-    return profiles.separators(_p(spark, d), _top(spark, d).drop("band"))
+    return profiles.separators(_top(spark, d))
 
 
 @query("B6_line_bounds", f"""with {_BANDS}, {_TOP}, {_SEP}, sg as (select t.img_id, t.band, coalesce(lag(separator) over (partition by t.img_id order by t.band), 0) as lo, coalesce(separator, 60) as hi from top t left join seps s on s.img_id = t.img_id and s.band = t.band),
   j as (select sg.*, p.y, p.v, max(p.v) over (partition by sg.img_id, band) as mx from sg join {{profile}} p on p.img_id = sg.img_id and p.y >= lo and p.y < hi)
   select img_id, band, greatest(lo, min(y) filter (where v >= greatest(1, mx * 5e-2)) - 4) as top, least(hi, max(y) filter (where v >= greatest(1, mx * 5e-2)) + 5) as bottom from j group by img_id, band, lo, hi""")
 def b6(spark, d):
-    return profiles.line_bounds(_p(spark, d), _top(spark, d).drop("band"))
+    return profiles.line_bounds(_top(spark, d))
 
 
 @query("B7_component_lines")
@@ -105,9 +106,11 @@ _PAD = "greatest(6, cast(round_even(600 * 2e-2, 0) as int))"
   s as (select g.img_id, greatest(0, c.lo - {_PAD}) as cl, least(600, c.hi + {_PAD}) as cr, greatest(0, g.lo - {_PAD}) as gl, least(600, g.hi + {_PAD}) as gr, c.lo as has_c, g.lo as has_g from g left join c using (img_id))
   select img_id, case when has_c is not null and cr - cl >= 150 then cl when has_g is not null and gr - gl >= 150 then gl else 0 end as "left", case when has_c is not null and cr - cl >= 150 then cr when has_g is not null and gr - gl >= 150 then gr else 600 end as "right" from s""")
 def b11(spark, d):
-    p = _parts8(spark, d)
-    columns = p.groupBy("img_id", "x", "image_width").agg((F.sum("area") * 10).cast("double").alias("v"))
-    return profiles.trim_bounds(p, columns)
+    parts = F.collect_list(F.struct("x", "w", "h", "area"))
+    df = _parts8(spark, d).groupBy("img_id").agg(F.first("image_width").alias("image_width"), F.first("image_height").alias("image_height"), parts.alias("parts"))
+    ink = lambda x: F.aggregate(F.filter("parts", lambda c: c["x"] == x), F.lit(0).cast("long"), lambda t, c: t + c["area"]) * 10
+    columns = F.transform(F.array_distinct(F.transform("parts", lambda c: c["x"])), lambda x: F.struct(x.alias("x"), ink(x).cast("double").alias("v")))
+    return profiles.trim_bounds(df.withColumn("columns", columns))
 
 
 @query("B12_fixed_split", """with m as (select *, max(v) over (partition by img_id) as m from {profile}), e as (select img_id, coalesce(min(y) filter (where v >= greatest(1, m * 3e-2)), 0) as a, coalesce(max(y) filter (where v >= greatest(1, m * 3e-2)) + 1, 60) as b from m group by img_id),
