@@ -195,6 +195,17 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Data
     return spark.read.parquet(_STORED[key])
 
 
+def kept(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
+    """Writes a middle result of one call and reads it back; nothing of it serves a later call."""
+
+    def keep(df: DataFrame) -> DataFrame:
+        path = folder(spark, "middle")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    return keep
+
+
 def oracle(sql: str) -> str:
     """DuckDB SQL with the fixtures that it names (in braces) put before it."""
     order: list[str] = []

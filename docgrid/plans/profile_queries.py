@@ -60,7 +60,13 @@ def b6(spark, d):
     return profiles.line_bounds(_top(spark, d))
 
 
-@query("B7_component_lines")
+@query("B7_component_lines", """with recursive p as (select * replace (img_id // 8 as img_id) from {parts} where w between 2 and 70 and h between 6 and 70 and area >= 8), c as (select img_id, greatest(1e1, median(h) * 14e-1) as far from p group by img_id having count(*) >= 10),
+  a as materialized (select p.*, far, row_number() over (partition by p.img_id order by cy, comp_id, x, y, x + w, y + h, area) as i from p join c on c.img_id = p.img_id), k(img_id, i, s, n, g) as (
+    select img_id, i, cy, 1, 1 from a where i = 1
+    union all select a.img_id, a.i, case when abs(cy - s / n) > far then cy else s + cy end, case when abs(cy - s / n) > far then 1 else n + 1 end, case when abs(cy - s / n) > far then g + 1 else g end from k join a on a.img_id = k.img_id and a.i = k.i + 1),
+  l as (select a.img_id, g, count(*) as n, max(x + w) - min(x) as span, greatest(0, cast(round_even(min(y), 0) as int)) as y1, least(119, cast(round_even(max(y + h), 0) as int)) as y2, sum(area) as area from a join k on k.img_id = a.img_id and k.i = a.i group by a.img_id, g having count(*) >= 3 and max(x + w) - min(x) >= 120),
+  o as (select *, span * n + area as s, count(*) over (partition by img_id) as c from l)
+  select img_id, y1, y2, s / greatest(1, y2 - y1) as score from o where c >= 2 qualify row_number() over (partition by img_id order by s desc, y1) <= 2""")
 def b7(spark, d):
     return profiles.component_lines(frame(spark, d, "parts").withColumn("img_id", F.floor(F.col("img_id") / 8)))
 

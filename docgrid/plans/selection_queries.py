@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docgrid.operators import parse, selection
-from docgrid.plans.fixtures import frame, stored
-from docgrid.plans.text_queries import AS_OF, PARSE, PASS, dlikeness, dnorm, ocr_features, parsed, query
+from docgrid.plans.fixtures import frame, kept
+from docgrid.plans.text_queries import _FIX, _PARTS, _TARGET, AS_OF, PARSE, PASS, dlikeness, dnorm, ocr_features, parsed, query
 
 _ROWS = f"r as (select image_id, row_id, {dnorm('text')} as line, ocr_score as s, ocr_score + {dlikeness('text')} as q, {dlikeness('text')} as lk, y1 as y from {{ocr_boxes}}), a as (select *, row_number() over (partition by image_id order by length(line) desc, q desc, row_id) as rk from r where length(line) >= 12 and lk >= 48e-2)"
 
@@ -75,9 +75,25 @@ def _variants(spark, d):
     return frame(spark, d, "variants").select("doc_id", "stage", "position", "name", "enhanced_of", lines.alias("lines"), "ocr_confidence", F.lit(0.8).alias("detector_confidence"))
 
 
-@query("W9_resolve_variants")
+_REPAIRED = f"substr(l2, 1, 9) || {_FIX.format('substr(l2, 10, 1)')} || substr(l2, 11, 3) || {_FIX.format('substr(l2, 14, 7)')} || substr(l2, 21, 1) || {_FIX.format('substr(l2, 22, 7)')} || substr(l2, 29, 15) || {_FIX.format('substr(l2, 44, 1)')} || substr(l2, 45)"
+
+
+@query("W9_resolve_variants", f"""with v as (select doc_id, stage, position, name, enhanced_of, list_filter([l1, l2], lambda x: x <> '') as lines, ocr_confidence from {{variants}}),
+  u as (select *, coalesce(lines[2], '') as l2 from v where stage <> 1 or len(lines) >= 2 qualify stage <> 1 or row_number() over (partition by doc_id, stage order by position) <= 4),
+  w as (select *, case when length(l2) >= 28 then length(regexp_replace({_PARTS}, '[^OQDILZSGB]', '', 'g')) else 0 end as corrections from u),
+  o as materialized (select row_number() over (order by doc_id, stage, position, fix) as cid, * from (select * exclude (l2, corrections), 0 as corrections, 0 as fix from w union all by name select * exclude (l2, corrections, lines), [lines[1], {_REPAIRED}] as lines, corrections, 1 as fix from w where corrections > 0)),
+  raw as (select cid as doc_id, lines, ocr_confidence as ocr, 0.8 as det from o), {PARSE},
+  s as materialized (select o.*, fmt, {PASS} as ok, case when len(lines) < 2 then 'missing-lines' when fmt is null then 'parse-failed' when not {PASS} then 'checksum-failed' end as trigger,
+    row(cast({PASS} as int), coalesce(passed, 0), cast(fmt is not null as int), -(coalesce(list_sum(list_transform(lines[1:2], lambda x: abs(length(x) - {_TARGET}))), 0) + {_TARGET} * greatest(0, 2 - len(lines))), ocr_confidence) as score from o join parsed on parsed.doc_id = o.cid),
+  fx as (select x.* replace (case when x.stage = 0 then 'checksum-text-correction' else x.name || '-text-correction' end as name) from s x join s y on x.doc_id = y.doc_id and x.stage = y.stage and x.position = y.position and x.fix = 1 and y.fix = 0 where x.ok and y.trigger is not null and x.score > y.score),
+  b as (select * from (select * from s where fix = 0 union all select * from fx) t qualify row_number() over (partition by doc_id, stage, position order by fix desc) = 1),
+  t as (select doc_id, nullif(coalesce(max(case when stage = 0 then coalesce(trigger, '') end), 'missing-lines'), '') as trigger from s where fix = 0 group by doc_id),
+  e as (select * from (select *, coalesce(max(case when stage = 0 then ok end) over (partition by doc_id), false) as base from b) z where stage = 0 or (stage = 1 and not base) qualify row_number() over (partition by doc_id order by score desc, stage, position) = 1),
+  late as (select b.* from e join b on b.doc_id = e.doc_id and b.stage = 2 and not e.ok and b.enhanced_of = e.name and b.score > e.score qualify row_number() over (partition by b.doc_id order by b.position desc) = 1)
+  select e.doc_id, coalesce(l.name, e.name) as selected_variant, coalesce(l.lines, e.lines) as lines, coalesce(l.fmt, e.fmt) as document_type, coalesce(l.ok, e.ok) as checksum_pass, coalesce(l.corrections, e.corrections) as corrections, t.trigger, coalesce(l.name, e.name) <> 'fast-projection' as used_fallback
+  from e left join late l on l.doc_id = e.doc_id join t on t.doc_id = e.doc_id""")
 def w9(spark, d):
-    return selection.resolve_variants(_variants(spark, d), "doc_id", AS_OF, keep=lambda df: stored(spark, d, "variant_candidates", lambda: df))
+    return selection.resolve_variants(_variants(spark, d), "doc_id", AS_OF, keep=kept(spark))
 
 
 @query("P8_compact_payload", f"""with s as (select doc_id, list({{'line_index': line_index, 'text': ocr_text, 'confidence': round(ocr_confidence, 6), 'accepted': ocr_accepted}} order by line_index) as rows, raw_n from (select *, 0 as raw_n from {{mrz_lines}}) t group by doc_id, raw_n),
