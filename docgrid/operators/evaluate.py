@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docgrid.functions.text import full_name, mrz_normalize
 
+_COUNTED = {"match": "matched", "mismatch": "mismatched", "error": "errors", "fallback": "fallback"}
 FILTERS = ("all", "match", "mismatch", "error", "fallback")
 
 
@@ -22,8 +23,7 @@ def eval_filter(df: DataFrame, mode: str) -> DataFrame:
 
 def eval_stats(df: DataFrame) -> DataFrame:
     """All counts in one scan; errors are not mismatches here."""
-    names = {"match": "matched", "mismatch": "mismatched", "error": "errors", "fallback": "fallback"}
-    return df.agg(F.count("*").alias("total"), *[F.count_if(_match(m)).alias(n) for m, n in names.items()])
+    return df.agg(F.count("*").alias("total"), *[F.count_if(_match(m)).alias(n) for m, n in _COUNTED.items()])
 
 
 def eval_run_totals(df: DataFrame, matched: str = "loose_match") -> DataFrame:
@@ -32,10 +32,15 @@ def eval_run_totals(df: DataFrame, matched: str = "loose_match") -> DataFrame:
 
 
 def eval_page(df: DataFrame, mode: str, limit: int = 50, offset: int = 0, key: str = "id") -> DataFrame:
-    """A page, newest first, with the filtered total in each row; limit within 1..200, offset from 0."""
+    """One row: the filtered total, the statistics of all rows, and the page as an array, newest first.
+
+    limit within 1..200, offset from 0; a page beyond the end is an empty array and keeps its totals.
+    """
     own = eval_filter(df, mode)
-    total = own.agg(F.count("*").alias("total_filtered"))
-    return own.orderBy(F.desc(key)).offset(max(0, offset)).limit(min(200, max(1, limit or 50))).crossJoin(F.broadcast(total))  # one row
+    totals = df.agg(F.count("*").alias("total"), F.count_if(_match(mode)).alias("total_filtered"), *[F.count_if(_match(m)).alias(n) for m, n in _COUNTED.items()])
+    page = own.orderBy(F.desc(key)).offset(max(0, offset)).limit(min(200, max(1, limit or 50)))
+    items = page.agg(F.reverse(F.array_sort(F.collect_list(F.struct(key, *[c for c in df.columns if c != key])))).alias("items"))
+    return totals.crossJoin(F.broadcast(items))  # one row each
 
 
 def evaluate(source: DataFrame, predictions: DataFrame, key: str = "id") -> DataFrame:

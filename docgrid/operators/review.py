@@ -85,13 +85,19 @@ def apply_decisions(items: DataFrame, decisions: DataFrame) -> tuple[DataFrame,
 
 
 def apply_line_decisions(lines: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Lines after their latest decision: final text as given (normalised), else on approval the normalised or raw text, else as before."""
-    last = latest(decisions.select("line_id", "decision", "final_text", "ts", "event_id"), "line_id", ["ts", "event_id"]).select(F.col("line_id").alias("id"), F.col("decision").alias("__d"), F.nullif(mrz_normalize("final_text"), F.lit("")).alias("__t"))
+    """Lines after their latest approved or rejected decision (other words are none): final text as given (normalised), else on approval the normalised or raw text, else as before."""
+    valid = decisions.filter(F.col("decision").isin("approved", "rejected"))
+    last = latest(valid.select("line_id", "decision", "final_text", "ts", "event_id"), "line_id", ["ts", "event_id"]).select(F.col("line_id").alias("id"), F.col("decision").alias("__d"), F.nullif(mrz_normalize("final_text"), F.lit("")).alias("__t"))
     fallback = F.when(F.col("__d") == "approved", F.coalesce(F.nullif(F.col("normalized_text"), F.lit("")), mrz_normalize(F.coalesce("ocr_text", F.lit("")))))
     out = lines.join(last, "id", "left")
     return out.withColumns({"final_text": F.when(F.col("__d").isNotNull(), F.coalesce("__t", fallback, "final_text")).otherwise(F.col("final_text")), "review_status": F.coalesce("__d", "review_status")}).drop("__d", "__t")
 
 
+def refused_decisions(decisions: DataFrame) -> DataFrame:
+    """(decision, n): words that are no decision, null among them, and how often they came."""
+    return decisions.filter(~F.coalesce(F.col("decision").isin("approved", "rejected"), F.lit(False))).groupBy("decision").agg(F.count("*").alias("n"))
+
+
 def approve_rotation(items: DataFrame, angle: int) -> DataFrame:
     """Pending labeled items whose key ends in two characters and rotN become approved (the rule is a LIKE pattern)."""
     hit = (F.col("status") == "labeled") & (F.col("review_status") == "pending") & F.col("source_key").like(f"%__rot{angle}")
@@ -126,13 +132,25 @@ def previous_item(items: DataFrame, before: int) -> DataFrame:
     return (df.filter(F.col("id") < before) if before > 0 else df).orderBy(F.desc("id")).limit(1)
 
 
-def neighbours(items: DataFrame, width: int = 10_000) -> DataFrame:
+def with_files(items: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Items with the names of image and label set to null where the catalogue (path) does not list them."""
+    names = catalog.select("path").distinct()
+    for c in ("image_file_name", "label_file_name"):
+        items = items.join(names.withColumnRenamed("path", "__p").hint("merge"), F.col(c) == F.col("__p"), "left").withColumn(c, F.col("__p")).drop("__p")
+    return items
+
+
+def neighbours(items: DataFrame, width: int = 10_000, catalog: DataFrame | None = None) -> DataFrame:
     """(id, next_id, previous_id) for every labeled item: the paging of all rows at once.
 
+    With a catalogue of files (path), items whose image or label it lacks are skipped like those without a name.
+
     Ranges of ids are ranked apart; a range's first and last candidates stand in for what lies beyond,
     so no task holds all rows.  After the last pending item the first one follows.
     """
-    df = items.filter("status = 'labeled'").select("id", (F.col("image_file_name").isNotNull() & F.col("label_file_name").isNotNull()).alias("ok"), (F.col("review_status") == "pending").alias("p"))
+    items = items.filter("status = 'labeled'")
+    items = items if catalog is None else with_files(items, catalog)
+    df = items.select("id", (F.col("image_file_name").isNotNull() & F.col("label_file_name").isNotNull()).alias("ok"), (F.col("review_status") == "pending").alias("p"))
     return _paging(df, width)
 
 

@@ -105,8 +105,8 @@ FIXTURES: dict[str, str] = {
     "decisions": """
         select event_id, ts, 'scan/' || cast(event_id * 7 % (select max(o_orderkey) + 50 from {orders}) as string) as source_key, case event_type when 'purchase' then 'approved' when 'error' then 'rejected' else event_type end as decision from {events}""",
     "line_decisions": """
-        select event_id, ts, event_id * 13 % (select max(o_orderkey) + 50 from {orders}) * 10 + 1 + event_id % 3 as line_id, case event_type when 'purchase' then 'approved' else 'rejected' end as decision, case when event_id % 4 = 0 then 'corr ' || cast(event_id as string) || '>' end as final_text
-        from {events} where event_type in ('purchase', 'error')""",
+        select event_id, ts, event_id * 13 % (select max(o_orderkey) + 50 from {orders}) * 10 + 1 + event_id % 3 as line_id, case event_type when 'purchase' then 'approved' when 'error' then 'rejected' else event_type end as decision, case when event_id % 4 = 0 then 'corr ' || cast(event_id as string) || '>' end as final_text
+        from {events}""",
     "corrections": """
         select event_id, ts, 'scan/' || cast(event_id * 7 % (select max(o_orderkey) + 50 from {orders}) as string) as source_key, cast(event_id % 640 as double) as x1, cast(event_id % 300 as double) as y1,
           cast(event_id * 3 % 700 - 20 as double) as x2, cast(event_id % 300 + event_id % 60 as double) as y2 from {events} where event_type = 'click'""",

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docgrid.functions import geometry
-from docgrid.operators import parse
+from docgrid.operators import parse, review
 from docgrid.plans.fixtures import folder, frame
 from docgrid.plans.table_queries import _J5, _J6
 from docgrid.plans.text_queries import AS_OF, CONF, PARSE, PASS, RAW, dnorm, query
 from docgrid.sources import files
-from docgrid.streaming.streams import DecisionStore, decision_stream, parse_stream
+from docgrid.streaming.streams import current_decisions, decision_stream, parse_stream
 
 
 #: Items of a manifest, about: their number grows with the table, so that a map and its file stay small.
@@ -100,15 +100,14 @@ def st2(spark, d):
     """Label and line tables after a stream of decisions, whose newest came first."""
     path = folder(spark, "decisions")
 
-    def applied(name: str, key: str) -> DecisionStore:
+    def applied(name: str, key: str) -> DataFrame:
         rows = frame(spark, d, name)
         rows.repartitionByRange(3, F.desc("event_id")).write.parquet(f"{path}/{name}/in")
         stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", "1").parquet(f"{path}/{name}/in")
-        store = DecisionStore(spark, f"{path}/{name}/store", key)
-        decision_stream(stream, store, f"{path}/{name}/at").awaitTermination()
-        return store
+        decision_stream(stream, key, f"{path}/{name}/out", f"{path}/{name}/at").awaitTermination()
+        return current_decisions(spark, f"{path}/{name}/out", rows.schema, key)
 
-    items = applied("decisions", "source_key").items(frame(spark, d, "label_items"))
-    lines = applied("line_decisions", "line_id").lines(frame(spark, d, "ocr_lines"))
+    items = review.apply_decisions(frame(spark, d, "label_items"), applied("decisions", "source_key"))[0]
+    lines = review.apply_line_decisions(frame(spark, d, "ocr_lines"), applied("line_decisions", "line_id"))
     out = items.select(F.lit("item").alias("kind"), "id", "review_status", F.col("rejected_label_file_name").alias("detail"))
     return out.union(lines.select(F.lit("line"), "id", "review_status", "final_text"))

@@ -146,6 +146,16 @@ def w11(spark, d):
     return review.neighbours(_items(spark, d), 1000)
 
 
+_FILES = "c as (select path from {file_catalog} union select label_file_name from {label_items} where id % 19 <> 0)"
+
+
+@query("W11_present_paging", f"with {_FILES}, l as (select i.id, c1.path is not null and c2.path is not null as ok, review_status = 'pending' as p from {{label_items}} i left join c c1 on c1.path = image_file_name left join c c2 on c2.path = label_file_name where status = 'labeled') select id, coalesce(min(case when ok and p then id end) over (order by id rows between 1 following and unbounded following), (select min(id) from l where ok and p)) as next_id, max(case when ok then id end) over (order by id rows between unbounded preceding and 1 preceding) as previous_id from l")
+def w11e(spark, d):
+    """Paging that skips items whose image or label is not in the catalogue of files."""
+    catalog = frame(spark, d, "file_catalog").select("path").union(_items(spark, d).filter("id % 19 <> 0").select("label_file_name"))
+    return review.neighbours(_items(spark, d), 1000, catalog)
+
+
 @query("W11_group_paging", "with g as (select label_item_id as id, bool_or(review_status = 'pending') as p from {ocr_lines} group by 1) select id, coalesce(min(case when p then id end) over (order by id rows between 1 following and unbounded following), (select min(id) from g where p)) as next_id, lag(id) over (order by id) as previous_id from g")
 def w11c(spark, d):
     return review.group_neighbours(_lines(spark, d), 1000)
@@ -165,9 +175,15 @@ def w11b(spark, d):
     return one(review.next_item(i, 700), "next").unionByName(one(review.previous_item(i, 700), "previous")).unionByName(one(review.previous_item(i, 0), "last"))
 
 
-@query("W12_eval_page", "select id, count(*) over () as total_filtered from {eval_items} where not is_match and error_message is null order by id desc limit 200 offset 30")
+_WRONG = "not is_match and error_message is null"
+_TOTALS = f"select count(*) as total, count(*) filter ({_WRONG}) as total_filtered, count(*) filter (is_match) as matched, count(*) filter ({_WRONG}) as mismatched, count(*) filter (error_message is not null) as errors, count(*) filter (used_fallback) as fallback from {{eval_items}}"
+
+
+@query("W12_eval_page", f"with t as ({_TOTALS}), p as (select id from {{eval_items}} where {_WRONG} order by id desc limit 200 offset 30) select 'near' as page, t.*, (select list(id order by id desc) from p) as ids from t union all select 'beyond', t.*, [] from t")
 def w12(spark, d):
-    return evaluate.eval_page(frame(spark, d, "eval_items"), "mismatch", 500, 30).select("id", "total_filtered")
+    """A page, and one far beyond the end, which has the totals as well."""
+    page = lambda name, offset: evaluate.eval_page(frame(spark, d, "eval_items"), "mismatch", 500, offset).withColumns({"page": F.lit(name), "ids": F.transform("items", lambda x: x["id"])}).drop("items")
+    return page("near", 30).unionByName(page("beyond", 2_000_000_000))
 
 
 @query("W13_ordered_limit", f"(select 'newest' as kind, id from {{visa_records}} order by created desc, id desc limit 100) union all (select 'oldest', id from {{visa_records}} order by created, id limit 100) union all (select 'random', id from {{visa_records}} order by {frac('id', '7')}, id limit 100)")
@@ -233,7 +249,7 @@ def j5b(spark, d):
     return history.select(F.lit("history").alias("kind"), "source_key", "event_id").unionByName(unknown.select(F.lit("unknown").alias("kind"), "source_key", F.lit(-1).cast("long").alias("event_id")))
 
 
-_J6 = f"with l as (select * from {{line_decisions}} qualify row_number() over (partition by line_id order by ts desc, event_id desc) = 1) select o.id, coalesce(l.decision, review_status) as review_status, case when l.line_id is null then o.final_text else coalesce(nullif({dnorm('l.final_text')}, ''), case when l.decision = 'approved' then coalesce(nullif(normalized_text, ''), {dnorm(chr(99) + 'oalesce(ocr_text, ' + chr(39) + chr(39) + ')')}) end, o.final_text) end as final_text from {{ocr_lines}} o left join l on l.line_id = o.id"
+_J6 = f"with l as (select * from {{line_decisions}} where decision in ('approved', 'rejected') qualify row_number() over (partition by line_id order by ts desc, event_id desc) = 1) select o.id, coalesce(l.decision, review_status) as review_status, case when l.line_id is null then o.final_text else coalesce(nullif({dnorm('l.final_text')}, ''), case when l.decision = 'approved' then coalesce(nullif(normalized_text, ''), {dnorm(chr(99) + 'oalesce(ocr_text, ' + chr(39) + chr(39) + ')')}) end, o.final_text) end as final_text from {{ocr_lines}} o left join l on l.line_id = o.id"
 
 
 @query("J6_line_decisions", _J6)
@@ -241,6 +257,11 @@ def j6(spark, d):
     return review.apply_line_decisions(_lines(spark, d), frame(spark, d, "line_decisions")).select("id", "review_status", "final_text")
 
 
+@query("J6_refused_decisions", "select decision, count(*) as n from {line_decisions} where decision not in ('approved', 'rejected') group by decision")
+def j6b(spark, d):
+    return review.refused_decisions(frame(spark, d, "line_decisions"))
+
+
 @query("J7_approve_rotation", "select id, case when status = 'labeled' and review_status = 'pending' and regexp_matches(source_key, '..rot90$') then 'approved' else review_status end as review_status from {label_items}")
 def j7(spark, d):
     return review.approve_rotation(_items(spark, d), 90).select("id", "review_status")

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from docgrid.operators.parse import mrz_confidence, parse_mrz
-from docgrid.operators.review import apply_decisions, apply_line_decisions, latest
 
 
 def parse_stream(lines: DataFrame, as_of_year: int) -> DataFrame:
@@ -18,63 +16,46 @@ def parse_stream(lines: DataFrame, as_of_year: int) -> DataFrame:
     return out.withColumn("confidence", mrz_confidence("found", "ocr_confidence", "detector_confidence", "format_score"))
 
 
-class DecisionStore:
-    """The latest decision per key, in parts by a hash of the key below a folder.
+#: Keyed state lives in the engine's RocksDB store, whose size is not bound by an executor's heap; a batch saves its changes only.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
 
-    A batch writes anew only the parts that its keys fall into, from their newest version before it; so
-    a batch that comes again is applied once, and a late decision does not beat a newer one, as keys keep
-    the greatest (ts, event_id).  The two newest versions of a part stay.  Null keys are no decisions.
+def latest_decisions(decisions: DataFrame, key: str) -> DataFrame:
+    """The newest approved or rejected decision of each key by (ts, event_id), as an aggregation that also runs on streams.
+
+    A late decision does not beat a newer one, and one that comes again changes nothing.  Null keys and other words are no decisions.
     """
+    rest = [c for c in decisions.columns if c != key]
+    valid = decisions.filter(F.col("decision").isin("approved", "rejected") & F.col(key).isNotNull())
+    return valid.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct("ts", "event_id")).alias("__s")).select(key, "__s.*")
 
-    def __init__(self, spark: SparkSession, path: str, key: str = "source_key", parts: int = 64):
-        self.spark, self.path, self.key, self.parts = spark, path.rstrip("/"), key, parts
-        self._jvm = spark._jvm
-        self._fs = self._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _versions(self) -> dict[int, list[int]]:
-        """Batches that wrote each part, in order."""
-        out: dict[int, list[int]] = {}
-        for s in self._fs.globStatus(self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/batch=*/part=*")) or []:
-            folder = s.getPath()
-            if self._fs.exists(self._jvm.org.apache.hadoop.fs.Path(folder.getParent(), "_SUCCESS")):
-                out.setdefault(int(folder.getName().removeprefix("part=")), []).append(int(folder.getParent().getName().removeprefix("batch=")))
-        return {p: sorted(b) for p, b in out.items()}
-
-    def read(self, before: int | None = None, parts: set[int] | None = None) -> DataFrame | None:
-        last = {p: [b for b in bs if before is None or b < before] for p, bs in self._versions().items() if parts is None or p in parts}
-        paths = [f"{self.path}/batch={b[-1]}/part={p}" for p, b in last.items() if b]
-        return self.spark.read.parquet(*paths) if paths else None
-
-    def apply(self, batch: DataFrame, batch_id: int) -> None:
-        rows = batch.filter(F.col("decision").isin("approved", "rejected") & F.col(self.key).isNotNull())
-        part = F.pmod(F.xxhash64(self.key), F.lit(self.parts))
-        touched = {r[0] for r in rows.select(part.cast("int")).distinct().collect()}  # ``parts`` at most
-        if not touched:
-            return
-        old = self.read(batch_id, touched)
-        both = rows if old is None else old.select(*rows.columns).unionByName(rows)
-        latest(both, self.key, ["ts", "event_id"]).withColumn("part", part).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/batch={batch_id}")
-        for p, batches in self._versions().items():
-            for b in batches[:-2]:
-                self._fs.delete(self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/batch={b}/part={p}"), True)
-
-    def items(self, items: DataFrame) -> DataFrame:
-        """The label table after all decisions so far."""
-        now = self.read()
-        return items if now is None else apply_decisions(items, now)[0]
-
-    def lines(self, lines: DataFrame) -> DataFrame:
-        """The line table after all decisions so far."""
-        now = self.read()
-        return lines if now is None else apply_line_decisions(lines, now)
-
-
-def decision_stream(decisions: DataFrame, store: DecisionStore, checkpoint: str, after: Callable[[int], None] | None = None) -> StreamingQuery:
-    """Start applying a stream of decisions to the store, batch by batch, until what is there has been read."""
 
-    def put(batch: DataFrame, batch_id: int) -> None:
-        store.apply(batch, batch_id)
-        if after:
-            after(batch_id)
+def decision_stream(decisions: DataFrame, key: str, path: str, checkpoint: str) -> StreamingQuery:
+    """Start keeping the newest decision of each key of a stream, until what is there has been read.
 
-    return decisions.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    Each batch hands on only the keys that it saw, as a part of its own below ``path``; a batch that is run
+    again after a failure writes that part anew.
+    """
+    spark = decisions.sparkSession
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    before = {k: spark.conf.get(k, None) for k in STATE_STORE}
+    for k, v in STATE_STORE.items():
+        spark.conf.set(k, v)
+    try:
+        return latest_decisions(decisions, key).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def current_decisions(spark: SparkSession, path: str, schema: StructType, key: str) -> DataFrame:
+    """What ``decision_stream`` has handed on below path: of each key the last part's row; no rows before its first batch."""
+    parts = spark.read.schema(StructType([*schema, StructField("batch", LongType())])).parquet(path)
+    rest = [c for c in schema.names if c != key]
+    return parts.groupBy(key).agg(F.max_by(F.struct(*rest), "batch").alias("__s")).select(key, "__s.*")
