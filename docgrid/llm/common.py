@@ -82,12 +82,12 @@ def skew_join(rows: DataFrame, table: DataFrame, on: str | list[str], how: str =
     return _split(rows, table, on, hot, how)
 
 
-def counted_join(rows: DataFrame, table: DataFrame, on: str, count: str, total: int) -> DataFrame:
+def counted_join(rows: DataFrame, table: DataFrame, on: str | list[str], count: str, total: int) -> DataFrame:
     """rows joined with a written table of one row a key that knows how many rows of ``total`` its key has (``count``).
 
     The HOT hottest keys at most are broadcast, the others merged.
     """
-    return _split(rows, table, [on], table.filter(F.col(count) > max(HOT_ROWS, total // HOT)), "inner")
+    return _split(rows, table, [on] if isinstance(on, str) else on, table.filter(F.col(count) > max(HOT_ROWS, total // HOT)), "inner")
 
 
 def remainder(col: str, n: int) -> Column:

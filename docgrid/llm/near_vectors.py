@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docgrid.llm.common import mix, read_table, skew_join, written
+from docgrid.llm.common import counted_join, mix, read_table, skew_join, written
 from docgrid.llm.components import components, components_sql, pairs_within, sorted_groups
 
 WIDTH = 3.0
@@ -61,13 +61,13 @@ def _projections(dim: int, tables: int, per_table: int, width: float) -> tuple[n
 
 
 def codes(unit: np.ndarray, tables: int, per_table: int, width: float) -> np.ndarray:
-    """32-bit bucket codes, one column a table."""
+    """Signed 32-bit bucket codes, one column a table."""
     a, b = _projections(unit.shape[1], tables, per_table, width)
     step = np.floor((unit @ a + b) / width).astype(np.int64).astype(np.uint64).reshape(len(unit), tables, per_table)
     h = np.zeros((len(unit), tables), np.uint64)
     for k in range(per_table):
         h = mix(h * np.uint64(0x100000001B3) + step[:, :, k])
-    return (h >> np.uint64(32)).astype(np.int64)
+    return (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def local_forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -115,20 +115,21 @@ def vector_links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
                 continue
             lists = b.column(5)
             ends, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
-            out = np.zeros((b.num_rows, tables), np.int64)
+            out = np.zeros((b.num_rows, tables), np.int32)
             for dim in np.unique(np.diff(ends)):
                 own = np.flatnonzero(np.diff(ends) == dim)
                 x = values[ends[own][:, None] + np.arange(dim)]
                 x = np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
                 out[own] = codes(x / np.sqrt((x * x).sum(1, keepdims=True)), tables, per_table, width)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), tables).cast(pa.list_(pa.int64()))], [*b.schema.names, "codes"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), tables).cast(pa.list_(pa.int32()))], [*b.schema.names, "codes"])
 
-    reps = written(distinct.mapInArrow(hashed, "v1 long, v2 long, id long, w long, lab long, vec array<double>, codes array<long>"), "vectors")
-    narrow = reps.select("id", "lab", F.posexplode("codes").alias("t", "code")).select("id", "lab", (F.col("t") * F.lit(1 << 32) + F.col("code")).alias("key"))
-    sizes = narrow.groupBy("lab", "key").agg(F.count("*").alias("n")).filter("n > 1").select("lab", "key", F.ceil(F.col("n") / block).alias("blocks"))
+    reps = written(distinct.mapInArrow(hashed, "v1 long, v2 long, id long, w long, lab long, vec array<double>, codes array<int>"), "vectors")
+    narrow = reps.select("id", "lab", F.posexplode("codes").alias("t", "code")).select("id", "lab", (F.col("t") * F.lit(1 << 32) + F.col("code").cast("long").bitwiseAND(0xFFFFFFFF)).alias("key"))
+    sizes = narrow.groupBy("lab", "key").agg(F.count("*").alias("n")).filter("n > 1").select("lab", "key", "n", F.ceil(F.col("n") / block).alias("blocks"))
+    sizes = written(sizes, "cell-sizes")
     own = F.pmod(F.xxhash64("id"), F.col("blocks"))
     cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))
-    cells = narrow.join(sizes.hint("merge"), ["lab", "key"]).select("lab", "key", "id", own.alias("own"), F.explode(cells).alias("c")).select("lab", "key", "c.i", "c.j", "id", "own")
+    cells = counted_join(narrow, sizes, ["lab", "key"], "n", tables * reps.count()).select("lab", "key", "id", own.alias("own"), F.explode(cells).alias("c")).select("lab", "key", "c.i", "c.j", "id", "own")
     wide = cells.join(reps.select("id", "w", "vec", "codes").hint("merge"), "id").select("lab", "key", "i", "j", "id", "own", "w", "vec", "codes")
     wide = wide.repartition("lab", "key", "i", "j").sortWithinPartitions("lab", "key", "i", "j")
 

@@ -406,3 +406,18 @@ def test_scores_over_a_shuffled_input_keep_their_rows(spark):
     want = {r.doc_id: r.score for r in context_tree.score_texts(df).collect()}
     got = {r.doc_id: r.score for r in context_tree.score_texts(df.repartition(7)).collect()}
     assert got == {i: pytest.approx(s, rel=1e-9) for i, s in want.items()}
+
+
+def test_vectors_in_one_hot_bucket(spark, monkeypatch):
+    """Nearly all vectors fall into the same buckets, whose rows are split off and meet their cell sizes by broadcast."""
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    rng = np.random.default_rng(3)
+    near = rng.standard_normal(16) + 0.02 * rng.standard_normal((150, 16))
+    far = rng.standard_normal((30, 16))
+    rows = [(i, 1, [float(x) for x in v]) for i, v in enumerate([*near, *far])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors.vector_links(spark.createDataFrame(rows, "vec_id long, label long, embedding array<double>"), block=32).collect()}
+    unit = np.array([r[2] for r in rows])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.93) & ~np.eye(len(rows), dtype=bool)
+    assert {i: got[i][0] for i in got} == {i: int(links[i].sum()) for i in range(len(rows))}
+    assert {got[i][1] for i in range(150)} == {0}
