@@ -143,8 +143,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") ->
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id_col, held_out, score (0 to 1, higher: quality 1 likelier), predicted.
 
-    Learns from labelled rows whose crc32(id as text) mod 4 is not 2.  Null and empty texts get the
-    score of all-zero statistics; null ids are scored too; an empty table gives no rows.
+    Learns from labelled rows whose crc32(id as text) mod 4 is not 2; labels (doc_id, quality 0 or 1) with
+    a null id or quality teach nothing, and rows repeated under an id, in either table, teach once for each pair.
+    Null and empty texts get the score of all-zero statistics; null ids are scored too; repeated rows each
+    come back, equal texts with equal scores; whole texts of any length are read; an empty table gives no
+    rows.  Other columns are not read, so their names cannot clash.
     """
     stats = written(docs.select(F.col(id_col), (remainder(id_col, 4) == 2).alias("held_out"), stats_column(F.col(text_col)).alias("stats")), "quality-stats")
     examples = training_rows(stats, labels, id_col)
