@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docgrid.functions.geometry import bbox_percent, bbox_to_label, box, clamp_bbox
 from docgrid.functions.text import json_lines, mrz_normalize, resolve_under
+from docgrid.operators.order_index import Keep, order_index, paging, positions
 
 STATES = ("pending", "approved", "rejected")
 
@@ -32,19 +33,15 @@ def group_stats(lines: DataFrame, key: str = "label_item_id") -> DataFrame:
     return g.agg(F.count("*").alias("total"), _n(F.col("pending") > 0, "pending"), _n((F.col("pending") == 0) & (F.col("rejected") == 0) & (F.col("approved") > 0), "approved"), _n(F.col("rejected") > 0, "rejected"))
 
 
-def label_position(items: DataFrame, key: str = "id", width: int = 10_000) -> DataFrame:
-    """1-based place of each labeled item by key, counted by ranges of keys so that no task ranks all rows."""
-    own = items.filter("status = 'labeled'").withColumn("__range", F.floor(F.col(key) / width))
-    sizes = own.groupBy("__range").agg(F.count("*").alias("__n"))
-    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    inside = F.row_number().over(Window.partitionBy("__range").orderBy(key))
-    return own.withColumn("__i", inside).join(before, "__range").withColumn("position", F.col("__i") + F.col("__before")).drop("__range", "__i", "__before")
+def label_position(items: DataFrame, keep: Keep, key: str = "id", rows: int = 1_000_000) -> DataFrame:
+    """1-based place of each labeled item by key, from a stored order index of about ``rows`` rows a range (``keep`` stores it)."""
+    return positions(order_index(items.filter("status = 'labeled'"), key, keep, rows))
 
 
-def review_items(items: DataFrame, base: str) -> DataFrame:
+def review_items(items: DataFrame, base: str, keep: Keep) -> DataFrame:
     """Items with a box as a reviewer sees them: defaults, box in percent, decoded lines and position."""
     b = box("bbox_x1", "bbox_y1", "bbox_x2", "bbox_y2")
-    placed = label_position(items).filter("bbox_x1 is not null and bbox_y1 is not null and bbox_x2 is not null and bbox_y2 is not null")
+    placed = label_position(items, keep).filter("bbox_x1 is not null and bbox_y1 is not null and bbox_x2 is not null and bbox_y2 is not null")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return placed.select("id", F.coalesce("source_key", F.lit("")).alias("key"), resolve_under("source_key", base).alias("source"), F.coalesce("split", F.lit("")).alias("split"), b.alias("bbox"), bbox_percent(b, "image_width", "image_height").alias("percent"), json_lines("mrz_lines_json").alias("lines"), zero("mrz_score"), zero("ocr_ms"), F.coalesce("review_status", F.lit("")).alias("review_status"), "position")
 
@@ -140,18 +137,17 @@ def with_files(items: DataFrame, catalog: DataFrame) -> DataFrame:
     return items
 
 
-def neighbours(items: DataFrame, width: int = 10_000, catalog: DataFrame | None = None) -> DataFrame:
+def neighbours(items: DataFrame, keep: Keep, catalog: DataFrame | None = None, rows: int = 1_000_000) -> DataFrame:
     """(id, next_id, previous_id) for every labeled item: the paging of all rows at once.
 
     With a catalogue of files (path), items whose image or label it lacks are skipped like those without a name.
-
-    Ranges of ids are ranked apart; a range's first and last candidates stand in for what lies beyond,
-    so no task holds all rows.  After the last pending item the first one follows.
+    A stored order index (``keep`` stores it) cuts ranges of about ``rows`` rows, so no task holds all rows.  After
+    the last pending item the first one follows.
     """
     items = items.filter("status = 'labeled'")
     items = items if catalog is None else with_files(items, catalog)
     df = items.select("id", (F.col("image_file_name").isNotNull() & F.col("label_file_name").isNotNull()).alias("ok"), (F.col("review_status") == "pending").alias("p"))
-    return _paging(df, width)
+    return paging(order_index(df if catalog is None else keep(df), "id", keep, rows))
 
 
 def next_group(lines: DataFrame, after: int) -> DataFrame:
@@ -165,20 +161,7 @@ def previous_group(lines: DataFrame, before: int) -> DataFrame:
     return df.select(F.col("label_item_id").alias("id")).distinct().orderBy(F.desc("id")).limit(1)
 
 
-def group_neighbours(lines: DataFrame, width: int = 10_000) -> DataFrame:
+def group_neighbours(lines: DataFrame, keep: Keep, rows: int = 1_000_000) -> DataFrame:
     """(id, next_id, previous_id) for every item with lines: the next one with a pending line (after the last the first), and the one before."""
     groups = lines.groupBy(F.col("label_item_id").alias("id")).agg(F.max(F.coalesce(F.col("review_status") == "pending", F.lit(False))).alias("p"))
-    return _paging(groups.select("id", F.lit(True).alias("ok"), "p"), width)
-
-
-def _paging(df: DataFrame, width: int) -> DataFrame:
-    """neighbours of (id, ok, p): candidates are ok, and the next one is pending (p) as well."""
-    df = df.withColumn("g", F.floor(F.col("id") / width))
-    pend, any_ = F.when(F.col("ok") & F.col("p"), F.col("id")), F.when(F.col("ok"), F.col("id"))
-    edges = df.groupBy("g").agg(F.min(pend).alias("lo"), F.max(any_).alias("hi"))
-    w = Window.orderBy("g")
-    edges = edges.select("g", F.min("lo").over(w.rowsBetween(1, Window.unboundedFollowing)).alias("after"), F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.min("lo").over(Window.orderBy("g").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("first"))
-    own = Window.partitionBy("g").orderBy("id")
-    nxt, prev = F.min(pend).over(own.rowsBetween(1, Window.unboundedFollowing)), F.max(any_).over(own.rowsBetween(Window.unboundedPreceding, -1))
-    out = df.withColumns({"n": nxt, "b": prev}).join(edges, "g")
-    return out.select("id", F.coalesce("n", "after", "first").alias("next_id"), F.coalesce("b", "before").alias("previous_id"))
+    return paging(order_index(keep(groups.select("id", F.lit(True).alias("ok"), "p")), "id", keep, rows))

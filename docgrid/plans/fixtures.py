@@ -101,7 +101,7 @@ FIXTURES: dict[str, str] = {
           case l_returnflag when 'A' then 'approved' when 'R' then 'rejected' else 'pending' end as review_status,
           case when l_suppkey % 13 = 0 then null else 'p<' || cast(l_partkey as string) || '>x' end as ocr_text, case when l_suppkey % 5 = 0 then null else 'P<' || cast(l_partkey as string) || '<X' end as normalized_text,
           case when l_suppkey % 7 = 0 then ' ' when l_suppkey % 7 = 1 then 'FINAL' || cast(l_suppkey as string) end as final_text, l_discount * 10 as ocr_score, l_tax * 10 as mrz_likeness, case l_linestatus when 'F' then 'train' else 'val' end as split
-        from (select *, row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) as copy from {lineitem}) x where copy = 1 and l_linenumber <= 3""",
+        from (select *, row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) as copy from {lineitem}) x where copy = 1""",
     "decisions": """
         select event_id, ts, 'scan/' || cast(event_id * 7 % (select max(o_orderkey) + 50 from {orders}) as string) as source_key, case event_type when 'purchase' then 'approved' when 'error' then 'rejected' else event_type end as decision from {events}""",
     "line_decisions": """

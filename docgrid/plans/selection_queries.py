@@ -27,10 +27,11 @@ def w2(spark, d):
 _GOOD = "n_lines >= 2 and ocr_score >= 82e-2 and detector_score >= 65e-2"
 
 
-@query("W3_best_attempt", f"""with a as (select *, coalesce(max(case when {_GOOD} then 1 else 0 end) over (partition by image_id order by candidate_rank rows between unbounded preceding and 1 preceding), 0) as done from {{attempts}} where variant = 1), b as (select *, sum(latency_ms) over w as lat, sum(passes) over w as pas, count(*) over w as ev, row_number() over (partition by image_id order by n_lines desc, ocr_score + detector_score desc, candidate_rank) as r from a where done = 0 window w as (partition by image_id))
-  select image_id, candidate_rank, n_lines, ocr_score, detector_score, lat as latency_ms, pas as passes, ev as evaluated from b where r = 1""")
+@query("W3_best_attempt", f"""with a as (select *, coalesce(max(case when {_GOOD} then 1 else 0 end) over (partition by image_id, variant order by candidate_rank rows between unbounded preceding and 1 preceding), 0) as done from {{attempts}}), b as (select *, sum(latency_ms) over w as lat, sum(passes) over w as pas, count(*) over w as ev, row_number() over (partition by image_id, variant order by n_lines desc, ocr_score + detector_score desc, candidate_rank) as r from a where done = 0 window w as (partition by image_id, variant))
+  select image_id || '/' || variant as image, candidate_rank, n_lines, ocr_score, detector_score, lat as latency_ms, pas as passes, ev as evaluated from b where r = 1""")
 def w3(spark, d):
-    return selection.best_attempt(frame(spark, d, "attempts").filter("variant = 1"), "image_id")
+    """Every variant of an image is a row of attempts of its own."""
+    return selection.best_attempt(frame(spark, d, "attempts").withColumn("image", F.concat_ws("/", "image_id", "variant")), "image")
 
 
 @query("W4_best_variant", """with recursive v as (select image_id, candidate_rank, variant, n_lines, ocr_score from {attempts}), w(image_id, candidate_rank, i, variant, n_lines, ocr_score) as (

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docgrid.functions import geometry
-from docgrid.operators import datasets, evaluate, review, sampling, store
-from docgrid.plans.fixtures import frame
+from docgrid.operators import datasets, evaluate, review, sampling, store, upkeep
+from docgrid.plans.fixtures import folder, frame, kept
 from docgrid.plans.text_queries import PARSE, PASS, dnorm, parsed, query
 
 _items = lambda spark, d: frame(spark, d, "label_items")
@@ -67,7 +67,7 @@ _JSON = f"case when json_valid(mrz_lines_json) and json_type(mrz_lines_json) = '
 
 @query("P7_review_items", f"select i.id, source_key as key, 'base/' || source_key as source, coalesce(split, '') as split, round(bbox_x1 / 640 * 100, 4) as pct_left, {_JSON} as lines, mrz_score, ocr_ms, review_status, position from {{label_items}} i join {_POS} p on p.id = i.id where {_FULL}")
 def p7(spark, d):
-    return review.review_items(_items(spark, d), "base").withColumn("pct_left", F.col("percent.left")).drop("bbox", "percent")
+    return review.review_items(_items(spark, d), "base", kept(spark)).withColumn("pct_left", F.col("percent.left")).drop("bbox", "percent")
 
 
 # ---- statistics
@@ -127,7 +127,7 @@ def a9(spark, d):
 
 @query("A10_label_position", "select * from " + _POS + " t")
 def a10(spark, d):
-    return review.label_position(_items(spark, d), width=1000).select("id", "position")
+    return review.label_position(_items(spark, d), kept(spark)).select("id", "position")
 
 
 # ---- samples, pages
@@ -143,7 +143,7 @@ _Q = "status = 'labeled' and image_file_name is not null and label_file_name is
 
 @query("W11_paging", f"with l as (select id, {_Q} as ok, review_status = 'pending' as p from {{label_items}} where status = 'labeled') select id, coalesce(min(case when ok and p then id end) over (order by id rows between 1 following and unbounded following), (select min(id) from l where ok and p)) as next_id, max(case when ok then id end) over (order by id rows between unbounded preceding and 1 preceding) as previous_id from l")
 def w11(spark, d):
-    return review.neighbours(_items(spark, d), 1000)
+    return review.neighbours(_items(spark, d), kept(spark))
 
 
 _FILES = "c as (select path from {file_catalog} union select label_file_name from {label_items} where id % 19 <> 0)"
@@ -153,12 +153,12 @@ _FILES = "c as (select path from {file_catalog} union select label_file_name fro
 def w11e(spark, d):
     """Paging that skips items whose image or label is not in the catalogue of files."""
     catalog = frame(spark, d, "file_catalog").select("path").union(_items(spark, d).filter("id % 19 <> 0").select("label_file_name"))
-    return review.neighbours(_items(spark, d), 1000, catalog)
+    return review.neighbours(_items(spark, d), kept(spark), catalog)
 
 
 @query("W11_group_paging", "with g as (select label_item_id as id, bool_or(review_status = 'pending') as p from {ocr_lines} group by 1) select id, coalesce(min(case when p then id end) over (order by id rows between 1 following and unbounded following), (select min(id) from g where p)) as next_id, lag(id) over (order by id) as previous_id from g")
 def w11c(spark, d):
-    return review.group_neighbours(_lines(spark, d), 1000)
+    return review.group_neighbours(_lines(spark, d), kept(spark))
 
 
 @query("W11_next_previous_group", "select 'next' as kind, (select label_item_id from {ocr_lines} where review_status = 'pending' order by label_item_id <= 700, label_item_id limit 1) as id union all select 'previous', (select max(label_item_id) from {ocr_lines} where label_item_id < 700) union all select 'last', (select max(label_item_id) from {ocr_lines})")
@@ -208,17 +208,27 @@ def j1(spark, d):
     return store.unprocessed(files, manifest).select("path")
 
 
-@query("J2_upsert", """with u as (select id + 200 as id, mrz_score + 1 as mrz_score, case when id % 2 = 0 then null else 'rejected' end as review_status, ocr_ms as version from {label_items} where id % 3 = 0 union all select id + 200, 9e0, null, 1000 from {label_items} where id % 9 = 0), l as (select * from u qualify row_number() over (partition by id order by version desc) = 1), t as (select id, mrz_score, review_status, 0 as version from {label_items})
-  select p as policy, coalesce(t.id, l.id) as id, coalesce(l.mrz_score, t.mrz_score) as mrz_score, case when l.id is null then t.review_status else case p when 'manifest' then coalesce(l.review_status, t.review_status, 'pending') when 'source' then 'approved' when 'augment' then 'pending' else l.review_status end end as review_status from t full join l on t.id = l.id, (values ('manifest'), ('source'), ('augment'), ('replace')) v(p)""")
+_J2 = """with u as (select id + 200 as id, mrz_score + 1 as mrz_score, case when id % 2 = 0 then null else 'rejected' end as review_status, ocr_ms as version from {label_items} where id % 3 = 0 union all select id + 200, 9e0, null, 1000 from {label_items} where id % 9 = 0), l as (select * from u qualify row_number() over (partition by id order by version desc) = 1), t as (select id, mrz_score, review_status, 0 as version from {label_items})
+  select p as policy, coalesce(t.id, l.id) as id, coalesce(l.mrz_score, t.mrz_score) as mrz_score, case when l.id is null then t.review_status else case p when 'manifest' then coalesce(l.review_status, t.review_status, 'pending') when 'source' then 'approved' when 'augment' then 'pending' else l.review_status end end as review_status from t full join l on t.id = l.id, (values ('manifest'), ('source'), ('augment'), ('replace')) v(p)"""
+
+
+def _updates(spark, d):
+    u = _items(spark, d).filter("id % 3 = 0").selectExpr("id + 200 as id", "mrz_score + 1 as mrz_score", "case when id % 2 = 0 then null else 'rejected' end as review_status", "ocr_ms as version")
+    return u.unionByName(_items(spark, d).filter("id % 9 = 0").selectExpr("id + 200 as id", "cast(9 as double) as mrz_score", "cast(null as string) as review_status", "1000 as version"))
+
+
+@query("J2_upsert", _J2)
 def j2(spark, d):
     t = _items(spark, d).selectExpr("id", "mrz_score", "review_status", "0 as version")
-    u = _items(spark, d).filter("id % 3 = 0").selectExpr("id + 200 as id", "mrz_score + 1 as mrz_score", "case when id % 2 = 0 then null else 'rejected' end as review_status", "ocr_ms as version")
-    u = u.unionByName(_items(spark, d).filter("id % 9 = 0").selectExpr("id + 200 as id", "cast(9 as double) as mrz_score", "cast(null as string) as review_status", "1000 as version"))
+    u = _updates(spark, d)
     parts = [store.upsert(t, u, "id", "version", p).select(F.lit(p).alias("policy"), "id", "mrz_score", "review_status") for p in store.POLICIES]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
-@query("J3_replace_children", "select id, label_item_id, ocr_text from {ocr_lines} where label_item_id % 5 <> 0 union all select id, label_item_id, 'NEW' from {ocr_lines} where label_item_id % 5 = 0 and line_index = 1")
+_J3 = "select id, label_item_id, ocr_text from {ocr_lines} where label_item_id % 5 <> 0 union all select id, label_item_id, 'NEW' from {ocr_lines} where label_item_id % 5 = 0 and line_index = 1"
+
+
+@query("J3_replace_children", _J3)
 def j3(spark, d):
     lines = _lines(spark, d).select("id", "label_item_id", "ocr_text")
     new = _lines(spark, d).filter("label_item_id % 5 = 0 and line_index = 1").select("id", "label_item_id", F.lit("NEW").alias("ocr_text"))
@@ -270,12 +280,58 @@ def j7(spark, d):
 _CC = "select *, greatest(0, least(x1, x2, 640)) as a, greatest(0, least(y1, y2, 480)) as b, greatest(0, least(greatest(x1, x2), 640)) as c, greatest(0, least(greatest(y1, y2), 480)) as e from {corrections}"
 
 
-@query("J8_apply_corrections", f"with c as ({_CC}), l as (select * from c where c - a >= 4 and e - b >= 4 qualify row_number() over (partition by source_key order by ts desc, event_id desc) = 1) select i.id, case when l.source_key is not null then 'approved' else review_status end as review_status, coalesce(l.a, bbox_x1) as bbox_x1, coalesce(l.e, bbox_y2) as bbox_y2, case when l.source_key is not null then 'corrected_box' end as note, case when l.source_key is null then rejected_image_file_name end as rejected_image_file_name from {{label_items}} i left join l on l.source_key = i.source_key")
+_J8 = f"with c as ({_CC}), l as (select * from c where c - a >= 4 and e - b >= 4 qualify row_number() over (partition by source_key order by ts desc, event_id desc) = 1) select i.id, case when l.source_key is not null then 'approved' else review_status end as review_status, coalesce(l.a, bbox_x1) as bbox_x1, coalesce(l.e, bbox_y2) as bbox_y2, case when l.source_key is not null then 'corrected_box' end as note, case when l.source_key is null then rejected_image_file_name end as rejected_image_file_name from {{label_items}} i left join l on l.source_key = i.source_key"
+
+
+@query("J8_apply_corrections", _J8)
 def j8(spark, d):
     out, _ = review.apply_corrections(_items(spark, d), frame(spark, d, "corrections"))
     return out.select("id", "review_status", "bbox_x1", "bbox_y2", "note", "rejected_image_file_name")
 
 
+# ---- the same on stored tables: only touched partitions are read and written
+
+
+def _stored_table(spark, df, key: str) -> str:
+    """A new table of the session's catalogue below the shared folder."""
+    path = folder(spark, "table")
+    name = "docgrid_" + path[-32:]
+    upkeep.create(df, name, key, path, 16, 8)
+    return name
+
+
+@query("J2_stored_upsert", f"select id, mrz_score, review_status from ({_J2}) x where policy = 'manifest'")
+def j2b(spark, d):
+    t = _stored_table(spark, _items(spark, d).selectExpr("id", "mrz_score", "review_status", "0 as version"), "id")
+    upkeep.upsert(spark, t, _updates(spark, d), "id", "version", "manifest")
+    return upkeep.read(spark, t).drop("version")
+
+
+@query("J3_stored_children", _J3)
+def j3b(spark, d):
+    lines = _lines(spark, d).select("id", "label_item_id", "ocr_text")
+    t = _stored_table(spark, lines, "label_item_id")
+    new = _lines(spark, d).filter("label_item_id % 5 = 0 and line_index = 1").select("id", "label_item_id", F.lit("NEW").alias("ocr_text"))
+    upkeep.replace_children(spark, t, new, touched=lines.filter("label_item_id % 5 = 0"))
+    return upkeep.read(spark, t)
+
+
+@query("J5_stored_decisions", _J5)
+def j5c(spark, d):
+    items = _items(spark, d).select("id", "source_key", "split", "review_status", "image_file_name", "label_file_name", "rejected_image_file_name", "rejected_label_file_name", F.col("updated_at").cast("timestamp").alias("updated_at"))
+    t = _stored_table(spark, items.withColumn("reviewed_at", F.lit(None).cast("timestamp")), "source_key")
+    upkeep.apply_decisions(spark, t, frame(spark, d, "decisions"))
+    return upkeep.read(spark, t).drop("source_key", "split")
+
+
+@query("J8_stored_corrections", _J8)
+def j8b(spark, d):
+    none = F.lit(None).cast("string")
+    t = _stored_table(spark, _items(spark, d).withColumns({"yolo_label": none, "note": none}), "source_key")
+    upkeep.apply_corrections(spark, t, frame(spark, d, "corrections"))
+    return upkeep.read(spark, t).select("id", "review_status", "bbox_x1", "bbox_y2", "note", "rejected_image_file_name")
+
+
 @query("J9_presence", "select i.id, case when a.path is not null then image_file_name else rejected_image_file_name end as found_path from (select *, 'images/' || (id + 1) || '.jpg' as second from {label_items}) i left join {file_catalog} a on a.path = i.image_file_name where a.path is not null union all select id, null from {label_items} where image_file_name is null or image_file_name not in (select path from {file_catalog})")
 def j9(spark, d):
     present, missing = store.split_by_presence(_items(spark, d).select("id", "image_file_name", "rejected_image_file_name"), frame(spark, d, "file_catalog"), "image_file_name", "rejected_image_file_name")

@@ -188,21 +188,25 @@ def t21(spark, d):
     return frame(spark, d, "visa_records").select("id", text.point_to_float("point_one").alias("p1"), text.point_to_score("point_one").alias("s1"), text.point_to_score("point_two").alias("s2"))
 
 
-_STEPS = "select vec_id, i, list_transform(generate_series(1, 4), lambda j: cast(embedding[(i - 1) * 4 + j] as double)) as r from {embeddings}, generate_series(1, 16) t(i)"
+_SIGNS = ALPHABET + "<"
+# a step every four components, each of 38 classes (the blank and 37 signs), wrapping at the vector's end: every component is read
+_STEPS = "select vec_id, i, list_transform(generate_series(0, 37), lambda k: cast(embedding[((i - 1) * 4 + k) % len(embedding) + 1] as double)) as r from (select vec_id, embedding, unnest(generate_series(1, (len(embedding) + 3) // 4)) as i from {embeddings}) u"
 _SOFT = "list_transform(r, lambda x: exp(x - list_max(r)) / list_sum(list_transform(r, lambda y: exp(y - list_max(r)))))"
 
 
 def _logits(spark, d):
     e = F.transform("embedding", lambda x: x.cast("double"))
-    return frame(spark, d, "embeddings").select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.slice(e, i * 4 + 1, 4)).alias("logits"))
+    n = F.size("embedding")
+    step = lambda i: F.transform(F.sequence(F.lit(0), F.lit(len(_SIGNS))), lambda k: F.get(e, (i * 4 + k) % n))
+    return frame(spark, d, "embeddings").select("vec_id", F.transform(F.sequence(F.lit(0), F.floor((n - 1) / 4).cast("int")), step).alias("logits"))
 
 
-@query("T22_ctc_decode", f"with s as ({_STEPS}), p as (select vec_id, i, list_position(r, list_max(r)) - 1 as k, list_max({_SOFT}) as p from s), m as (select *, lag(k) over (partition by vec_id order by i) as before from p) select vec_id, coalesce(string_agg(substr('AB<', k, 1), '' order by i) filter (where k <> 0 and k is distinct from before), '') as text, coalesce(avg(p) filter (where k <> 0 and k is distinct from before), 0) as score from m group by vec_id")
+@query("T22_ctc_decode", f"with s as ({_STEPS}), p as (select vec_id, i, list_position(r, list_max(r)) - 1 as k, list_max({_SOFT}) as p from s), m as (select *, lag(k) over (partition by vec_id order by i) as before from p) select vec_id, coalesce(string_agg(substr('{_SIGNS}', k, 1), '' order by i) filter (where k <> 0 and k is distinct from before), '') as text, coalesce(avg(p) filter (where k <> 0 and k is distinct from before), 0) as score from m group by vec_id")
 def t22(spark, d):
-    return _logits(spark, d).select("vec_id", decode.ctc_decode("logits", "AB<").alias("c")).select("vec_id", "c.*")
+    return _logits(spark, d).select("vec_id", decode.ctc_decode("logits", _SIGNS).alias("c")).select("vec_id", "c.*")
 
 
-@query("T23_softmax", f"with s as ({_STEPS}), p as (select vec_id, i, case when list_min(r) >= 0 and abs(list_sum(r) - 1) <= 1e-3 then r else {_SOFT} end as p from s) select vec_id, cast(i as int) as step, cast(k as int) as class, p[k + 1] as p from p, range(4) c(k)")
+@query("T23_softmax", f"with s as ({_STEPS}), p as (select vec_id, i, case when list_min(r) >= 0 and abs(list_sum(r) - 1) <= 1e-3 then r else {_SOFT} end as p from s) select vec_id, cast(i as int) as step, cast(k as int) as class, p[k + 1] as p from p, range(38) c(k)")
 def t23(spark, d):
     steps = _logits(spark, d).select("vec_id", F.posexplode("logits").alias("step", "r"))
     return steps.select("vec_id", (F.col("step") + 1).alias("step"), F.posexplode(decode.softmax("r")).alias("class", "p"))

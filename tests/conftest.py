@@ -6,6 +6,7 @@ import datetime
 import decimal
 import os
 import sys
+import uuid
 from pathlib import Path
 
 import duckdb
@@ -35,6 +36,18 @@ def spark(tmp_path_factory):
     s.stop()
 
 
+@pytest.fixture
+def keep(spark, tmp_path):
+    """Stores a middle result and reads it back."""
+
+    def put(df):
+        path = f"{tmp_path}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    return put
+
+
 @pytest.fixture(scope="session")
 def duck():
     c = duckdb.connect()

@@ -131,9 +131,9 @@ def test_a_page_beyond_the_end_keeps_its_totals(spark):
     assert (r["items"], r.total_filtered, r.total) == ([], 0, 0)
 
 
-def test_paging_skips_what_has_no_file(spark):
+def test_paging_skips_what_has_no_file(spark, keep):
     kind = "id long, status string, image_file_name string, label_file_name string, review_status string"
     items = spark.createDataFrame([(k, "labeled", f"i{k}", f"l{k}", "pending") for k in (1, 5, 10**9, 10**10)] + [(7, "labeled", None, "l7", "pending")], kind)
     files = spark.createDataFrame([(f"{c}{k}",) for k in (1, 5, 10**10) for c in "il" if (c, k) != ("l", 5)] + [("i1",)], "path string")
-    got = {r.id: (r.next_id, r.previous_id) for r in review.neighbours(items, 1000, files).collect()}
+    got = {r.id: (r.next_id, r.previous_id) for r in review.neighbours(items, keep, files, 2).collect()}
     assert got == {1: (10**10, None), 5: (10**10, 1), 7: (10**10, 1), 10**9: (10**10, 1), 10**10: (1, 1)}
