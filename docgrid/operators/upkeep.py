@@ -1,4 +1,4 @@
-"""Upkeep of large stored tables: a change reads and rewrites the partitions that it touches, and joins without moving the table.
+"""Upkeep of large stored tables: a change reads and rewrites the partitions that it touches, and joins without moving the rest.
 
 A table is kept as Spark's own partitioned and bucketed Parquet.  ``part`` is a hash of the key: it says which
 partitions a set of keys can touch.  Buckets are a hash of the same key: a join or grouping by it needs no exchange
@@ -27,18 +27,23 @@ def _part(key: str, parts: int) -> Column:
     return F.pmod(F.xxhash64(F.col(key)), F.lit(parts)).cast("int").alias(PART)
 
 
+def _dealt(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """Rows of one bucket of one part in one task, so that each is one file whatever the number of tasks."""
+    return df.repartition(F.col(PART), F.pmod(F.hash(F.col(key)), F.lit(buckets)))
+
+
 def create(df: DataFrame, name: str, key: str, path: str, parts: int = 64, buckets: int = 8) -> None:
     """Store df as table ``name`` below ``path``, in parts x buckets files.
 
     At 100 TB take parts and buckets so that one file is some hundreds of MB (a thousand each); a change of k keys
-    then reads and writes k of the parts at most.  Key and ``parts`` are kept with the table, where changes read them.
+    then reads and writes k of the parts at most.  With at least as many buckets as shuffle partitions a join by the key
+    moves only the changes; with fewer, Spark moves the touched rows too, for more tasks.  Key and ``parts`` are kept with the table, where changes read them.
     """
     if PART in df.columns:
         raise ValueError(f"column {PART} belongs to the stored table")
-    placed = df.withColumn(PART, _part(key, parts)).repartition(buckets, key)
-    writer = placed.write.format("parquet").partitionBy(PART).bucketBy(buckets, key)
+    writer = _dealt(df.withColumn(PART, _part(key, parts)), key, buckets).write.format("parquet").partitionBy(PART).bucketBy(buckets, key)
     writer.option("path", path).option("partitionOverwriteMode", "dynamic").saveAsTable(name)
-    df.sparkSession.sql(f"alter table {name} set tblproperties ('upkeep.key' = '{key}', 'upkeep.parts' = '{parts}')")
+    df.sparkSession.sql(f"alter table {name} set tblproperties ('upkeep.key' = '{key}', 'upkeep.parts' = '{parts}', 'upkeep.buckets' = '{buckets}')")
 
 
 def read(spark: SparkSession, name: str) -> DataFrame:
@@ -64,7 +69,10 @@ def change(spark: SparkSession, name: str, keys: DataFrame, apply: Callable[[Dat
     table = spark.table(name)
     out = apply(table.filter(F.col(PART).isin(touched)).drop(PART)).select(*[c for c in table.columns if c != PART])
     before = _files(spark, name, touched)
-    out.withColumn(PART, _part(key, parts)).write.insertInto(name, overwrite=True)
+    out, buckets = out.withColumn(PART, _part(key, parts)), int(known["upkeep.buckets"])
+    if buckets < int(spark.conf.get("spark.sql.shuffle.partitions")):
+        out = _dealt(out, key, buckets)  # rows come by shuffle partitions, each of which would write files for all buckets
+    out.write.insertInto(name, overwrite=True)
     spark.catalog.refreshTable(name)
     emptied = {re.search(rf"{PART}=(\d+)", f)[1] for f in _files(spark, name, touched) & before}
     for p in emptied:

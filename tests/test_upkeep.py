@@ -133,3 +133,16 @@ def test_no_window_over_all_rows(spark, keep):
     for df in (review.label_position(items, keep), review.neighbours(items, keep)):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert all("[__range" in line for line in plan.splitlines() if "Window" in line)
+
+
+def test_files_do_not_grow_with_shuffle_partitions(spark, tmp_path):
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 13)
+    try:
+        df = spark.range(500).selectExpr("id", "'a' as x", "cast(null as string) as review_status", "0 as version")
+        upkeep.create(df, "t_files", "id", f"{tmp_path}/t", 4, 3)
+        upkeep.upsert(spark, "t_files", df.withColumn("x", F.lit("b")), "id", "version")
+        assert len(files(f"{tmp_path}/t")) == 12 and upkeep.read(spark, "t_files").filter("x = 'b'").count() == 500
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+        spark.sql("drop table if exists t_files")
