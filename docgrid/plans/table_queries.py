@@ -47,9 +47,9 @@ def p4(spark, d):
 @query("P5_exportable_lines", f"select id, coalesce(final_text, normalized_text, {dnorm('ocr_text')}) as text, row_number() over (order by label_item_id, line_index, id) as place from {{ocr_lines}} where review_status = 'approved' and trim(coalesce(final_text, normalized_text, {dnorm('ocr_text')}, '')) <> ''")
 def p5(spark, d):
     lines = datasets.exportable_lines(_lines(spark, d))
-    # the place in the order, counted by ranges of items
+    # the place in the order, by a stored index of it
     rows = lines.withColumn("status", F.lit("labeled")).withColumn("at", F.col("label_item_id") * 1000 + F.col("line_index"))
-    return review.label_position(rows, "at", 1_000_000).select("id", "text", F.col("position").alias("place"))
+    return review.label_position(rows, kept(spark), "at").select("id", "text", F.col("position").alias("place"))
 
 
 @query("P6_eval_filter", "select m as mode, id from {eval_items}, (values ('all'), ('match'), ('mismatch'), ('error'), ('fallback'), ('odd')) t(m) where case m when 'match' then is_match when 'mismatch' then not is_match and error_message is null when 'error' then error_message is not null when 'fallback' then used_fallback else true end")
