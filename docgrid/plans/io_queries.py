@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docgrid.functions import geometry
@@ -17,15 +20,39 @@ from docgrid.streaming.streams import current_decisions, decision_stream, parse_
 MANIFEST_ITEMS = 2000
 
 
-@query("S1_image_catalog", "select 'k=' || b % 7 || '/b=' || b as folder, 1 + sum(n_chars % 10) as length from (select doc_id // 100 as b, n_chars from {documents}) t where b % 7 <> 3 group by b")
+_FILES = "select doc_id // 100 as b, cast(sum(strlen(coalesce(text, '')) + 1) as bigint) as length from {documents} group by all"
+
+
+def _text_files(spark, d) -> DataFrame:
+    """Whole texts to be written as one file a hundred documents: they stand in for images, as the catalogue goes by name, size and time only."""
+    b = F.floor(F.col("doc_id") / 100)
+    return frame(spark, d, "documents").select((b % 7).alias("k"), b.alias("b"), F.coalesce("text", F.lit("")).alias("value")).repartition("b")
+
+
+def _put(rows: DataFrame, root: str) -> None:
+    rows.write.mode("append").partitionBy("k", "b").option("lineSep", "\n").text(root)
+
+
+_folder_name = lambda: F.regexp_extract("path", r"(k=\d+/b=\d+)/[^/]*$", 1).alias("folder")
+
+
+@query("S1_image_catalog", f"select 'k=' || b % 7 || '/b=' || b as folder, length from ({_FILES}) t where b % 7 <> 3")
 def s1(spark, d):
     root = folder(spark, "catalog")
-    rows = frame(spark, d, "documents").groupBy(F.floor(F.col("doc_id") / 100).alias("b")).agg(F.sum(F.col("n_chars") % 10).alias("n"))
-    rows = rows.select((F.col("b") % 7).alias("k"), "b", F.repeat(F.lit("x"), F.col("n").cast("int")).alias("value"))
-    rows.write.partitionBy("k", "b").option("lineSep", "\n").text(f"{root}/in")
-    # text files stand in for images, one a hundred documents: the catalogue goes by name and size only
-    found = files.image_catalog(spark, f"{root}/in", ("k=3",), ("txt",))
-    return found.select(F.regexp_extract("path", r"(k=\d+/b=\d+)/[^/]*$", 1).alias("folder"), "length")
+    _put(_text_files(spark, d), root)
+    return files.image_catalog(spark, root, ("k=3",), ("txt",)).select(_folder_name(), "length")
+
+
+@query("S1_catalog_increment", f"select 'k=' || b % 7 || '/b=' || b as folder, length, 'new' as state, cast(1 + b % 2 as int) as run from ({_FILES}) t")
+def s1_increment(spark, d):
+    """Three runs over a growing folder: each tells the files that came since the one before, the last none."""
+    root, catalog = folder(spark, "growing"), folder(spark, "catalog")
+    rows = _text_files(spark, d)
+    _put(rows.filter("b % 2 = 0"), root)
+    one = files.catalog_increment(spark, root, catalog, 1, (), ("txt",))
+    _put(rows.filter("b % 2 = 1"), root)
+    two, three = (files.catalog_increment(spark, root, catalog, r, (), ("txt",)) for r in (2, 3))
+    return one.union(two).union(three).select(_folder_name(), "length", "state", "run")
 
 
 @query("S2_read_manifest", "select source_key, status, case when id % 5 = 0 then null else review_status end as review_status, mrz_score as score, case when id % 7 = 0 then null else strptime('2024-01-02 03:04:05', '%Y-%m-%d %H:%M:%S') end as processed_at from {label_items}")
@@ -47,13 +74,21 @@ def s3(spark, d):
 _TEXT = f"coalesce(final_text, normalized_text, {dnorm('ocr_text')})"
 
 
-@query("S4_export_lines", f"select k as kind, split, count(*) as n from (select split, {_TEXT} as t from {{ocr_lines}} where review_status = 'approved' and trim(coalesce({_TEXT}, '')) <> '') x, (values ('plan'), ('jsonl'), ('csv'), ('labels')) v(k) group by k, split union all select 'charset', 'all', 37")
+@query(
+    "S4_export_lines",
+    f"with x as (select id, split, {_TEXT} as t from {{ocr_lines}} where review_status = 'approved' and trim(coalesce({_TEXT}, '')) <> '') "
+    "select 'plan' as kind, split, null as id, count(*) || '/' || sum(length(t)) as value from x group by split union all select k, split, id, t from x, (values ('jsonl'), ('csv'), ('labels')) v(k) "
+    "union all select 'charset', 'all', null, c from (select unnest(string_split('ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789<', '')) as c) y",
+)
 def s4(spark, d):
+    """Every line of every exported file, as it is read back."""
     path = folder(spark, "lines")
-    plan = files.export_line_dataset(frame(spark, d, "ocr_lines"), path)
-    n = lambda df, kind: df.groupBy("split").agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "split", "n")
-    out = plan.select(F.lit("plan").alias("kind"), "split", "n").unionByName(n(spark.read.json(f"{path}/jsonl"), "jsonl")).unionByName(n(spark.read.csv(f"{path}/csv", header=True), "csv")).unionByName(n(spark.read.text(f"{path}/labels"), "labels"))
-    return out.unionByName(spark.read.text(f"{path}/charset").agg(F.count("*").alias("n")).select(F.lit("charset").alias("kind"), F.lit("all").alias("split"), "n"))
+    plan = files.export_line_dataset(frame(spark, d, "ocr_lines"), path).select("split", F.lit(None).cast("long").alias("id"), F.concat_ws("/", F.col("n").cast("string"), F.col("characters").cast("string")).alias("value"))
+    labels = spark.read.text(f"{path}/labels").select("split", F.expr("substr(value, 1, instr(value, '\t') - 1)").cast("long").alias("id"), F.expr("substr(value, instr(value, '\t') + 1)").alias("value"))
+    parts = {"plan": plan, "labels": labels, "charset": spark.read.text(f"{path}/charset").select(F.lit("all").alias("split"), F.lit(None).cast("long").alias("id"), "value")}
+    parts["jsonl"] = spark.read.json(f"{path}/jsonl").select("split", F.col("id").cast("long").alias("id"), F.col("text").alias("value"))
+    parts["csv"] = spark.read.csv(f"{path}/csv", **files.CSV).select("split", F.col("id").cast("long").alias("id"), F.col("text").alias("value"))
+    return reduce(DataFrame.unionByName, [p.select(F.lit(kind).alias("kind"), "split", "id", "value") for kind, p in parts.items()])
 
 
 @query("S5_export_manifest", "select id, label, field, split from {image_items}")
@@ -73,14 +108,16 @@ def s6(spark, d):
     return files.append_run_log(spark, b, log, old.drop("id")).select("source_key", "status")
 
 
-@query("S7_detection_labels", "select 'im' || id as name, coalesce(split, 'train') as split, 5 as parts from {label_items} where bbox_x1 is not null")
+@query("S7_detection_labels", "select 'im' || id as name, coalesce(split, 'train') as split, 0 as class_id, bbox_x1 as x1, bbox_y1 as y1, bbox_x2 as x2, bbox_y2 as y2 from {label_items} where bbox_x1 is not null")
 def s7(spark, d):
+    """The boxes that the written labels stand for: whole pixels again, as six decimals hold them."""
     path = folder(spark, "labels")
     b = geometry.box("bbox_x1", "bbox_y1", "bbox_x2", "bbox_y2")
     rows = frame(spark, d, "label_items").select(F.concat(F.lit("im"), F.col("id").cast("string")).alias("name"), "split", F.when(F.col("bbox_x1").isNotNull(), geometry.bbox_to_label(b, "image_width", "image_height")).alias("label"))
     files.write_detection_labels(rows, path)
-    back = spark.read.text(path).select("split", F.split("value", "\t").alias("p"))
-    return back.select(F.get("p", F.lit(0)).alias("name"), "split", F.size(F.split(F.get("p", F.lit(1)), " ")).alias("parts"))
+    back = spark.read.text(path).select("split", F.split("value", "\t").alias("p")).select(F.get("p", F.lit(0)).alias("name"), "split", geometry.parse_label(F.get("p", F.lit(1))).alias("label"))
+    back = back.withColumn("box", geometry.label_to_bbox("label", F.lit(640), F.lit(480)))
+    return back.select("name", "split", "label.class_id", *[F.round(F.col(f"box.{c}"), 0).alias(c) for c in ("x1", "y1", "x2", "y2")])
 
 
 @query("ST1_parse_stream", f"with {RAW}, {PARSE} select doc_id, fmt as document_type, {PASS} as checksum_pass, {CONF} as confidence from parsed")

@@ -193,6 +193,17 @@ def w13(spark, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+_FIRST = "select l_orderkey * 8 + l_linenumber as id, l_shipdate as shipped from {lineitem}"
+
+
+@query("W13_first_rows", f"(select 'newest' as kind, id from ({_FIRST}) t order by shipped desc, id desc limit 1000) union all (select 'oldest', id from ({_FIRST}) t order by shipped, id limit 1000) union all (select 'random', id from ({_FIRST}) t order by {frac('id', '7')}, id limit 1000)")
+def w13_first(spark, d):
+    """The thousand first of all order lines, many of one day."""
+    v = frame(spark, d, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.col("l_shipdate").alias("shipped"))
+    parts = [sampling.ordered_limit(v, o, 1000, "shipped", "id", "7").select(F.lit(o).alias("kind"), "id") for o in ("newest", "oldest", "random")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("W14_assign_split", f"select doc_id, case when f < 5e-2 then 'test' when f < 20e-2 then 'val' else 'train' end as split from (select doc_id, {frac('doc_id', 'set')} as f from {{documents}}) t")
 def w14(spark, d):
     return frame(spark, d, "documents").select("doc_id", sampling.assign_split("doc_id", 0.15, 0.05, "set").alias("split"))

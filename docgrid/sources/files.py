@@ -15,11 +15,16 @@ from docgrid.operators.store import upsert
 EXTENSIONS = ("jpg", "jpeg", "png", "bmp", "webp", "tif", "tiff")
 CHARSET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789<"
 ITEM = T.StructType([T.StructField(n, t) for n, t in (("status", T.StringType()), ("review_status", T.StringType()), ("split", T.StringType()), ("score", T.DoubleType()), ("bbox", T.ArrayType(T.DoubleType())), ("lines", T.ArrayType(T.StringType())), ("processed_at", T.StringType()), ("error", T.StringType()))])
+#: Options of CSV on both ways: quotes are doubled and blanks at the ends of a value stay.
+CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 MANIFEST = T.StructType([T.StructField("version", T.IntegerType()), T.StructField("ocr_engine", T.StringType()), T.StructField("items", T.MapType(T.StringType(), ITEM))])
 
 
 def image_catalog(spark: SparkSession, root: str, exclude: tuple[str, ...] = (), extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
-    """(path, length, modified) of image files below root, without excluded folder names; contents are not read."""
+    """(path, length, modified) of image files below root, without excluded folder names; contents are not read.
+
+    Files of no bytes hold no image and are left out, as Spark does not read them.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", F.col("modificationTime").alias("modified"))
     files = files.filter(F.lower("path").rlike(r"\.(" + "|".join(extensions) + ")$"))
     for name in exclude:
@@ -27,6 +32,27 @@ def image_catalog(spark: SparkSession, root: str, exclude: tuple[str, ...] = (),
     return files
 
 
+def catalog_increment(spark: SparkSession, root: str, catalog: str, run: int, exclude: tuple[str, ...] = (), extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
+    """Add to a stored catalogue the image files that it does not hold as they are now; returns them: path, length, modified, state, run.
+
+    A file is known by path, length and time of change: state is "new" for a path never seen and
+    "changed" for one that stands there otherwise.  Files that vanished stay in the catalogue.  Each run
+    is one partition, overwritten when the same run is repeated, so a run that failed may be started
+    again; a run without news adds nothing and gives no rows.
+    """
+    found = image_catalog(spark, root, exclude, extensions)
+    known = spark.createDataFrame([], "path string, length long, modified timestamp, state string, run int")
+    where = spark._jvm.org.apache.hadoop.fs.Path(catalog)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        known = spark.read.schema(known.schema).parquet(catalog)
+    last = known.filter(F.col("run") != run).groupBy("path").agg(F.max_by(F.struct("length", "modified"), "run").alias("seen"))
+    fresh = found.join(last, "path", "left").filter(F.col("seen").isNull() | (F.col("seen") != F.struct("length", "modified")))
+    fresh = fresh.select("path", "length", "modified", F.when(F.col("seen").isNull(), "new").otherwise("changed").alias("state"))
+    target = f"{catalog}/run={run}"
+    fresh.write.mode("overwrite").parquet(target)
+    return spark.read.schema(fresh.schema).parquet(target).withColumn("run", F.lit(run))
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """One row per item of processed manifests (JSON maps by key), with canonical states and a timestamp."""
     df = spark.read.schema(MANIFEST).option("multiLine", "true").json(path).select("version", "ocr_engine", F.explode("items").alias("source_key", "i")).select("version", "ocr_engine", "source_key", "i.*")
@@ -54,7 +80,7 @@ def export_line_dataset(lines: DataFrame, path: str, preserve_split: bool = True
     for kind, out in (("csv", df), ("labels", df.select("split", F.concat_ws("\t", F.col("id").cast("string"), "text").alias("value")))):
         out = out if preserve_split or kind != "labels" else out.drop("split")
         writer = out.write.partitionBy(*part)
-        {"csv": lambda p, w=writer: w.csv(p, header=True), "labels": writer.text}[kind](f"{path}/{kind}")
+        {"csv": lambda p, w=writer: w.csv(p, **CSV), "labels": writer.text}[kind](f"{path}/{kind}")
     df.sparkSession.createDataFrame([(c,) for c in CHARSET], "value string").coalesce(1).write.text(f"{path}/charset")
     return plan
 
@@ -62,8 +88,8 @@ def export_line_dataset(lines: DataFrame, path: str, preserve_split: bool = True
 def export_image_manifest(df: DataFrame, path: str) -> DataFrame:
     """The manifest as a whole and by split, ordered by split, label, id and field; returns the counts."""
     order = ["split", "label", "id", "field"]
-    df.orderBy(*order).write.csv(f"{path}/all", header=True)
-    df.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("split").csv(f"{path}/by_split", header=True)
+    df.orderBy(*order).write.csv(f"{path}/all", **CSV)
+    df.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("split").csv(f"{path}/by_split", **CSV)
     return manifest_counts(df)
 
 
