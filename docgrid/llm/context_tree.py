@@ -15,7 +15,7 @@ from a table of at most HEAD entries; the rest is joined.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docgrid.llm.common import mix, read_table, remainder, written
+from docgrid.llm.common import HOT_ROWS, mix, read_table, remainder, written
 
 DEPTH, SPLIT = 5, 4
 #: Most frequent grams and words that are sent to every worker; a bound on that memory, not on the model.
@@ -34,7 +34,8 @@ BEFORE, END = 0xFE, 0xFF
 #: Bytes or keys that are worked on at once, distinct keys a counting task holds, and grams of one step of the model.
 STEP, KEEP, CHUNK = 1 << 19, 1 << 20, 1 << 15
 PER_TASK = 200_000
-WORDS, GRAMS = 0, 1
+#: Kinds of keys; HELD on top marks the counts of texts that are not learnt from.
+WORDS, GRAMS, HELD = 0, 1, 2
 #: Key of the end token; a word's key is the hash of its bytes, and no word is empty.
 END_KEY = xxhash.xxh64_intdigest(b"")
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
@@ -114,10 +115,13 @@ class _Counter:
 
 
 def count_table(docs: DataFrame, text_col: str, train_col: str) -> DataFrame:
-    """(kind, key, n): training counts of words and grams; grams that only other texts have come with n = 0."""
+    """(kind, key, n): training counts of words and grams; grams that only other texts have come with n = 0.
+
+    The counts of those other texts are told under kind + HELD.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = (_Counter(), _Counter())
+        sums = tuple(_Counter() for _ in range(4))
 
         def told(kind: int) -> Iterator[pa.RecordBatch]:
             keys, n = sums[kind].take()
@@ -129,12 +133,15 @@ def count_table(docs: DataFrame, text_col: str, train_col: str) -> DataFrame:
             for t, own in zip(b.column(0), b.column(1)):
                 raw, own = _raw(t.as_py()), own.as_py()
                 for kind, of in ((WORDS, words_of), (GRAMS, grams_of)):
-                    if own or kind == GRAMS:
-                        for keys in of(raw):
+                    for keys in of(raw):
+                        if own or kind == GRAMS:
                             sums[kind].add(keys, own)
-                            if sums[kind].kept > KEEP:  # bounded memory, whatever the size of the split or the text
-                                yield from told(kind)
-        for kind in (WORDS, GRAMS):
+                        if not own:
+                            sums[kind + HELD].add(keys, True)
+                        for to in (kind, kind + HELD):
+                            if sums[to].kept > KEEP:  # bounded memory, whatever the size of the split or the text
+                                yield from told(to)
+        for kind in range(4):
             yield from told(kind)
 
     rows = docs.select(F.col(text_col), F.coalesce(F.col(train_col), F.lit(False))).mapInArrow(count, "kind int, key long, n long")
@@ -376,6 +383,16 @@ def head_count(table: DataFrame, most: int) -> int:
     return 1 << 62 if least is None else int(np.ceil(2 ** (least / 16) - 1e-9))
 
 
+def hot_held(counts: DataFrame, most: int) -> DataFrame:
+    """(kind, key) of the keys that the texts not learnt from use most, ``most`` of them at most.
+
+    Training may hardly know them, so they are in no head by its counts; of any other key such texts
+    use no more than one in ``most`` of all their keys, or HOT_ROWS.
+    """
+    held = counts.filter(F.col("kind") >= HELD).select((F.col("kind") - HELD).alias("kind"), "key", "n")
+    return held.filter(F.col("n") > max(HOT_ROWS, head_count(held, most) - 1)).select("kind", "key")
+
+
 class Heads:
     """The most frequent words and grams with their values; a worker that reads them builds its tables once and drops them with the broadcast."""
 
@@ -388,6 +405,12 @@ class Heads:
         return self.built
 
 
+def _head(tables: tuple[pa.Table, ...], col: str, value: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, values) of the tables; of a key that stands in several the first."""
+    keys, at = np.unique(np.concatenate([t["key"].to_numpy() for t in tables]), return_index=True)
+    return keys.view(_U), value(np.concatenate([t[col].to_numpy() for t in tables])[at])
+
+
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_col: str = "train", head: int = HEAD) -> DataFrame:
     """One row per input row: id_col, train_col, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte.
 
@@ -407,10 +430,14 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     total, distinct = int(size[0] or 0), int(size[1])
     word_from, gram_from = head_count(words, head), head_count(grams, head)
     top_words, top_grams = words.filter(F.col("n") >= word_from).toArrow(), grams.filter(F.col("n") >= gram_from).select("key", "logp").toArrow()
-    word_head = (top_words["key"].to_numpy().view(_U), np.log10(top_words["n"].to_numpy() + 1.0))
-    gram_head = (top_grams["key"].to_numpy().view(_U), top_grams["logp"].to_numpy())
-    heads = spark.sparkContext.broadcast(Heads(word_head, gram_head))  # at most ``head`` entries each
-    del top_words, top_grams, word_head, gram_head
+    hot = written(hot_held(counts, max(1, head // 8)), "hot")
+    hot_words, hot_grams = (F.broadcast(hot.filter(F.col("kind") == k).select("key")) for k in (WORDS, GRAMS))  # an eighth of ``head`` at most
+    more_words = hot_words.join(words.filter(F.col("n") < word_from).join(hot_words, "key").select("key", "n").hint("merge"), "key", "left").select("key", F.coalesce("n", F.lit(0).cast("long")).alias("n")).toArrow()
+    more_grams = grams.filter(F.col("n") < gram_from).join(hot_grams, "key").select("key", "logp").toArrow()
+    word_head = _head((top_words, more_words), "n", lambda n: np.log10(n + 1.0))
+    gram_head = _head((top_grams, more_grams), "logp", lambda p: p)
+    heads = spark.sparkContext.broadcast(Heads(word_head, gram_head))  # at most nine eighths of ``head`` entries each
+    del top_words, top_grams, more_words, more_grams, word_head, gram_head
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = heads.value.tables()
@@ -433,7 +460,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     sums = base if kind == WORDS else score
                     sums += np.bincount(of, v, len(sums))
                     if kind == WORDS:
-                        known[:] += np.bincount(of, found, len(known))
+                        known[:] += np.bincount(of, v > 0, len(known))  # a word that training lacks has the value 0
                     k, o = keys[~found], of[~found]
                     if len(k):  # the rest, once per text and key
                         by = np.lexsort((k, o))

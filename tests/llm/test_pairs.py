@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from docgrid.llm import common, components, context_tree, minhash, near_vectors, nearest
@@ -355,6 +356,23 @@ def test_context_tree_query(spark, sf_dir):
     assert sum(r.score for r in held) > 0.45 * math.log10(1 / 256) * sum(len(texts[r.doc_id].encode()) + 1 for r in held)
 
 
+def test_words_that_only_held_out_texts_use(spark):
+    """Every held-out text has one word that training lacks, and one that it has once: both leave the join, scores stay."""
+    rows = [(i, f"zzz rare w{i % 50} w{i % 7}" if i % 3 else f"u{i}a u{i}b u{i}c w{i % 7}" + " rare" * (i == 0), i % 3 == 0) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, train boolean")
+    counts = context_tree.count_table(docs, "text", "train")
+    key = lambda w: int(np.uint64(xxhash.xxh64_intdigest(w)).view(np.int64))
+    hot = {tuple(r) for r in context_tree.hot_held(counts, 50).collect()}
+    assert len(hot) <= 50 and {(context_tree.WORDS, key(w)) for w in (b"zzz", b"rare")} <= hot
+    assert context_tree.hot_held(counts, 1).count() <= 1  # many keys are as frequent as the first
+    wide, narrow = ({r.doc_id: r for r in context_tree.score_texts(docs, head=h).collect()} for h in (1 << 20, 400))
+    for i, text, _ in rows:
+        a, b = wide[i], narrow[i]
+        assert (a.n_tokens, a.n_known, a.n_bytes) == (b.n_tokens, b.n_known, b.n_bytes)
+        assert a.n_known == len(text.split()) + 1 - text.count("zzz")
+        assert (a.score, a.base_score) == (pytest.approx(b.score), pytest.approx(b.base_score))
+
+
 def test_context_tree_odd_rows(spark, odd_docs, no_docs):
     assert context_tree.score_texts(odd_docs.withColumn("train", F.lit(True))).count() == odd_docs.count()
     none = context_tree.score_texts(odd_docs.withColumn("train", F.lit(False))).collect()
