@@ -1,6 +1,8 @@
 """Ties, shapes of plans and odd rows of queries that grow with the tables."""
 
 from docgrid.operators import selection
+from docgrid.plans import fixtures
+from docgrid.plans.fixtures import frame
 
 
 def test_equal_mean_quality_goes_to_the_earlier_target(spark):
@@ -9,3 +11,14 @@ def test_equal_mean_quality_goes_to_the_earlier_target(spark):
     rows = [(1, 10, a, 0.48, 60.0), (1, 11, a, 0.39, 120.0), (1, 12, a, 0.3, 180.0), (1, 13, b, 0.21, 240.0)]
     got = selection.choose_lines(spark.createDataFrame(rows, "k long, o int, text string, ocr_score double, y double"), "k", "o", y="y").first()
     assert got.lines == ["ATIN" * 10] * 2 + [b.upper().replace(" ", "")] and abs(got.ocr_score - 0.36) < 1e-9
+
+
+def test_boxes_of_a_text_are_cut_in_one_pass_and_not_stored(spark, sf_dir):
+    """The slices are those of substr, also of characters outside the BMP and of line ends, and no row carries its text."""
+    df = frame(spark, sf_dir, "ocr_boxes")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "substr" not in plan.lower()
+    text = "é𝄞\n" * 45 + "x"
+    got = spark.createDataFrame([(text,)], "text string").selectExpr("posexplode(regexp_extract_all(text, '(?s).{1,60}', 0)) as (n, slice)").collect()
+    assert "posexplode(regexp_extract_all(text, '(?s).{1,60}', 0))" in fixtures.SPARK_TEXT["ocr_boxes"]
+    assert [(r.n, r.slice) for r in got] == [(i, text[60 * i : 60 * i + 60]) for i in range(3)]
