@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docgrid.functions import geometry
 from docgrid.operators import parse, review
-from docgrid.plans.fixtures import folder, frame
+from docgrid.plans.fixtures import folder, frame, tasks
 from docgrid.plans.table_queries import _J5, _J6
 from docgrid.plans.text_queries import AS_OF, CONF, PARSE, PASS, RAW, dnorm, query
 from docgrid.sources import files
@@ -125,8 +125,9 @@ def st1(spark, d):
     path = folder(spark, "stream")
     rows = frame(spark, d, "mrz_lines")
     docs = parse.collect_lines(rows, "doc_id").join(rows.groupBy("doc_id").agg(F.max("detector_confidence").alias("detector_confidence")), "doc_id")
-    docs.repartition(3).write.parquet(f"{path}/in")
-    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", "1").parquet(f"{path}/in")
+    n = tasks(spark)  # three batches, each of many files, so that all cores have work
+    docs.repartition(n).write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", str(-(-n // 3))).parquet(f"{path}/in")
     q = parse_stream(stream, AS_OF).select("doc_id", "document_type", "checksum_pass", "confidence").writeStream.format("parquet").option("checkpointLocation", f"{path}/at").trigger(availableNow=True).start(f"{path}/out")
     q.awaitTermination()
     return spark.read.parquet(f"{path}/out")
