@@ -22,3 +22,13 @@ def test_boxes_of_a_text_are_cut_in_one_pass_and_not_stored(spark, sf_dir):
     got = spark.createDataFrame([(text,)], "text string").selectExpr("posexplode(regexp_extract_all(text, '(?s).{1,60}', 0)) as (n, slice)").collect()
     assert "posexplode(regexp_extract_all(text, '(?s).{1,60}', 0))" in fixtures.SPARK_TEXT["ocr_boxes"]
     assert [(r.n, r.slice) for r in got] == [(i, text[60 * i : 60 * i + 60]) for i in range(3)]
+
+
+def test_line_rows_are_dealt_once(spark):
+    """A table of rows is read and dealt once for the best run, the loose rows and the keys; a key without candidates keeps one row."""
+    cols = "k long, o int, normalized string, likeness double, ocr_score double, x1 double, y1 double, x2 double, y2 double, height double, y_center double, width_ratio double, image_width int, image_height int"
+    row = lambda k, o, y, like=0.9: (k, o, "A" * 30, like, 0.9, 0.0, y, 900.0, y + 20, 20.0, y + 10, 0.9, 1000, 800)
+    rows = spark.createDataFrame([row(1, 1, 500.0, 0.1), row(1, 2, 600.0), row(1, 3, 630.0), row(2, 1, 10.0), row(3, 1, 10.0, 0.1), row(3, 2, 40.0, 0.1)], cols)
+    df = selection.select_line_rows(rows, "k", "o")
+    assert sorted(map(tuple, df.select("k", "tier", "line_index", "o").collect()), key=str) == [(1, 1, 1, 2), (1, 1, 2, 3), (2, 2, 1, 1), (3, 3, None, None)]
+    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2  # as first planned and as run
