@@ -43,14 +43,15 @@ def eval_page(df: DataFrame, mode: str, limit: int = 50, offset: int = 0, key: s
     return totals.crossJoin(F.broadcast(items))  # one row each
 
 
-def evaluate(source: DataFrame, predictions: DataFrame, key: str = "id") -> DataFrame:
+def evaluate(source: DataFrame, predictions: DataFrame, key: str = "id", on: str | None = None) -> DataFrame:
     """Truth lines against predicted ones, exact after normalising, with parsed fields and an error rule.
 
     source: key, line_one, line_two.  predictions: key, p_lines, fields, checksum_pass, used_fallback,
     fallback_reason, region_found, error.  An empty truth line never matches; loose_match lets it.
+    Where predictions belong to something that several keys share, ``on`` names that column of both.
     """
     t = lambda c: F.coalesce(mrz_normalize(c), F.lit(""))
-    df = source.join(predictions, key, "left").withColumns({"source_one": t("line_one"), "source_two": t("line_two"), "predicted_one": t(F.get("p_lines", F.lit(0))), "predicted_two": t(F.get("p_lines", F.lit(1)))})
+    df = source.join(predictions, on or key, "left").withColumns({"source_one": t("line_one"), "source_two": t("line_two"), "predicted_one": t(F.get("p_lines", F.lit(0))), "predicted_two": t(F.get("p_lines", F.lit(1)))})
     same = lambda a, b: F.col(a) == F.col(b)
     one, two = same("source_one", "predicted_one") & (F.col("source_one") != ""), same("source_two", "predicted_two") & (F.col("source_two") != "")
     error = F.coalesce(F.nullif("error", F.lit("")), F.when(~F.coalesce("region_found", F.lit(False)), "YOLO did not find MRZ"))

@@ -355,7 +355,7 @@ def j9(spark, d):
 def j10(spark, d):
     p = parsed(spark, d).select("doc_id", F.col("lines").alias("p_lines"), F.when(F.col("found"), F.col("fields")).alias("fields"), "checksum_pass", F.lit(False).alias("used_fallback"), F.lit(None).cast("string").alias("fallback_reason"), F.col("found").alias("region_found"), F.lit(None).cast("string").alias("error"))
     v = frame(spark, d, "visa_records").select("id", "doc_id", "line_one", "line_two")
-    out = evaluate.evaluate(v, v.select("id", "doc_id").join(p, "doc_id").drop("doc_id"))
+    out = evaluate.evaluate(v, p, on="doc_id")
     return out.select("id", F.col("is_line_one_match").alias("one"), F.col("is_line_two_match").alias("two"), "is_match", "loose_match", "checksum_pass", "parsed_number", "parsed_name", "error_message")
 
 

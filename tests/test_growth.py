@@ -1,7 +1,7 @@
 """Ties, shapes of plans and odd rows of queries that grow with the tables."""
 
-from docgrid.operators import selection
-from docgrid.plans import fixtures
+from docgrid.operators import evaluate, selection
+from docgrid.plans import fixtures, registry
 from docgrid.plans.fixtures import frame
 
 
@@ -32,3 +32,26 @@ def test_line_rows_are_dealt_once(spark):
     df = selection.select_line_rows(rows, "k", "o")
     assert sorted(map(tuple, df.select("k", "tier", "line_index", "o").collect()), key=str) == [(1, 1, 1, 2), (1, 1, 2, 3), (2, 2, 1, 1), (3, 3, None, None)]
     assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2  # as first planned and as run
+
+
+def test_several_keys_share_a_prediction(spark):
+    """Predictions are joined by what the keys share, so nobody needs to copy them to each key first."""
+    source = spark.createDataFrame([(1, 7, "A", "B"), (2, 7, "A", "C"), (3, 8, "A", "B")], "id long, doc long, line_one string, line_two string")
+    fields = "struct<document_number: string, surname: string, given_names: string>"
+    p = spark.createDataFrame([(7, ["a", "b"], None, True, False, None, True, None)], f"doc long, p_lines array<string>, fields {fields}, checksum_pass boolean, used_fallback boolean, fallback_reason string, region_found boolean, error string")
+    got = evaluate.evaluate(source, p, on="doc").collect()
+    assert sorted((r.id, r.is_match, r.checksum_pass) for r in got) == [(1, True, True), (2, False, True), (3, False, False)]
+
+
+def test_profiles_are_dealt_before_their_rows_are_made(spark, sf_dir):
+    plan = registry.QUERIES["B2_top_bands"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan
+
+
+def test_top_candidates_keep_other_columns(spark):
+    rows = [(1, 0, 0, 1, 1, "morphology", s, f"m{i}") for i, s in enumerate((0.9, 0.8, 0.7, 0.6))] + [(1, 5, 0, 1, 1, "band", 0.65, "b"), (1, 5, 0, 1, 1, "band", 0.1, "c")]
+    df = spark.createDataFrame(rows, "k long, x int, y int, w int, h int, source string, score double, name string")
+    got = selection.top_candidates(df, "k")
+    assert [(r["rank"], r.score, r.name) for r in got.orderBy("rank").collect()] == [(1, 0.9, "m0"), (2, 0.65, "b")]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
+    assert "ENSURE_REQUIREMENTS" not in got._jdf.queryExecution().executedPlan().toString()
