@@ -55,3 +55,18 @@ def test_top_candidates_keep_other_columns(spark):
     assert [(r["rank"], r.score, r.name) for r in got.orderBy("rank").collect()] == [(1, 0.9, "m0"), (2, 0.65, "b")]
     assert got._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
     assert "ENSURE_REQUIREMENTS" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_variants_are_dealt_once_and_never_stored(spark):
+    """The cascade is one exchange without a join; a repair, an enhanced variant, a missing base and a null key give what they should."""
+    one, good, bad = "P<UTOERIKSSON<<ANNA<MARIA<<<<<<<<<<<<<<<<<<<", "L898902C36UTO7408122F1204159ZE184226B<<<<<10", "L898902C36UTO7408122F1204158ZE184226B<<<<<10"
+    spoiled = good[:13] + good[13:20].replace("0", "O") + good[20:]
+    item = lambda k, stage, pos, name, l2, of=None: (k, stage, pos, name, of, [one, l2] if l2 else [one], 0.9, 0.8)
+    rows = [item(1, 0, 0, "fast-projection", spoiled), item(2, 0, 0, "fast-projection", bad), item(2, 1, 1, "cut", None), item(2, 1, 2, "flat", spoiled), item(2, 2, 0, "x", good, "fast-projection")]
+    rows += [item(3, 0, 0, "fast-projection", bad), item(3, 2, 0, "x", good, "fast-projection"), item(3, 2, 1, "y", good, "other"), item(4, 2, 0, "x", good, "fast-projection"), item(5, 1, 0, "flat", good), item(None, 0, 0, "fast-projection", good)]
+    df = selection.resolve_variants(spark.createDataFrame(rows, "k long, stage int, position int, name string, enhanced_of string, lines array<string>, ocr_confidence double, detector_confidence double"), "k", 2024)
+    got = {r.k: (r.selected_variant, r.checksum_pass, r.corrections, r.trigger, r.used_fallback) for r in df.collect()}
+    assert got == {1: ("checksum-text-correction", True, 1, "checksum-failed", True), 2: ("flat-text-correction", True, 1, "checksum-failed", True), 3: ("x", True, 0, "checksum-failed", True), 5: ("flat", True, 0, "missing-lines", True)}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("RepartitionByExpression") == 1
+    assert "ENSURE_REQUIREMENTS" not in df._jdf.queryExecution().executedPlan().toString()
