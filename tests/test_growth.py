@@ -1,5 +1,6 @@
 """Ties, shapes of plans and odd rows of queries that grow with the tables."""
 
+from docgrid.functions import text as texts
 from docgrid.operators import evaluate, selection
 from docgrid.plans import fixtures, registry
 from docgrid.plans.fixtures import frame
@@ -70,3 +71,14 @@ def test_variants_are_dealt_once_and_never_stored(spark):
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and plan.count("RepartitionByExpression") == 1
     assert "ENSURE_REQUIREMENTS" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_texts_beyond_ascii_meet_the_pattern(spark):
+    """Normalising and check digits guard their pattern; control signs, look-alikes and signs outside the BMP give what they gave."""
+    rows = ["a\0b\x01c\x7f>", "ß é«x", "", None, "«‹>", " a\n\r\tb_{", "𝄞q9", "ı i ﬁ"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, x string")
+    got = df.select("i", texts.mrz_normalize("x").alias("n"), texts.mrz_check_digit("x").alias("d")).orderBy("i").collect()
+    assert [r.n for r in got] == ["ABC<", "SS<X", "", None, "<<<", "AB", "Q9", "IIFI"]
+    digits = df.selectExpr("i", "transform(filter(split(regexp_replace(x, '[^A-Z0-9]', '0'), ''), y -> y <> ''), (y, i) -> int(y) * array(7, 3, 1)[i % 3]) as a").selectExpr("i", "string(aggregate(a, 0, (s, y) -> s + y) % 10) as d").orderBy("i")
+    assert [r.d for r in got] == [r.d for r in digits.collect()]
+    assert all("octet_length" in str(f("x")) for f in (texts.mrz_normalize, texts.mrz_check_digit))
