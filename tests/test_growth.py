@@ -1,5 +1,7 @@
 """Ties, shapes of plans and odd rows of queries that grow with the tables."""
 
+from pyspark.sql import functions as F
+
 from docgrid.functions import text as texts
 from docgrid.operators import evaluate, selection
 from docgrid.plans import fixtures, registry
@@ -82,3 +84,14 @@ def test_only_texts_beyond_ascii_meet_the_pattern(spark):
     digits = df.selectExpr("i", "transform(filter(split(regexp_replace(x, '[^A-Z0-9]', '0'), ''), y -> y <> ''), (y, i) -> int(y) * array(7, 3, 1)[i % 3]) as a").selectExpr("i", "string(aggregate(a, 0, (s, y) -> s + y) % 10) as d").orderBy("i")
     assert [r.d for r in got] == [r.d for r in digits.collect()]
     assert all("octet_length" in str(f("x")) for f in (texts.mrz_normalize, texts.mrz_check_digit))
+
+
+def test_european_texts_never_meet_the_pattern(spark):
+    """The one pass, made once a row, leaves ASCII of them; every character gives what the pattern gives."""
+    df = spark.createDataFrame([("Straße Ñandú «à l’été» Žluť – “ő” € Ωмега Ÿ…",)], "x string")
+    passed = F.translate(F.upper("x"), "«‹>" + texts._DROPPED, "<<<")
+    assert df.select(F.octet_length(passed) == F.length(passed), texts.mrz_normalize("x")).first()[:] == (True, "STRASSEAND<LTLU")
+    every = spark.createDataFrame([(f"a{chr(i)}9",) for i in (*range(0xD800), *range(0xE000, 0x10100))], "x string")
+    want = F.regexp_replace(F.translate(F.upper("x"), "«‹>", "<<<"), "[^A-Z0-9<]+", "")
+    assert every.filter(~texts.mrz_normalize("x").eqNullSafe(want)).count() == 0
+    assert str(texts.mrz_normalize("x")).count("upper") == 1
