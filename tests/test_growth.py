@@ -95,3 +95,10 @@ def test_european_texts_never_meet_the_pattern(spark):
     want = F.regexp_replace(F.translate(F.upper("x"), "«‹>", "<<<"), "[^A-Z0-9<]+", "")
     assert every.filter(~texts.mrz_normalize("x").eqNullSafe(want)).count() == 0
     assert str(texts.mrz_normalize("x")).count("upper") == 1
+
+
+def test_bands_are_computed_once(spark, sf_dir):
+    """No filter that Spark infers from an explode computes the bands, separators or bounds again below it, and sorts compare natively."""
+    for name in ("B2_top_bands", "B5_separators", "B6_line_bounds", "B12_fixed_split"):
+        plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("arrays_zip") <= 1 and "Filter ((size(" not in plan and "array_sort" not in plan, name
